@@ -31,6 +31,7 @@ def main(keys: list[str]) -> None:
     for key in keys or QUERIES:
         timed(spark, sf_dir, key)
         times[key] = round(statistics.median(timed(spark, sf_dir, key) for _ in range(runs)), 4)
+        print(f"{key} {times[key]}", file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "sum of median query times", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),

@@ -278,7 +278,7 @@ def dense_top1(spark, sf):
 
 def lexical(spark, sf):
     return retrieval.lexical_topk(
-        v.table(spark, sf, "benchmark"), v.table(spark, sf, "documents"), query_id="item_id",
+        v.table(spark, sf, "benchmark"), v.documents(spark, sf), query_id="item_id",
         corpus_id="doc_id",
     )
 
@@ -386,7 +386,7 @@ def escalation_metrics(spark, sf):
 def baseline_compare(spark, sf):
     golden = v.tickets(spark, sf).select("tweet_id", "text", "true_intent", "true_escalate")
     preds = rule_layer(spark, sf).select("tweet_id", "pred_intent", "pred_escalate")
-    out = metrics.compare_systems(metrics.align(golden, preds))
+    out = metrics.compare_systems(golden, preds)
     return out.withColumns(r6("accuracy", "macro_f1", "precision", "recall"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskflow.sources.config import GateConfig
+from deskflow.sources.tables import spread
 
 PHRASES = [
     ("my account was hacked yesterday", "account_login"),
@@ -40,6 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and whole texts; text work is heavy, so a single file is spread first."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def _phrase(number: Column, part: int) -> Column:
     values = F.array(*[F.lit(p[part]) for p in PHRASES])
     return F.element_at(values, (number % 16 + 1).cast("int"))
@@ -81,8 +87,7 @@ def tickets_from(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tickets_from(docs, table(spark, sf_dir, "labels"))
+    return tickets_from(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def threads(spark: SparkSession, sf_dir: str) -> DataFrame:

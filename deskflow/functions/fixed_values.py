@@ -13,21 +13,15 @@ EMAIL_TAG = "[EMAIL]"
 PHONE_TAG = "[PHONE]"
 URL_TAG = "[URL]"
 
-# Risk rules of the batch policy (applied to lower-cased text).
-RISK_PATTERN = (
-    r"\b(?:hack\w*|stol\w*|steal\w*|fraud\w*|lawyer\w*|legal\w*|sue\w*|suing|"
-    r"unauthoriz\w*|compromis\w*|phish\w*|scam\w*|threat\w*)\b"
-)
-PROFANITY_PATTERN = r"\b(?:fuck|shit|bitch|kill)\w*\b"
-DEAD_END_PATTERN = r"\b(?:can't|cannot|cant|unable|won't|wont)\b"
+# Risk rules.  A stem matches at the start of a word, a word as a whole.
+RISK_STEMS = [
+    "hack", "stol", "steal", "fraud", "lawyer", "legal", "sue", "unauthoriz", "compromis",
+    "phish", "scam", "threat",
+]
+RISK_WORDS = ["suing"]
+PROFANITY_STEMS = ["fuck", "shit", "bitch", "kill"]
 CANCEL_WORD = "cancel"
-
-# Risk rule of the per-request policy (case-insensitive).
-REQUEST_RISK_PATTERN = (
-    r"\b(?:hack\w*|stol\w*|steal\w*|fraud\w*|lawyer\w*|legal\w*|sue\w*|suing|"
-    r"unauthoriz\w*|compromis\w*|phish\w*|scam\w*|threat\w*|"
-    r"fuck\w*|shit\w*|bitch\w*|kill\w*)\b"
-)
+DEAD_END_WORDS = ["can't", "cannot", "cant", "unable", "won't", "wont"]
 
 # Keyword intents, first match wins, plain substrings.
 INTENT_KEYWORDS = [
@@ -52,7 +46,7 @@ EVIDENCE_ROWS = 1500
 SAMPLE_SEED = 42
 
 # Tokens of the lexical search.
-TOKEN_PATTERN = r"[a-z0-9']+"
+TOKEN_CHARACTER = "[a-z0-9']"
 MIN_TOKEN_CHARS = 3
 STOP_WORDS = (
     "a an the and or but if then than that this these those i you he she it we "

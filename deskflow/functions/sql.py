@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from . import fixed_values as fv
-from .text import any_of, java_pattern
+from .text import java_pattern, words_pattern
 
 
 def _literal(text: str) -> str:
@@ -14,32 +14,39 @@ def _literal(text: str) -> str:
 
 
 def _redact_sql() -> str:
+    text, phone = "coalesce(text, '')", "(?=[+(\\p{Nd}])" + java_pattern(fv.PHONE_PATTERN)
     steps = [
-        (fv.EMAIL_PATTERN, fv.EMAIL_TAG),
-        (java_pattern(fv.PHONE_PATTERN), fv.PHONE_TAG),
-        (java_pattern(fv.URL_PATTERN), fv.URL_TAG),
+        (fv.EMAIL_PATTERN, fv.EMAIL_TAG, f"contains({text}, '@')"),
+        (phone, fv.PHONE_TAG, None),
+        (java_pattern(fv.URL_PATTERN), fv.URL_TAG, f"(contains({text}, 'http') OR contains({text}, 'www.'))"),
     ]
-    expr = "coalesce(text, '')"
-    for pattern, tag in steps:
-        expr = f"regexp_replace({expr}, {_literal(pattern)}, {_literal(tag)})"
+    expr = text
+    for pattern, tag, needed in steps:
+        clean = f"regexp_replace({expr}, {_literal(pattern)}, {_literal(tag)})"
+        expr = f"CASE WHEN {needed} THEN {clean} ELSE {expr} END" if needed else clean
     return expr
 
 
+_LOW = "lower(coalesce(text, ''))"
+
+
+def _contains_sql(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({_LOW}, {_literal(w)})" for w in words) + ")"
+
+
 def _keyword_sql() -> str:
-    low = "lower(coalesce(text, ''))"
-    risk, dead, rude = (
-        _literal(java_pattern(p))
-        for p in (fv.RISK_PATTERN, fv.DEAD_END_PATTERN, fv.PROFANITY_PATTERN)
+    stems = fv.RISK_STEMS + fv.PROFANITY_STEMS
+    risk = _literal(words_pattern(stems, fv.RISK_WORDS))
+    stuck = _literal(words_pattern([], fv.DEAD_END_WORDS))
+    return (
+        f"({_contains_sql(stems + fv.RISK_WORDS)} AND {_LOW} RLIKE {risk})"
+        f" OR (contains({_LOW}, {_literal(fv.CANCEL_WORD)}) AND {_LOW} RLIKE {stuck})"
     )
-    cancel = _literal(fv.CANCEL_WORD)
-    return f"{low} RLIKE {risk} OR (contains({low}, {cancel}) AND {low} RLIKE {dead}) OR {low} RLIKE {rude}"
 
 
 def _intent_sql() -> str:
-    low = "lower(coalesce(text, ''))"
     cases = " ".join(
-        f"WHEN {low} RLIKE {_literal(any_of(words))} THEN {_literal(intent)}"
-        for intent, words in fv.INTENT_KEYWORDS
+        f"WHEN {_contains_sql(words)} THEN {_literal(intent)}" for intent, words in fv.INTENT_KEYWORDS
     )
     return f"CASE {cases} ELSE {_literal(fv.OTHER_INTENT)} END"
 

@@ -49,9 +49,22 @@ def java_pattern(pattern: str, dialect: str = "unicode") -> str:
     return re.sub(r"\\[bwdsS]", lambda m: spelled[m.group()], pattern)
 
 
-def any_of(words: list[str]) -> str:
-    """Alternation of literal words."""
-    return "|".join(re.escape(w) for w in words)
+def words_pattern(stems: list[str], words: list[str], dialect: str = "unicode") -> str:
+    """Pattern for a stem at the start of a word, or one of ``words`` as a whole."""
+    word = _CLASSES[dialect][0]
+    whole = [f"{re.escape(w)}(?!{word})" for w in words]
+    return f"(?<!{word})(?:{'|'.join([*map(re.escape, stems), *whole])})"
+
+
+def contains_any(col: Column, words: list[str]) -> Column:
+    """Plain substring test; much cheaper than a regular expression."""
+    return reduce(lambda acc, w: acc | w, [col.contains(w) for w in words])
+
+
+def _has_word(low: Column, stems: list[str], words: list[str], dialect: str = "unicode") -> Column:
+    # Few texts contain a stem at all; only those are searched for word limits.
+    found = contains_any(low, [*stems, *words])
+    return found & low.rlike(words_pattern(stems, words, dialect))
 
 
 def text_or_empty(col: Column) -> Column:
@@ -65,24 +78,32 @@ def redact_pii(col: Column, order: str = "phone_first") -> Column:
     ``phone_first`` is the batch behaviour.  ``url_first`` is the per-request
     one: URLs go before phone numbers, and ``\\b``/``\\d`` are ASCII.
     """
-    dialect, steps = {
-        "phone_first": ("unicode", ["phone", "url"]),
-        "url_first": ("ascii", ["url", "phone"]),
-    }[order]
-    rules = {"phone": (fv.PHONE_PATTERN, fv.PHONE_TAG), "url": (fv.URL_PATTERN, fv.URL_TAG)}
-    out = F.regexp_replace(text_or_empty(col), fv.EMAIL_PATTERN, fv.EMAIL_TAG)
-    for pattern, tag in (rules[s] for s in steps):
-        out = F.regexp_replace(out, java_pattern(pattern, dialect), tag)
-    return out
+    dialect, phone_first = {"phone_first": ("unicode", True), "url_first": ("ascii", False)}[order]
+    text = text_or_empty(col)
+
+    def email(t: Column) -> Column:
+        clean = F.regexp_replace(t, fv.EMAIL_PATTERN, fv.EMAIL_TAG)
+        return F.when(text.contains("@"), clean).otherwise(t)
+
+    def phone(t: Column) -> Column:
+        # The look-ahead only rejects positions at which no number can start.
+        digit = _CLASSES[dialect][1]
+        pattern = f"(?=[+({digit}])" + java_pattern(fv.PHONE_PATTERN, dialect)
+        return F.regexp_replace(t, pattern, fv.PHONE_TAG)
+
+    def url(t: Column) -> Column:
+        clean = F.regexp_replace(t, java_pattern(fv.URL_PATTERN, dialect), fv.URL_TAG)
+        return F.when(contains_any(text, ["http", "www."]), clean).otherwise(t)
+
+    return url(phone(email(text))) if phone_first else phone(url(email(text)))
 
 
 def keyword_flag(col: Column) -> Column:
     """Risk stem, or a cancellation that the writer cannot complete, or profanity."""
     low = F.lower(text_or_empty(col))
     return (
-        low.rlike(java_pattern(fv.RISK_PATTERN))
-        | (low.contains(fv.CANCEL_WORD) & low.rlike(java_pattern(fv.DEAD_END_PATTERN)))
-        | low.rlike(java_pattern(fv.PROFANITY_PATTERN))
+        _has_word(low, fv.RISK_STEMS + fv.PROFANITY_STEMS, fv.RISK_WORDS)
+        | (low.contains(fv.CANCEL_WORD) & _has_word(low, [], fv.DEAD_END_WORDS))
     )
 
 
@@ -92,22 +113,23 @@ def predict_escalation(text: Column, intent: Column | None = None) -> Column:
 
 
 def risk_hit(col: Column) -> Column:
-    """Per-request risk rule: one case-insensitive pattern, profanity included."""
-    return text_or_empty(col).rlike("(?i)" + java_pattern(fv.REQUEST_RISK_PATTERN, "ascii"))
+    """Per-request risk rule: risk and profanity in one, ASCII letters in any case."""
+    text, stems = text_or_empty(col), fv.RISK_STEMS + fv.PROFANITY_STEMS
+    pattern = "(?i)" + words_pattern(stems, fv.RISK_WORDS, "ascii")
+    return contains_any(F.lower(text), [*stems, *fv.RISK_WORDS]) & text.rlike(pattern)
 
 
 def dead_end(col: Column) -> Column:
     """Per-request cancellation dead-end rule."""
     text = text_or_empty(col)
-    return text.rlike(f"(?i){fv.CANCEL_WORD}") & text.rlike(
-        "(?i)" + java_pattern(fv.DEAD_END_PATTERN, "ascii")
-    )
+    pattern = "(?i)" + words_pattern([], fv.DEAD_END_WORDS, "ascii")
+    return F.lower(text).contains(fv.CANCEL_WORD) & text.rlike(pattern)
 
 
 def simple_intent(col: Column) -> Column:
     """Keyword intent, first matching group wins."""
     low = F.lower(text_or_empty(col))
-    first, *rest = [(low.rlike(any_of(words)), intent) for intent, words in fv.INTENT_KEYWORDS]
+    first, *rest = [(contains_any(low, words), intent) for intent, words in fv.INTENT_KEYWORDS]
     case = reduce(lambda acc, b: acc.when(b[0], b[1]), rest, F.when(*first))
     return case.otherwise(fv.OTHER_INTENT)
 
@@ -122,15 +144,15 @@ def trivial_escalation() -> Column:
 
 def risk_mask(col: Column) -> Column:
     """Substring test that selects the risk stratum; NULL text is not in it."""
-    return F.coalesce(F.lower(col).rlike(any_of(fv.STRATUM_RISK_WORDS)), F.lit(False))
+    return F.coalesce(contains_any(F.lower(col), fv.STRATUM_RISK_WORDS), F.lit(False))
 
 
 def tokens(col: Column) -> Column:
     """Words of at least three characters that are not stop words, duplicates kept."""
-    words = F.regexp_extract_all(F.lower(text_or_empty(col)), F.lit(fv.TOKEN_PATTERN), F.lit(0))
-    long_words = F.filter(words, lambda w: F.length(w) >= fv.MIN_TOKEN_CHARS)
+    pattern = f"{fv.TOKEN_CHARACTER}{{{fv.MIN_TOKEN_CHARS},}}"
+    words = F.regexp_extract_all(F.lower(text_or_empty(col)), F.lit(pattern), F.lit(0))
     stop = [w for w in fv.STOP_WORDS if len(w) >= fv.MIN_TOKEN_CHARS]
-    return F.filter(long_words, lambda w: ~w.isin(stop))
+    return F.filter(words, lambda w: ~w.isin(stop))
 
 
 def query_tokens(col: Column) -> Column:

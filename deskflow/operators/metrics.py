@@ -68,21 +68,26 @@ def escalation_metrics(
     )
 
 
-def compare_systems(df: DataFrame) -> DataFrame:
+def compare_systems(golden: DataFrame, preds: DataFrame) -> DataFrame:
     """Trivial, keyword and main system side by side on intent and escalation.
 
-    ``df`` has text, true_intent, true_escalate, pred_intent, pred_escalate.
+    ``golden``: tweet_id, text, true_intent, true_escalate; ``preds``: tweet_id,
+    pred_intent, pred_escalate.  The texts are judged before the join, so only
+    labels are shuffled.
     """
     text = F.col("text")
+    labelled = golden.select(
+        "tweet_id", "true_intent", "true_escalate", simple_intent(text).alias("keyword_intent"),
+        keyword_flag(text).alias("keyword_escalate"),
+    )
+    outputs = {
+        "trivial": (trivial_intent(), trivial_escalation()),
+        "keyword": (F.col("keyword_intent"), F.col("keyword_escalate")),
+        "main": (F.col("pred_intent"), F.col("pred_escalate")),
+    }
     systems = F.array(
-        *[
-            F.struct(F.lit(name).alias("system"), i.alias("intent"), e.alias("escalate"))
-            for name, i, e in [
-                ("trivial", trivial_intent(), trivial_escalation()),
-                ("keyword", simple_intent(text), keyword_flag(text)),
-                ("main", F.col("pred_intent"), F.col("pred_escalate")),
-            ]
-        ]
+        *[F.struct(F.lit(name).alias("system"), i.alias("intent"), e.alias("escalate"))
+          for name, (i, e) in outputs.items()]
     )
     esc = {
         "esc_tp": F.col("true_escalate") & F.col("escalate"),
@@ -90,7 +95,8 @@ def compare_systems(df: DataFrame) -> DataFrame:
         "esc_true": F.col("true_escalate"),
     }
     counts = (
-        df.select("true_intent", "true_escalate", F.explode(systems).alias("s"))
+        align(labelled, preds)
+        .select("true_intent", "true_escalate", F.explode(systems).alias("s"))
         .select("true_intent", "true_escalate", "s.*")
         .groupBy("system", "true_intent", "intent")
         .agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in esc.items()])
