@@ -21,6 +21,7 @@ from ..functions.text import query_tokens, tokens
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 8192
 TEXT_BLOCK = 2048
+MIN_BLOCK = 256
 
 _CELL_SCHEMA = "query_id bigint, corpus_id bigint, score double"
 
@@ -33,9 +34,13 @@ def l2_normalize(vector: Column) -> Column:
 
 
 def _blocks(df: DataFrame, rows_per_block: int) -> Column:
-    """Number of blocks as a scalar subquery, at least one."""
-    blocks = F.ceil(F.count("*") / F.lit(rows_per_block)).cast("int")
-    return df.agg(F.greatest(blocks, F.lit(1))).scalar()
+    """Number of blocks as a scalar subquery: as many as the block size asks for, and
+    for smaller tables enough to keep every core busy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = F.count("*")
+    needed = F.ceil(n / F.lit(rows_per_block))
+    useful = F.least(F.ceil(n / F.lit(MIN_BLOCK)), F.lit(cores))
+    return df.agg(F.greatest(needed, useful, F.lit(1)).cast("int")).scalar()
 
 
 def _best_over_cells(scored: DataFrame, k: int) -> DataFrame:

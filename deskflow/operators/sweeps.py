@@ -23,6 +23,11 @@ def _risk_counts() -> list[Column]:
     return [F.count("*").alias("n"), F.count_if(F.col("true_escalate")).alias("risks")]
 
 
+def _keyword(df: DataFrame) -> Column:
+    """The keyword flag of a ticket; a column ``kw`` holds it already if there is one."""
+    return F.col("kw") if "kw" in df.columns else keyword_flag(F.col("text"))
+
+
 def _steps(spark: SparkSession, n: int, name: str) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias(name))
 
@@ -75,7 +80,7 @@ def operating_curve(
     if score_digits is not None:
         score = F.round(score, score_digits)
     return _rounded(
-        _curve(df, score, keyword_flag(F.col("text")), thresholds or arange(fv.SCORE_GRID))
+        _curve(df, score, _keyword(df), thresholds or arange(fv.SCORE_GRID))
     )
 
 
@@ -90,7 +95,7 @@ def choose_threshold(df: DataFrame, cfg: GateConfig) -> DataFrame:
     Here model risk escalates too.  The lowest of equal cut-offs wins; one
     default row if none qualifies.
     """
-    always = keyword_flag(F.col("text")) | never_null(F.col("llm_risk"))
+    always = _keyword(df) | never_null(F.col("llm_risk"))
     curve = _curve(df, risk_score(cfg), always, arange(fv.SCORE_GRID))
     t, auto, miss = F.col("threshold"), F.col("auto_handle_rate"), F.col("risk_miss_rate")
     best = F.max_by(F.struct(t, auto, miss), F.struct(auto, -t))
@@ -117,7 +122,7 @@ def gate_grid(df: DataFrame) -> DataFrame:
     conf_t, ret_t = arange(fv.CONFIDENCE_GRID), arange(fv.RETRIEVAL_GRID)
     flagged = df.select(
         "confidence", "retrieval_score", "true_escalate",
-        (keyword_flag(F.col("text")) | never_null(F.col("llm_risk"))).alias("always"),
+        (_keyword(df) | never_null(F.col("llm_risk"))).alias("always"),
     )
 
     def level(name: str, gates: list[float]) -> Column:

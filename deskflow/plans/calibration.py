@@ -5,7 +5,9 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.text import keyword_flag
 from ..operators.policy import decide
 from ..operators.sweeps import choose_threshold, fit_gate
 from ..sources.config import GateConfig
@@ -14,19 +16,22 @@ from ..sources.config import GateConfig
 def calibrate(features: DataFrame) -> GateConfig:
     """Gate fitted on tickets with text, true_escalate, confidence, retrieval_score, llm_risk.
 
-    Only the fitted numbers and one result row reach the driver.
+    The fit reads its input many times, so the numbers it needs are kept, without
+    the texts.  Only the fitted numbers and one result row reach the driver.
     """
-    fitted = fit_gate(features)
-    best = choose_threshold(features, fitted).first()
+    kept = features.select(
+        "confidence", "retrieval_score", "llm_risk", "true_escalate",
+        keyword_flag(F.col("text")).alias("kw"),
+    ).persist()
+    try:
+        fitted = fit_gate(kept)
+        best = choose_threshold(kept, fitted).first()
+    finally:
+        kept.unpersist()
     return replace(fitted, prob_thresh=best.prob_thresh)
 
 
 def recalibrated_run(features: DataFrame) -> tuple[GateConfig, DataFrame]:
     """New gate and the decisions under it, without scoring any ticket again."""
-    columns = ["tweet_id", "text", "true_escalate", "confidence", "retrieval_score", "llm_risk"]
-    kept = features.select(*columns).persist()
-    try:
-        cfg = calibrate(kept)
-    finally:
-        kept.unpersist()
-    return cfg, decide(features.select(*columns), cfg)
+    cfg = calibrate(features)
+    return cfg, decide(features, cfg)
