@@ -34,11 +34,22 @@ PHRASES = [
 # A fitted gate, used where a query needs one that the SQL side knows too.
 GATE = GateConfig(1.2884131785495232, -0.9898263692865626, -0.49184527454031646, 0.5)
 
+# Column types of the driver's tables, so that reading one needs no look into its files.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "benchmark": "item_id bigint, text string",
+}
+
 METRICS = ["groundedness", "safety", "helpfulness"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,9 +57,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
-def _phrase(number: Column, part: int) -> Column:
-    values = F.array(*[F.lit(p[part]) for p in PHRASES])
-    return F.element_at(values, (number % 16 + 1).cast("int"))
+def _choice(values: list[str | None], index: str) -> str:
+    """SQL text that picks one of ``values`` by a number counted from 0."""
+    items = ", ".join("NULL" if x is None else "'" + x.replace("'", "\\'") + "'" for x in values)
+    return f"element_at(array({items}), CAST({index} AS INT) + 1)"
+
+
+def _phrase(number: str, part: int) -> Column:
+    return F.expr(_choice([p[part] for p in PHRASES], f"({number}) % 16"))
 
 
 def _grade(expr: str) -> Column:
@@ -56,31 +72,26 @@ def _grade(expr: str) -> Column:
 
 
 def tickets_from(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    i = F.col("doc_id")
-    pid = i % 16
-    intent = _phrase(i, 1)
     human = {
         "groundedness": ("doc_id % 9 = 0", "doc_id * 5 + doc_id % 3"),
         "safety": ("doc_id % 10 = 0", "doc_id * 3 + doc_id % 7"),
         "helpfulness": ("doc_id % 11 = 0", "doc_id * 13 + doc_id % 4"),
     }
     judge = {"groundedness": "doc_id * 11", "safety": "doc_id * 7", "helpfulness": "doc_id * 13"}
-    truth = pid.isin(0, 6, 8) | (F.coalesce("toxic", F.lit(0)) == 1)
-    raw_true = F.array(*map(F.lit, [" True", "TRUE\t", "true"]))
-    raw_false = F.array(F.lit("False"), F.lit(None), F.lit("no"))
-    nth = (i % 3 + 1).cast("int")
+    truth = "(doc_id % 16 IN (0, 6, 8) OR coalesce(toxic, 0) = 1)"
+    raw_true = _choice([" True", "TRUE\t", "true"], "doc_id % 3")
+    raw_false = _choice(["False", None, "no"], "doc_id % 3")
     return docs.join(labels.select("doc_id", "toxic"), "doc_id", "left").select(
-        i.alias("tweet_id"),
-        F.concat(_phrase(i, 0), F.lit(" "), F.col("text")).alias("text"),
-        intent.alias("true_intent"),
-        F.when(i % 97 == 0, "error").when(i % 6 == 0, "other").otherwise(intent).alias("pred_intent"),
-        ((30 + (i * 37) % 71).cast("double") / 100).alias("confidence"),
-        ((20 + (i * 53) % 71).cast("double") / 100).alias("retrieval_score"),
-        (pid.isin(0, 8) | (i % 23 == 0)).alias("llm_risk"),
-        truth.alias("true_escalate"),
-        F.when(truth, F.element_at(raw_true, nth)).otherwise(F.element_at(raw_false, nth)).alias(
-            "should_escalate"
-        ),
+        F.col("doc_id").alias("tweet_id"),
+        F.concat(_phrase("doc_id", 0), F.lit(" "), F.col("text")).alias("text"),
+        _phrase("doc_id", 1).alias("true_intent"),
+        F.when(F.expr("doc_id % 97 = 0"), "error").when(F.expr("doc_id % 6 = 0"), "other")
+        .otherwise(_phrase("doc_id", 1)).alias("pred_intent"),
+        F.expr("CAST(30 + (doc_id * 37) % 71 AS DOUBLE) / 100D AS confidence"),
+        F.expr("CAST(20 + (doc_id * 53) % 71 AS DOUBLE) / 100D AS retrieval_score"),
+        F.expr("(doc_id % 16 IN (0, 8) OR doc_id % 23 = 0) AS llm_risk"),
+        F.expr(f"{truth} AS true_escalate"),
+        F.expr(f"IF({truth}, {raw_true}, {raw_false}) AS should_escalate"),
         *[_grade(e).alias(f"judge_{m}") for m, e in judge.items()],
         *[F.when(~F.expr(n), _grade(e)).alias(f"human_{m}") for m, (n, e) in human.items()],
     )
@@ -103,7 +114,6 @@ def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
         return c.select("conv_id", (F.col("turn") + shift).alias("turn"), post.alias(name))
 
     assistant = F.col("role") == "assistant"
-    number = F.col("conv_id") + F.col("turn")
     body = F.when(F.col("turn") % 4 == 0, "").otherwise(F.concat(F.lit(" "), "text"))
     mention = F.when(~assistant & (F.col("conv_id") % 7 == 0), "@brandCARES ").otherwise("")
     answer = F.col("next_id").cast("string")
@@ -116,7 +126,7 @@ def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(~assistant, F.concat(F.lit("user"), F.col("conv_id").cast("string")))
             .when(F.col("conv_id") % 3 == 0, "OtherBrand").otherwise("BrandCares").alias("author_id"),
             (~assistant).alias("inbound"),
-            F.concat(mention, _phrase(number, 0), body).alias("text"),
+            F.concat(mention, _phrase("conv_id + turn", 0), body).alias("text"),
             F.when(F.col("conv_id") % 5 == 0, two).otherwise(answer).alias("response_tweet_id"),
             F.col("prev_id").alias("in_response_to_tweet_id"),
         )
@@ -153,7 +163,6 @@ def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"intent":"app_bug","confidence":0.9}', '{"intent":"other","confidence":"0.8"}',
         '{"confidence":null}', '{"risk":true}', "not json",
     ]
-    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
     failed = F.col("event_type") == "error"
     return table(spark, sf_dir, "events").select(
         e.alias("call_id"),
@@ -161,8 +170,8 @@ def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         (e % 3).alias("priority"),
         F.concat(F.lit("model-"), (e % 3).cast("string")).alias("model"),
         F.when(failed, 429).when(F.col("event_type") == "signup", 404).otherwise(200).alias("status"),
-        F.when(failed, pick(messages, e % 4)).alias("message"),
-        pick(payloads, e % 5).alias("payload"),
+        F.when(failed, F.expr(_choice(messages, "event_id % 4"))).alias("message"),
+        F.expr(_choice(payloads, "event_id % 5")).alias("payload"),
     )
 
 

@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.text import query_tokens, tokens
 
-# Rows per block: queries x corpus scores of a cell stay below ~64 MB.
+# Rows per block.  Vectors: the scores of a cell take 64 MB.  Texts: a cell holds the
+# words of its rows, and each block is copied once per block of the other side, so
+# larger blocks mean less to shuffle.
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 8192
-TEXT_BLOCK = 2048
+TEXT_BLOCK = 4096
 MIN_BLOCK = 256
 
 _CELL_SCHEMA = "query_id bigint, corpus_id bigint, score double"
@@ -50,9 +52,15 @@ def _best_over_cells(scored: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _grid_topk(queries, corpus, k, score_cell, query_rows, corpus_rows) -> DataFrame:
-    """Top-k of ``score_cell`` over all pairs of (query_id, payload) and (corpus_id, payload)."""
-    n_query, n_corpus = _blocks(queries, query_rows), _blocks(corpus, corpus_rows)
+def _grid_topk(
+    queries, corpus, k, score_cell, query_rows, corpus_rows, at_most=None
+) -> DataFrame:
+    """Top-k of ``score_cell`` over all pairs of (query_id, payload) and (corpus_id, payload).
+
+    ``at_most`` is a table with at least as many rows as ``queries`` that is cheaper to count.
+    """
+    n_query = _blocks(queries if at_most is None else at_most, query_rows)
+    n_corpus = _blocks(corpus, corpus_rows)
 
     def cells(df, id_col, own, own_blocks, other, other_blocks):
         return df.withColumns(
@@ -195,13 +203,14 @@ def _word_cell(k: int):
 def lexical_topk(
     queries: DataFrame, corpus: DataFrame, k: int = fv.TOP_K, query_id: str = "id",
     corpus_id: str = "id", query_text: str = "text", corpus_text: str = "text",
-    query_rows: int = QUERY_BLOCK, corpus_rows: int = TEXT_BLOCK,
+    query_rows: int = TEXT_BLOCK, corpus_rows: int = TEXT_BLOCK, at_most: DataFrame | None = None,
 ) -> DataFrame:
     """The ``k`` corpus texts sharing most words with every query, exactly.
 
     Score: occurrences in the text of words of the query, over the square root of
     (distinct query words x words of the text).  Texts that share no word do not
-    appear; equal scores rank by id.
+    appear; equal scores rank by id.  ``at_most``: a table with at least as many rows
+    as ``queries`` that is cheaper to count, for the choice of blocks.
     """
     q = queries.select(
         F.col(query_id).cast("bigint").alias("query_id"),
@@ -210,7 +219,7 @@ def lexical_topk(
     c = corpus.select(
         F.col(corpus_id).cast("bigint").alias("corpus_id"), tokens(F.col(corpus_text)).alias("payload")
     )
-    return _grid_topk(q, c, k, _word_cell(k), query_rows, corpus_rows)
+    return _grid_topk(q, c, k, _word_cell(k), query_rows, corpus_rows, at_most)
 
 
 def with_evidence_text(

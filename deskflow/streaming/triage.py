@@ -50,7 +50,8 @@ def attach_evidence(triaged: DataFrame, corpus: DataFrame, k: int = fv.TOP_K) ->
     """Add the ``k`` past replies closest in words, best first, to accepted requests."""
     asked = triaged.where(F.col("error").isNull()).select("tweet_id", "safe_text")
     hits = lexical_topk(
-        asked, corpus, k, query_id="tweet_id", corpus_id="tweet_id", query_text="safe_text"
+        asked, corpus, k, query_id="tweet_id", corpus_id="tweet_id", query_text="safe_text",
+        at_most=triaged.select("tweet_id"),
     )
     lists = (
         with_evidence_text(hits, corpus, "tweet_id")
