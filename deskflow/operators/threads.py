@@ -71,9 +71,32 @@ def sample_order(id_col: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), id_col.cast("string")))
 
 
+# Partial samples per group that are merged before the last step.
+MERGE_GROUPS = 128
+
+
+def _partly_limited(df: DataFrame, order: list[str], n: int, by: list[str]) -> DataFrame:
+    """Drop rows that cannot be among the first ``n`` of their ``by`` group.
+
+    Every partition keeps its own first ``n``, partitions are merged in groups, and
+    each group keeps its first ``n``; so the last step sees at most MERGE_GROUPS * n
+    rows instead of n per partition.  How partitions are grouped has no influence
+    on the final first ``n``.
+    """
+    in_group = Window.partitionBy(*by, "merge_group").orderBy(*order)
+    return (
+        df.withColumn("merge_group", F.spark_partition_id() % MERGE_GROUPS)
+        .withColumn("pos", F.row_number().over(in_group))
+        .where(F.col("pos") <= n)
+        .drop("merge_group", "pos")
+    )
+
+
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = fv.SAMPLE_SEED) -> DataFrame:
     """Exactly ``n`` rows (all, if there are fewer), the same ones on every run."""
-    return df.orderBy(sample_order(F.col(id_col), seed), id_col).limit(n)
+    order = ["sample_key", id_col]
+    keyed = df.withColumn("sample_key", sample_order(F.col(id_col), seed))
+    return _partly_limited(keyed, order, n, []).orderBy(*order).limit(n).select(*df.columns)
 
 
 def evidence_sample(
@@ -91,13 +114,11 @@ def with_label_columns(df: DataFrame) -> DataFrame:
 def golden_set(threads: DataFrame, seed: int = fv.SAMPLE_SEED) -> DataFrame:
     """Tickets to label: random ones, then risky ones, then short ones, each ticket once.
 
-    One scan.  Every stratum first keeps as many rows as it can need when all
-    earlier strata took their picks from it (at most 100, 150 and 200), which
-    Spark does per partition before the shuffle.  Strata are then settled on
-    these few hundred rows.
+    One scan.  A stratum can lose at most the picks of earlier strata, so its first
+    200 rows (the sum of all sizes) are enough; each partition limits itself to
+    those before the shuffle, and strata are settled on what remains.
     """
     sizes = [fv.GOLDEN_RANDOM_ROWS, fv.GOLDEN_RISK_ROWS, fv.GOLDEN_SHORT_ROWS]
-    reach = [sum(sizes[: i + 1]) for i in range(len(sizes))]
     text = F.col("text")
     strata = F.array_compact(
         F.array(F.lit(0), F.when(risk_mask(text), 1), F.when(is_short(text), 2))
@@ -109,11 +130,8 @@ def golden_set(threads: DataFrame, seed: int = fv.SAMPLE_SEED) -> DataFrame:
         inbound(threads)
         .select("tweet_id", "text", sample_order(F.col("tweet_id"), seed).alias("sample_key"),
                 F.explode(strata).alias("stratum"))
-        .withColumn("pos", F.row_number().over(in_order))
     )
-    # The literal bound lets Spark limit each stratum before the shuffle.
-    rows = rows.where(F.col("pos") <= reach[-1])
-    rows = rows.where(F.element_at(F.array(*map(F.lit, reach)), F.col("stratum") + 1) >= F.col("pos"))
+    rows = _partly_limited(rows, ["sample_key", "tweet_id"], sum(sizes), ["stratum"])
 
     for stratum, size in enumerate(sizes):
         here = F.col("stratum") == stratum

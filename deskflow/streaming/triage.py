@@ -24,8 +24,11 @@ def triage_requests(requests: DataFrame) -> DataFrame:
     known = requests.withColumns(
         {c: F.lit(None).cast("string") for c in REQUEST_COLUMNS if c not in requests.columns}
     )
+    accepted = F.col("error").isNull()
     parsed = (
         fill_missing_outputs(validated(known))
+        # The text of a rejected request goes no further, so no rule is spent on it.
+        .withColumn("text", F.when(accepted, F.col("text")))
         .withColumn("_i", parse_request_intent(F.col("intent_payload")))
         .withColumns(
             {
@@ -42,7 +45,6 @@ def triage_requests(requests: DataFrame) -> DataFrame:
         "safe_text", "intent", "confidence", "escalate", "reasons", "prompt", "reply",
         "intent_model", "risk_model", "draft_model",
     ]
-    accepted = F.col("error").isNull()
     return decided.select("tweet_id", "error", *[F.when(accepted, F.col(c)).alias(c) for c in results])
 
 
