@@ -209,7 +209,8 @@ def lexical_topk(
 
     Score: occurrences in the text of words of the query, over the square root of
     (distinct query words x words of the text).  Texts that share no word do not
-    appear; equal scores rank by id.  ``at_most``: a table with at least as many rows
+    appear; equal scores rank by id.  Blocks hold whole texts: lower ``query_rows`` and
+    ``corpus_rows`` for texts of megabytes.  ``at_most``: a table with at least as many rows
     as ``queries`` that is cheaper to count, for the choice of blocks.
     """
     q = queries.select(

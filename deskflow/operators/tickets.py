@@ -59,29 +59,36 @@ def fill_missing_outputs(df: DataFrame) -> DataFrame:
 Scorer = Callable[[Iterable[str]], Iterable[str]]
 
 
-def keyword_scorer() -> Scorer:
-    """Offline scorer: the keyword intent with a fixed confidence, as model JSON."""
-    groups, other = fv.INTENT_KEYWORDS, fv.OTHER_INTENT
+def keyword_scorer() -> Callable[[], Scorer]:
+    """Maker of the offline scorer: the keyword intent with a fixed confidence, as model JSON.
 
-    def answer(text: str) -> str:
-        low = text.lower()
-        hits = (intent for intent, words in groups if any(w in low for w in words))
-        return json.dumps({"intent": next(hits, other), "confidence": 0.5})
+    A closure, so it travels to the executors by value.
+    """
+    groups, other, confidence = fv.INTENT_KEYWORDS, fv.OTHER_INTENT, fv.DEFAULT_CONFIDENCE
+
+    def make() -> Scorer:
+        def answer(text: str) -> str:
+            low = text.lower()
+            hits = (intent for intent, words in groups if any(w in low for w in words))
+            return json.dumps({"intent": next(hits, other), "confidence": confidence})
+
+        return lambda texts: map(answer, texts)
 
-    return lambda texts: map(answer, texts)
+    return make
 
 
 def score_tickets(
-    df: DataFrame, scorer_factory: Callable[[], Scorer] = keyword_scorer, text: str = "text"
+    df: DataFrame, make_scorer: Callable[[], Scorer] | None = None, text: str = "text"
 ) -> DataFrame:
     """Add ``payload``, the JSON answer of a caller-supplied model to each text.
 
-    The scorer is made once per partition, which is where a model or a client
+    ``make_scorer`` is called once per partition, which is where a model or a client
     connection belongs; parse the answers with ``parse_intent``.
     """
+    make = make_scorer or keyword_scorer()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = scorer_factory()
+        scorer = make()
         for batch in batches:
             yield batch.assign(payload=list(scorer(batch[text].fillna(""))))
 

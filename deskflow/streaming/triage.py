@@ -78,7 +78,8 @@ def triage_stream(
     """Start triage of a stream of requests into the Parquet folder ``output``.
 
     Everything up to the decision is stateless; evidence is looked up per
-    micro-batch.  A batch that is run again after a failure replaces its own
+    micro-batch, which reads the corpus once each time: pass an ``evidence_sample``
+    stored as a table for short batches over a large history.  A batch that is run again after a failure replaces its own
     folder, so results are neither lost nor doubled.
     """
 
