@@ -10,3 +10,15 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
  doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d
 """
+
+ORACLES["op9_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY array_to_string(w[i:i + 34], ' ')) AS c FROM s),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 35)))) AS g FROM h WHERE c > 1 GROUP BY doc_id),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+q AS (SELECT p.doc_id, p.i, p.word FROM p LEFT JOIN (SELECT doc_id, unnest(g) AS i FROM gone) x ON p.doc_id = x.doc_id AND p.i = x.i WHERE x.i IS NULL),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM q GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, CAST(coalesce(len(gone.g), 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+"""
