@@ -131,6 +131,7 @@ def exact_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shar
     rows = settled(rows.withColumn(ROW, F.monotonically_increasing_id()), "hashed")
     maybe = rows.where(MAYBE)
     groups = maybe.groupBy(SHA).agg(F.max(F.struct(id, ROW)).alias("top"), F.count("*").alias("group_size"))
+    groups = settled(groups, "groups")  # a plain join of two tables, whose hot keys Spark splits
     met = maybe.join(groups, SHA).select(
         id, F.col(f"top.{id}").alias("keep_id"), "group_size",
         (F.col(ROW) == F.col(f"top.{ROW}")).alias("kept"), F.col(SHA).alias("text_sha256"),
