@@ -23,6 +23,12 @@ SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+# Lower-case letters, digits and non-ASCII bytes; everything else is a space.
+NORMAL = np.full(256, 32, np.uint8)
+NORMAL[48:58] = np.arange(48, 58)
+NORMAL[65:91] = np.arange(97, 123)
+NORMAL[97:123] = np.arange(97, 123)
+NORMAL[128:] = np.arange(128, 256)
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -98,11 +104,13 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def hashed_words(texts: pa.Array, lower: bool = False) -> Words:
-    """Hash every word of every text, with A-Z lowered first if asked."""
+def hashed_words(texts: pa.Array, lower: bool = False, table: np.ndarray | None = None) -> Words:
+    """Hash every word of every text, with A-Z lowered or bytes exchanged by a table first if asked."""
     data, offsets = text_bytes(texts)
     if lower:
         data = LOWER[data]
+    if table is not None:
+        data = table[data]
     hashes, starts, ends = [], [], []
     bounds = offsets[:-1]
     a = 0
@@ -169,3 +177,17 @@ def sliced(batches: Iterator[pa.RecordBatch], size: int = 16 << 20) -> Iterator[
         rows = max(1, batch.num_rows * size // max(1, batch.nbytes))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def word_counts(texts: pa.Array) -> np.ndarray:
+    """Words of each text."""
+    data, offsets = text_bytes(texts)
+    begins = ~SPACES[data]
+    inner = offsets[:-1][np.diff(offsets) > 0]
+    at_start = begins[inner]
+    begins[1:] &= SPACES[data[:-1]]
+    begins[inner] = at_start
+    out = np.zeros(len(offsets) - 1, np.int64)
+    if len(inner):
+        out[np.diff(offsets) > 0] = np.add.reduceat(begins, inner, dtype=np.int64)
+    return out
