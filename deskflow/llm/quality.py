@@ -37,9 +37,9 @@ SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 # Measure: (expression, whether low values are judged too, least width of the fence)
 MEASURES: dict[str, tuple[str, bool, float]] = {
     "word_length": ("word_chars / n_words", True, 2.0),
-    "symbol_share": ("n_symbols / word_chars", False, 0.1),
+    "symbol_share": ("n_symbols / word_chars", False, 0.06),
     "line_share": ("n_dup_lines / n_words", False, 0.1),
-    "repeat_share": ("n_repeat_words / n_words", False, 0.15),
+    "repeat_share": ("n_repeat_words / n_words", False, 0.25),
 }
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
