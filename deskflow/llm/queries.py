@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
+from .language_model import score, train
+from .license_scan import scan
+from .mixing import mix
 from .quality import judged
 from .substring_dedup import remove_repeated_windows
+from .toxicity import learn, learned_from, scored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,3 +43,40 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = judged(_read(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons")
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places, base = F.col("base.word"), F.col("base.label")
+    labels = F.array_sort(F.array_union(base, F.col("found.label")))
+    missed = F.aggregate(F.col("found.strength"), F.lit(1.0), lambda a, x: a * (1 - x))
+    return scan(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(labels, ",").alias("labels"),
+        (1 - missed * F.pow(F.lit(0.5), F.least(F.size("base"), F.lit(30)))).alias("score"),
+    )
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times")
+
+
+@query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    docs = _read(spark, sf_dir, "documents").withColumn("held_out", held_out)
+    model = train(docs.where(~F.col("held_out")))
+    done = score(docs, model, keep=("held_out",)).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity")
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", perplexity)
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = learn(docs.where(learned_from()), labels.where(learned_from()))
+    done = scored(docs.select("doc_id", "text"), model, drop_text=True)
+    return done.select("doc_id", (~learned_from()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
