@@ -8,8 +8,8 @@ is negative, its own gradient is followed upwards.  The prior is the share of to
 among the labelled rows that may be learned from.
 
 Features are the words of a text (letters, digits and non-ASCII, A-Z lowered) and the first
-4, 5 and 6 bytes of longer words, hashed; a classifier uses those that the positives have
-significantly more or less often than the unlabelled texts.  The score is the logistic
+4, 5 and 6 bytes of longer words, hashed, each also as "twice or more"; a classifier uses those
+that the positives have significantly more or less often than the unlabelled texts.  The score is the logistic
 function of the members' mean, so it is a probability of label 1.
 
 Training reads at most POSITIVES and MEMBERS * UNLABELLED texts, picked by a seeded hash of
@@ -39,6 +39,7 @@ BITS = 20
 PREFIXES = (4, 5, 6)
 SIGNIFICANT = 5.0
 LEAST = 3
+RIDGE = 3e-4
 STEPS = 400
 SEED = 29
 _VALUES = np.random.Generator(np.random.PCG64(41)).integers(1, 2**63, (max(PREFIXES), 256), dtype=np.uint64)
@@ -71,16 +72,25 @@ def _features(words: Words) -> list[np.ndarray]:
     return out
 
 
+def _again(features: np.ndarray) -> np.ndarray:
+    """The feature of occurring twice or more."""
+    return (features * 0x9E3779B1 + 0x7F4A7C15) & ((1 << BITS) - 1)
+
+
 def _pairs(texts: pa.Array, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs, sorted; only of the chosen features."""
+    """Distinct (text, feature) pairs; only of the chosen features."""
     words = hashed_words(texts, table=NORMAL)
     text = words.text_of_word()
+    if chosen is not None:
+        chosen = chosen | chosen[_again(np.arange(1 << BITS))]
     found = []
     for numbers in _features(words):
         at = np.flatnonzero(numbers >= 0 if chosen is None else (numbers >= 0) & chosen[numbers])
         found.append(text[at] << BITS | numbers[at])
-    both = np.unique(np.concatenate(found))
-    return both >> BITS, both & ((1 << BITS) - 1)
+    both, times = np.unique(np.concatenate(found), return_counts=True)
+    row, feature = both >> BITS, both & ((1 << BITS) - 1)
+    more = times > 1
+    return np.concatenate([row, row[more]]), np.concatenate([feature, _again(feature[more])])
 
 
 def fit(positive: pa.Array, unlabelled: pa.Array, prior: float, steps: int = STEPS) -> Classifier:
@@ -113,7 +123,7 @@ def fit(positive: pa.Array, unlabelled: pa.Array, prior: float, steps: int = STE
         else:
             g[:n_p] = prior * share[:n_p] / n_p
             g[n_p:] = -share[n_p:] / n_u
-        grad = np.append(np.bincount(column, g[row], len(chosen)), g.sum()) + 1e-5 * np.append(w[:-1], 0)
+        grad = np.append(np.bincount(column, g[row], len(chosen)), g.sum()) + RIDGE * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Classifier(chosen, w[:-1], float(w[-1]))
