@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from .exact_dedup import exact_duplicates
 from .language_model import score, train
 from .license_scan import scan
 from .mixing import mix
+from .packing import pack
 from .quality import judged
 from .substring_dedup import remove_repeated_windows
 from .toxicity import learn, learned_from, scored
@@ -80,3 +82,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn(docs.where(learned_from()), labels.where(learned_from()))
     done = scored(docs.select("doc_id", "text"), model, drop_text=True)
     return done.select("doc_id", (~learned_from()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), extra={"ids_crc32": F.crc32("ids")})
+    return done.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
