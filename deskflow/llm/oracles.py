@@ -22,3 +22,21 @@ k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM q GROUP BY doc_i
 SELECT d.doc_id, len(d.w) AS n_words, CAST(coalesce(len(gone.g), 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
 FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
 """
+
+ORACLES["op6_chat_format"] = r"""
+WITH c AS (
+ SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#') AS esc,
+ CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant'
+  ELSE '=' || replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#'), ':', '\:') END AS title FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns,
+ string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text) AS spoken,
+ coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '') AS loss,
+ string_agg(role, ',' ORDER BY turn NULLS LAST, role, text) AS roles,
+ CAST(sum(length('### ' || title || ': ' || esc || '</turn>') + 1) AS BIGINT) AS formatted_chars
+ FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
+ regexp_full_match(roles, '(system,)?user,assistant(,user,assistant)*') AS valid
+FROM g
+"""

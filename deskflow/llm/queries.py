@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import format_conversations, loss_text, read_turns
 from .exact_dedup import exact_duplicates
 from .language_model import score, train
 from .license_scan import scan
@@ -88,3 +89,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), extra={"ids_crc32": F.crc32("ids")})
     return done.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
+    )
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(extra)
+    done = format_conversations(rows).select(
+        "conv_id", "formatted", "valid", read_turns(F.col("formatted")).alias("turns"), loss_text(F.col("segments")).alias("loss")
+    )
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return done.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"), "valid",
+    )
