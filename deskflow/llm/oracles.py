@@ -40,3 +40,15 @@ SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, length(loss) AS loss_ch
  regexp_full_match(roles, '(system,)?user,assistant(,user,assistant)*') AS valid
 FROM g
 """
+
+ORACLES["op2_near_dedup"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(g, ' ') AS g FROM (
+ SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w] ELSE list_transform(range(1, len(w)), lambda i: w[i:i + 1]) END) AS g FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS met FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.met),
+m AS (SELECT doc_id, min(met) AS component_id FROM r GROUP BY doc_id)
+SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, m.doc_id = m.component_id AS kept FROM m LEFT JOIN n ON n.doc_id = m.doc_id
+"""

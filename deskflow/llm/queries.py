@@ -13,6 +13,7 @@ from .exact_dedup import exact_duplicates
 from .language_model import score, train
 from .license_scan import scan
 from .mixing import mix
+from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import judged
 from .substring_dedup import remove_repeated_windows
@@ -108,3 +109,9 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"), "valid",
     )
+
+
+@query
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = near_duplicates(_read(spark, sf_dir, "documents"), width=2)
+    return done.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
