@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import load_array, new_folder, save_array, settled
+from .shared import checked_broadcast, load_array, new_folder, save_array, settled
 from .words import U64, hashed_words, mixed, ngrams, sliced
 
 WIDTH = 5
@@ -43,7 +43,6 @@ PERCENT = 80
 COORDINATES = 48
 MATCHES = 24
 PREFIX = COORDINATES - MATCHES + 1
-BROADCAST_ROWS = 500_000
 STORE = 1 << 20
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**62, COORDINATES, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -170,10 +169,8 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _stored_sets(df: DataFrame, wanted: DataFrame, id: str, text: str, width: int, folder: str) -> DataFrame:
     """Write the sets of the wanted classes (id, node, set_a, set_b); gives (node, file, start, size)."""
-    rows = wanted.select(F.col(id).alias("__id"), "node", "set_a", "set_b")
-    if rows.count() <= BROADCAST_ROWS:
-        rows = F.broadcast(rows)
-    met = df.select(id, text).join(rows, F.col(id).eqNullSafe(F.col("__id"))).select(text, "node", "set_a", "set_b")
+    rows = checked_broadcast(settled(wanted.select(F.col(id).alias("__wanted_id"), "node", "set_a", "set_b"), "wanted"))
+    met = df.select(id, text).join(rows, F.col(id).eqNullSafe(F.col("__wanted_id"))).select(text, "node", "set_a", "set_b")
 
     def store(batches):
         held, size, name = [], 0, uuid.uuid4().hex
@@ -256,3 +253,15 @@ def _labelled(rows: DataFrame, nodes: DataFrame, found: DataFrame, id: str, key:
     first = labelled.groupBy("group").agg(F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("least"), "__row")).alias("first"))
     first = settled(first.select("group", F.col("first.least").alias("component_id"), F.col("first.__row").alias("first_row")), "first")
     return labelled.join(first, "group").select(id, "n_shingles", "component_id", "__row", "first_row")
+
+
+def drop_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """df with the row of the least id of each component, all columns unchanged.
+
+    Texts without words stay.  The rows are numbered in a copy, so that equal rows are told apart.
+    """
+    rows = settled(df.withColumn("__number", F.monotonically_increasing_id()), "numbered")
+    named = rows.select(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col("__number").alias("number")).alias("__id"), text)
+    done = near_duplicates(named, "__id", text, width, percent)
+    gone = checked_broadcast(settled(done.where("__row <> first_row").select(F.col("__id.number").alias("__number")), "gone"))
+    return rows.join(gone, "__number", "left_anti").select(*df.columns)

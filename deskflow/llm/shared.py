@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from deskflow.session import fresh_folder
 
@@ -27,6 +28,11 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def checked_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A hint to broadcast a narrow table, only if it has no more rows than that; else any join will do."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder for arrays, as a URI that every worker can open."""
     folder = fresh_folder(spark, name)
