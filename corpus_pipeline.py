@@ -1,24 +1,56 @@
-"""Documents to training sequences, one operator of deskflow.llm per stage."""
+"""Documents to training sequences, one operator of deskflow.llm per stage.
+
+Every stage takes (spark, docs, sf_dir) and gives a DataFrame; run() writes each result as
+Parquet and reads it again.  All stages but the last give the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from deskflow.llm.exact_dedup import drop_exact_duplicates
+from deskflow.llm.mixing import mixture
+from deskflow.llm.near_dedup import drop_near_duplicates
+from deskflow.llm.packing import pack
+from deskflow.llm.toxicity import drop_toxic
 from deskflow.session import fresh_folder
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """Of equal texts, the document with the largest id stays."""
     return drop_exact_duplicates(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates (five-word shingles, similarity 0.8), the document with the least id stays."""
+    return drop_near_duplicates(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their sources take them."""
+    return mixture(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences of 4096 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), extra={"ids_crc32": F.crc32("ids")})
+
+
+STAGES = [
+    ("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents; each result is written as Parquet and read again."""
+    """Apply all stages to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         folder = fresh_folder(spark, f"stage-{name}")
