@@ -36,10 +36,10 @@ SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
 # Measure: (expression, whether low values are judged too, least width of the fence)
 MEASURES: dict[str, tuple[str, bool, float]] = {
-    "word_length": ("word_chars / n_words", True, 2.0),
-    "symbol_share": ("n_symbols / word_chars", False, 0.06),
-    "line_share": ("n_dup_lines / n_words", False, 0.1),
-    "repeat_share": ("n_repeat_words / n_words", False, 0.25),
+    "word_length": ("try_divide(word_chars, n_words)", True, 2.0),
+    "symbol_share": ("try_divide(n_symbols, word_chars)", False, 0.06),
+    "line_share": ("try_divide(n_dup_lines, n_words)", False, 0.1),
+    "repeat_share": ("try_divide(n_repeat_words, n_words)", False, 0.25),
 }
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -121,15 +121,20 @@ def thresholds(rows: DataFrame, groups: tuple[str, str], min_group: int = MIN_GR
     def limits(df: DataFrame, prefix: str) -> DataFrame:
         out = []
         for m, (_, low, slack) in MEASURES.items():
-            a, b = (F.kll_sketch_get_quantile_double(m, F.lit(q)) for q in (0.25, 0.75))
+            filled = F.kll_sketch_get_n_double(m) > 0  # an empty sketch has no quantile
+            a, b = (F.when(filled, F.kll_sketch_get_quantile_double(m, F.lit(q))) for q in (0.25, 0.75))
             width = F.greatest(F.lit(slack), spread * (b - a))
             out += [(a - width if low else F.lit(None).cast("double")).alias(f"{prefix}{m}_low"), (b + width).alias(f"{prefix}{m}_high")]
         return df.select(*[c for c in (lang, source) if c in df.columns], F.col("n").alias(f"{prefix}n"), *out)
 
-    own = rows.select(lang, source).distinct().alias("g")
-    own = own.join(limits(sketches, "own_").alias("o"), F.col(f"g.{lang}").eqNullSafe(F.col(f"o.{lang}")) & F.col(f"g.{source}").eqNullSafe(F.col(f"o.{source}")), "left").select("g.*", *[F.col(f"o.{c}") for c in limits(sketches, "own_").columns if c not in (lang, source)])
-    own = own.alias("g").join(limits(by_lang, "lang_").alias("l"), F.col(f"g.{lang}").eqNullSafe(F.col(f"l.{lang}")), "left").drop(F.col(f"l.{lang}"))
-    own = own.join(limits(overall, "all_"), how="left")
+    def same(*names: str) -> Column:
+        return reduce(Column.__and__, [F.col(f"g.{c}").eqNullSafe(F.col(f"o.{c}")) for c in names])
+
+    own = rows.select(lang, source).distinct()
+    for names, limit in (((lang, source), limits(sketches, "own_")), ((lang,), limits(by_lang, "lang_"))):
+        more = [F.col(f"o.{c}") for c in limit.columns if c not in names]
+        own = own.alias("g").join(limit.alias("o"), same(*names), "left").select("g.*", *more)
+    own = own.join(limits(overall, "all_"), how="left")  # one row
 
     def pick(name: str) -> Column:
         return (
