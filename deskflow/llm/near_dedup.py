@@ -44,6 +44,8 @@ COORDINATES = 48
 MATCHES = 24
 PREFIX = COORDINATES - MATCHES + 1
 STORE = 1 << 20
+CHUNK = 512
+CELL = 4096
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**62, COORDINATES, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -107,7 +109,7 @@ def signed(df: DataFrame, id: str, text: str, width: int) -> DataFrame:
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """Rows (key, node): a key stands for a coordinate and its value."""
+    """Rows (key, node, coordinate): a key stands for a coordinate and its value."""
 
     def post(batches):
         for batch in batches:
@@ -115,9 +117,10 @@ def _postings(classes: DataFrame) -> DataFrame:
                 values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
                 keys = mixed(values.astype(np.uint64) | (np.arange(COORDINATES, dtype=np.uint64) << U64(32)))
                 node = np.repeat(batch.column(0).to_numpy(), COORDINATES)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], names=["key", "node"])
+                place = np.tile(np.arange(COORDINATES, dtype=np.int32), len(values))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node), pa.array(place)], names=["key", "node", "coordinate"])
 
-    return classes.select("node", "signature").mapInArrow(post, "key long, node long")
+    return classes.select("node", "signature").mapInArrow(post, "key long, node long, coordinate int")
 
 
 def _prefixes(classes: DataFrame) -> DataFrame:
@@ -127,7 +130,7 @@ def _prefixes(classes: DataFrame) -> DataFrame:
     met = posted.join(common, "key")
     of_node = Window.partitionBy("node")
     ranked = met.withColumn("place", F.row_number().over(of_node.orderBy("n", "key"))).withColumn("posted", F.count("*").over(of_node))
-    kept = ranked.where(F.col("place") + (COORDINATES - F.col("posted")) <= PREFIX).select("key", "node")
+    kept = ranked.where(F.col("place") + (COORDINATES - F.col("posted")) <= PREFIX).select("key", "node", "coordinate")
     return settled(kept, "prefixes")
 
 
@@ -140,17 +143,6 @@ def _pivot_pairs(posted: DataFrame) -> DataFrame:
     return met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
 
 
-def _cross_pairs(posted: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes of different components that share a value."""
-    grouped = posted.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    grouped = settled(grouped, "grouped")
-    mixed_keys = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rows = settled(grouped.join(settled(mixed_keys.select("key"), "mixed"), "key", "left_semi"), "rows")
-    x, y = rows.alias("x"), rows.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
-    return met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-
-
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose signatures agree in MATCHES coordinates or more."""
     one = classes.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
@@ -223,6 +215,92 @@ def _links(pairs: DataFrame, sets: DataFrame, folder: str, percent: int) -> Data
     return settled(met.mapInArrow(confirm, "a long, b long"), "links")
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    """rows (key, node, component, ...) dealt into cells that hold at most about 2 * CHUNK of them.
+
+    A value's large components are cut into chunks by hash, its small ones share chunks.  A
+    cell is a pair of chunks of one value (side 1 against side 2, or side 0 with itself);
+    no cell is made of two chunks of one component.  Values of one chunk share cells.
+    """
+    counts = settled(rows.groupBy("key", "component").agg(F.count("*").alias("n")), "counts")
+    few = counts.where(F.col("n") < CHUNK).groupBy("key").agg(F.sum("n").alias("few"))
+    chunks = counts.join(few, "key", "left").select(
+        "key", "component", (F.col("n") >= CHUNK).alias("large"),
+        F.ceil(F.when(F.col("n") >= CHUNK, F.col("n")).otherwise(F.col("few")) / CHUNK).alias("cuts"),
+    )
+    large = F.col("large")
+    rows = rows.join(settled(chunks, "chunks"), ["key", "component"]).withColumn("tag", F.when(large, F.col("component")).otherwise(-1))
+    rows = rows.withColumn("cut", F.pmod(F.xxhash64(F.when(large, F.col("node")).otherwise(F.col("component"))), "cuts")).drop("large", "cuts")
+    rows = settled(rows, "cut")
+    heads = rows.groupBy("key").agg(F.collect_set(F.struct("tag", "cut")).alias("heads"))  # a row per CHUNK classes
+    heads = settled(heads.withColumn("alone", F.size("heads") == 1), "heads")
+    shared = rows.join(heads.where("alone").select("key"), "key", "left_semi")
+    buckets = max(1, -(-shared.count() // CELL))
+    shared = shared.withColumns({"side": F.lit(0), "cell": F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("string")})
+    pair = F.expr("explode(flatten(transform(heads, x -> transform(filter(heads, y -> x <= y AND (x.tag < 0 OR x.tag <> y.tag)), y -> struct(x, y)))))")
+    pairs = settled(heads.where("NOT alone").select("key", pair.alias("p")).select("key", F.col("p.x").alias("x"), F.col("p.y").alias("y")), "cell_pairs")
+    cell = F.concat_ws(":", "key", "x.tag", "x.cut", "y.tag", "y.cut").alias("cell")
+    one = F.col("x") == F.col("y")
+    sides = pairs.select("key", F.col("x.tag").alias("tag"), F.col("x.cut").alias("cut"), cell, F.when(one, 0).otherwise(1).alias("side")).unionAll(
+        pairs.where(~one).select("key", F.col("y.tag").alias("tag"), F.col("y.cut").alias("cut"), cell, F.lit(2).alias("side"))
+    )
+    crossed = rows.join(sides, ["key", "tag", "cut"])
+    columns = [c for c in rows.columns if c not in ("tag", "cut")]
+    return shared.select("cell", "side", *columns).unionAll(crossed.select("cell", "side", *columns))
+
+
+def _cross_links(posted: DataFrame, found: DataFrame, classes: DataFrame, sets: DataFrame, folder: str, percent: int) -> DataFrame:
+    """Links (a, b) between classes of different components that share a posted value.
+
+    Pairs are made, counted and confirmed within a cell and never leave it unless they are
+    links.  A pair is looked at under the first value only that both have posted.
+    """
+    grouped = posted.join(found, "node", "left").select("key", "node", "coordinate", F.coalesce("component", "node").alias("component"))
+    grouped = settled(grouped, "grouped")
+    open_keys = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    rows = settled(grouped.join(settled(open_keys.select("key"), "open"), "key", "left_semi"), "open_rows")
+    masks = posted.groupBy("node").agg(F.expr("bit_or(shiftleft(1L, coordinate))").alias("mask"))
+    about = classes.select("node", "signature").join(masks, "node").join(sets, "node")
+    about = settled(about.join(rows.select("node").distinct(), "node", "left_semi"), "about")
+    cells = _cells(rows).join(about, "node").select("cell", "side", "key", "coordinate", "component", "node", "mask", "signature", "file", "start", "size")
+
+    def compare(group: pa.Table) -> pa.Table:
+        side, key, place, component, node, mask, start, size = (
+            group[c].combine_chunks().to_numpy() for c in ("side", "key", "coordinate", "component", "node", "mask", "start", "size")
+        )
+        values = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint32).reshape(-1, COORDINATES)
+        bits = (mask[:, None] >> np.arange(COORDINATES)) & 1 == 1
+        file = group["file"].to_pylist()
+        order = np.argsort(key, kind="stable")
+        edge = np.append(np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])), len(order))
+        a, b = [], []
+        for lo, hi in zip(edge, edge[1:]):
+            mine = order[lo:hi]
+            left, right = (mine, mine) if side[mine[0]] == 0 else (mine[side[mine] == 1], mine[side[mine] == 2])
+            for n, i in enumerate(left):
+                other = right[n + 1 :] if side[i] == 0 else right
+                other = other[(component[other] != component[i]) & (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))]
+                if not len(other):
+                    continue
+                same = values[other] == values[i]
+                good = same.sum(1) >= MATCHES
+                other, same = other[good], same[good]
+                other = other[(same & bits[other] & bits[i]).argmax(1) == place[i]] if len(other) else other
+                if len(other):
+                    own = load_array(folder, file[i], np.uint64)[start[i] : start[i] + size[i]]
+                    for j in other.tolist():
+                        theirs = load_array(folder, file[j], np.uint64)[start[j] : start[j] + size[j]]
+                        both = np.concatenate([own, theirs])
+                        both.sort(kind="stable")
+                        common = int(np.count_nonzero(both[1:] == both[:-1]))
+                        if 100 * common >= percent * (len(both) - common):
+                            a.append(max(node[i], node[j]))
+                            b.append(min(node[i], node[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return settled(cells.groupBy("cell").applyInArrow(compare, "a long, b long"), "cross_links")
+
+
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id (least id of its component), __row, first_row.
 
@@ -240,9 +318,9 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
     sets = _stored_sets(df, classes.join(wanted, "node", "left_semi"), id, text, width, folder)
     links = _links(pairs, sets, folder, percent)
     found = settled(components(links), "components")
-    more = _agreeing(_cross_pairs(posted, found), classes).join(pairs, ["a", "b"], "left_anti")
-    more = _links(more, sets, folder, percent)
-    found = settled(components(links.unionAll(more)), "components")
+    more = _cross_links(posted, found, classes, sets, folder, percent)
+    if not more.isEmpty():  # the components so far are stars; only what joins them is new
+        found = settled(components(found.toDF("a", "b").unionAll(more)), "components")
     return _labelled(rows, nodes, found, id, key)
 
 
