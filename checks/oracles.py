@@ -18,8 +18,7 @@ def _quote(text: str) -> str:
 _PHRASES = ", ".join(f"({i}, {_quote(p)}, {_quote(intent)})" for i, (p, intent) in enumerate(PHRASES))
 
 # Gate used by the queries, see views.GATE.
-_Z = ("1.2884131785495232e0 * confidence + (-0.9898263692865626e0) * retrieval_score"
-      " + (-0.49184527454031646e0)")
+_Z = "1.75e0 * confidence + (-0.5e0) * retrieval_score + (-0.625e0)"
 _SCORE = f"1e0 / (1e0 + exp(-least(greatest({_Z}, -700e0), 700e0)))"
 
 _EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
@@ -116,15 +115,17 @@ CTES = {
       SELECT c.conv_id * 100 + c.turn AS tweet_id,
         CASE WHEN c.role <> 'assistant' THEN 'user' || c.conv_id::VARCHAR
           WHEN c.conv_id % 3 = 0 THEN 'OtherBrand' ELSE 'BrandCares' END AS author_id,
-        (c.role <> 'assistant') AS inbound,
+        (c.role <> 'assistant') AS inbound, '2021-03-04 05:' || lpad((c.turn % 60)::VARCHAR, 2, '0') AS created_at,
         CASE WHEN c.role <> 'assistant' AND c.conv_id % 7 = 0 THEN '@brandCARES ' ELSE '' END || p.phrase
-          || CASE WHEN c.turn % 4 = 0 THEN '' ELSE ' ' || c.text END AS text,
+          || ' ' || c.text AS text,
         CASE WHEN c.conv_id % 5 = 0
           THEN (lead(c.conv_id * 100 + c.turn) OVER w)::VARCHAR || ',' || (c.conv_id * 100 + 99)::VARCHAR
           ELSE (lead(c.conv_id * 100 + c.turn) OVER w)::VARCHAR END AS response_tweet_id,
         lag(c.conv_id * 100 + c.turn) OVER w AS in_response_to_tweet_id
       FROM conversations c JOIN phrases p ON p.pid = (c.conv_id + c.turn) % 16
-      WINDOW w AS (PARTITION BY c.conv_id ORDER BY c.turn)""",
+      WINDOW w AS (PARTITION BY c.conv_id ORDER BY c.turn)
+      UNION ALL SELECT c.conv_id * 100 + 97, 'guest' || c.conv_id::VARCHAR, true, '2021-03-04 04:59', p.phrase, NULL, NULL
+      FROM conversations c JOIN phrases p ON p.pid = c.conv_id % 16 WHERE c.turn = 0""",
     "subset": """
       SELECT t.* FROM threads t WHERE author_id = 'BrandCares' OR contains(lower(coalesce(text, '')), '@brandcares')
         OR in_response_to_tweet_id IN (SELECT tweet_id FROM threads WHERE author_id = 'BrandCares')
@@ -148,9 +149,10 @@ CTES = {
     "corpus": """
       SELECT page_id AS tweet_id, 'Try ' || url || ' for help'
         || CASE WHEN page_id % 10 = 0 THEN ' or https://help.example.org' ELSE '' END AS text
-      FROM pages WHERE page_id % 2 = 0""",
+      FROM pages""",
     "replies": """
-      SELECT page_id AS tweet_id, 'See ' || url || CASE WHEN page_id % 11 = 0 THEN ' https://t.co/zzz'
+      SELECT page_id AS tweet_id, 'See ' || url || CASE WHEN page_id % 7 = 0 THEN ' https://unlisted.example.org/p' || page_id::VARCHAR
+        WHEN page_id % 11 = 0 THEN ' https://t.co/zzz'
         WHEN page_id % 13 = 0 THEN ' https://help.example.org/'
         WHEN page_id % 17 = 0 THEN ' https://nowhere.example.org' ELSE '' END AS reply FROM pages""",
     "model_calls": """
@@ -373,6 +375,36 @@ _TRIAGE = """
       ELSE 'safe to auto-handle' END END AS reasons, block AS evidence, round(total, 3) AS evidence_score
   FROM triaged LEFT JOIN found ON query_id = tweet_id"""
 
+# The prompts.
+_INTENT_HEAD = (
+    "You are an intent classifier for BrandCares support tweets.\n"
+    "Classify into ONE: app_bug, account_login, billing_payment, feature_request, other.\n"
+    'Return JSON only: {"intent": "...", "confidence": 0.0, "rationale": "..."}\n'
+)
+_SHORT_INTENT = (
+    "Classify into ONE: app_bug, account_login, billing_payment, feature_request, other. "
+    'Return ONLY JSON: {"intent": "...", "confidence": 0.0}'
+)
+_REQUEST_INTENT = (
+    "Classify into ONE: app_bug, account_login, billing_payment, feature_request, other. "
+    'Return ONLY JSON: {"intent": "...", "confidence": 0.0, "rationale": "..."}'
+)
+_RISK = (
+    "You are a risk assessor for customer support. Flag risk=true ONLY if the message indicates: "
+    "account compromise/hacking, fraud or unauthorized charges, legal threats, threats of violence or self-harm, "
+    "or severe abusive hostility. Do NOT flag ordinary frustration, bugs, billing questions, or sarcasm. "
+    'Return JSON only: {"risk": false, "risk_type": null} or {"risk": true, "risk_type": "..."}'
+)
+_REQUEST_RISK = (
+    "Flag risk=true ONLY for: account compromise/hacking, fraud or unauthorized charges, legal threats, "
+    "threats of violence or self-harm, severe abusive hostility. NOT ordinary frustration, bugs, billing questions, "
+    'sarcasm. Return JSON only: {"risk": false} or {"risk": true}'
+)
+_REQUEST_HEAD = (
+    "You are drafting a BrandCares support reply. Use only facts from the evidence. Do not invent URLs, refunds, "
+    "timelines or policies. Ask for a DM if the issue requires sensitive account details. "
+    "Avoid emojis unless the retrieved evidence uses them.\nEvidence:\n"
+)
 _DRAFT_HEAD = (
     "You are drafting a BrandCares support reply.\n"
     "Rules: Use only facts from evidence. Do not invent URLs. Ask for DM if sensitive. "
@@ -477,7 +509,17 @@ BODIES = {
         || 'Retrieved Historical Evidence:' || chr(10) || coalesce(block, '') AS system,
         'Tweet: ' || {_redact('text')} || chr(10) || 'Draft:' AS user
       FROM benchmark LEFT JOIN scored_evidence ON query_id = item_id""",
-    "intent_prompts": "SELECT tweet_id, safe_text AS user FROM redacted",
+    "intent_prompts": f"SELECT tweet_id, {_quote(_INTENT_HEAD)} AS system, safe_text AS user FROM redacted",
+    "short_intent_prompts": f"""
+      SELECT tweet_id, {_quote(_SHORT_INTENT)} AS system, safe_text AS user, false AS per_request FROM redacted UNION ALL
+      SELECT tweet_id, {_quote(_REQUEST_INTENT)}, safe_text, true FROM redacted""",
+    "risk_prompts": f"""
+      SELECT tweet_id, {_quote(_RISK)} AS system, safe_text AS user, false AS per_request FROM redacted UNION ALL
+      SELECT tweet_id, {_quote(_REQUEST_RISK)}, safe_text, true FROM redacted""",
+    "request_prompts": f"""
+      SELECT item_id AS tweet_id, {_quote(_REQUEST_HEAD)} || coalesce(block, '') AS system,
+        'Intent: ' || {_intent('text')} || '.' || chr(10) || 'Tweet: ' || {_redact('text')} || chr(10) || 'Draft:' AS user
+      FROM benchmark LEFT JOIN evidence ON query_id = item_id""",
     "extract_urls": "SELECT tweet_id, pos::INT AS pos, url FROM reply_links",
     "url_parts": r"""
       SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme,
@@ -537,32 +579,39 @@ BODIES = {
         WHERE misses / risks <= 0.25e0 ORDER BY n_auto DESC, t LIMIT 1)""",
     "intent_evaluation": f"""
       SELECT t.tweet_id, trim(lower(should_escalate), {_BLANKS}) = 'true' AS should_escalate,
-        {_keyword('safe_text')} AS pred_escalate, p.intent AS pred_intent, p.confidence, p.parse_error
-      FROM redacted t JOIN (SELECT tweet_id, coalesce(json_extract_string(j, '$.intent'), 'error') AS intent,
-          coalesce(try_cast(json_extract_string(j, '$.confidence') AS DOUBLE), 0.5e0) AS confidence, j IS NULL AS parse_error
-        FROM (SELECT tweet_id, CASE WHEN json_valid(intent_payload) THEN intent_payload END AS j FROM answers)) p
+        {_keyword('safe_text')} AS pred_escalate, coalesce(p.intent, 'error') AS pred_intent,
+        coalesce(p.confidence, 0.5e0) AS confidence, coalesce(p.parse_error, true) AS parse_error, coalesce(p.answered, false) AS answered
+      FROM redacted t LEFT JOIN (SELECT tweet_id, coalesce(json_extract_string(j, '$.intent'), 'error') AS intent,
+          coalesce(try_cast(json_extract_string(j, '$.confidence') AS DOUBLE), 0.5e0) AS confidence, j IS NULL AS parse_error, answered
+        FROM (SELECT tweet_id, CASE WHEN json_valid(intent_payload) THEN intent_payload END AS j,
+          intent_payload IS NOT NULL AS answered FROM answers)) p
         ON p.tweet_id = t.tweet_id WHERE should_escalate IS NOT NULL""",
+    "unanswered_tickets": """
+      SELECT coalesce(a.intent_payload IS NOT NULL, false) AS answered, count(*) AS n
+      FROM tickets t LEFT JOIN answers a ON a.tweet_id = t.tweet_id WHERE should_escalate IS NOT NULL AND true_intent IS NOT NULL GROUP BY 1""",
     "risk_evaluation": f"""
       SELECT tweet_id, true_escalate, intent, confidence, llm_risk, round(risk_score, 6) AS risk_score, reason_code,
-        reason_code <> 'safe' AS pred_escalate
+        reason_code <> 'safe' AS pred_escalate, intent_parse_error, risk_parse_error, answered
       FROM (SELECT *, CASE WHEN {_keyword('safe_text')} THEN 'keyword' WHEN llm_risk THEN 'model_risk'
           WHEN risk_score >= 0.5e0 THEN 'risk_score' ELSE 'safe' END AS reason_code
         FROM (SELECT *, {_SCORE} AS risk_score FROM (
           SELECT t.tweet_id, safe_text, retrieval_score, trim(lower(should_escalate), {_BLANKS}) = 'true' AS true_escalate,
             coalesce(json_extract_string(i, '$.intent'), 'other') AS intent,
             coalesce(try_cast(json_extract_string(i, '$.confidence') AS DOUBLE), 0.5e0) AS confidence,
-            coalesce(json_extract_string(k, '$.risk') = 'true', false) AS llm_risk
-          FROM redacted t JOIN (SELECT tweet_id, CASE WHEN json_valid(intent_payload) THEN intent_payload END AS i,
-              CASE WHEN json_valid(risk_payload) THEN risk_payload END AS k FROM answers) a ON a.tweet_id = t.tweet_id
+            coalesce(json_extract_string(k, '$.risk') = 'true', false) AS llm_risk,
+            i IS NULL AS intent_parse_error, k IS NULL AS risk_parse_error, coalesce(answered, false) AS answered
+          FROM redacted t LEFT JOIN (SELECT tweet_id, CASE WHEN json_valid(intent_payload) THEN intent_payload END AS i,
+              CASE WHEN json_valid(risk_payload) THEN risk_payload END AS k,
+              intent_payload IS NOT NULL AND risk_payload IS NOT NULL AS answered FROM answers) a ON a.tweet_id = t.tweet_id
           WHERE should_escalate IS NOT NULL)))""",
     "reply_evaluation": f"""
       SELECT b.item_id AS tweet_id, {_redact('b.text')} AS tweet, {_redact(_redact('b.text'))} AS safe_tweet,
         {_intent('b.text')} AS intent, round(l.score, 6) AS top_retrieval_score, c.cleaned AS generated_reply,
         c.n AS verifier_violations, c.joined AS verifier_urls, j.groundedness AS judge_groundedness,
         j.safety AS judge_safety, j.helpfulness AS judge_helpfulness, j.critique AS judge_critique,
-        t.human_groundedness, t.human_safety, t.human_helpfulness
+        t.human_groundedness, t.human_safety, t.human_helpfulness, c.tweet_id IS NOT NULL AS drafted
       FROM benchmark b LEFT JOIN (SELECT * FROM lexical WHERE rk = 1) l ON l.query_id = b.item_id
-      JOIN clean c ON c.tweet_id = b.item_id LEFT JOIN judge_answers j ON j.tweet_id = b.item_id
+      LEFT JOIN clean c ON c.tweet_id = b.item_id LEFT JOIN judge_answers j ON j.tweet_id = b.item_id
       LEFT JOIN tickets t ON t.tweet_id = b.item_id""",
     "bundle_headline": f"""
       SELECT round(auto_handle_rate * 100, 2) AS auto_handle, round(volume_false_auto * 100, 2) AS volume_false_auto,

@@ -314,7 +314,26 @@ def draft_prompts(spark, sf):
 @query
 def intent_prompts(spark, sf):
     safe = v.tickets(spark, sf).select("tweet_id", tx.redact_pii(F.col("text")).alias("safe_text"))
-    return prompts.intent_prompts(safe, BRAND).select("tweet_id", "user")
+    return prompts.intent_prompts(safe, BRAND)
+
+
+@query
+def short_intent_prompts(spark, sf):
+    safe = v.tickets(spark, sf).select("tweet_id", tx.redact_pii(F.col("text")).alias("safe_text"))
+    runs = [prompts.short_intent_prompts(safe, r).withColumn("per_request", F.lit(r)) for r in (False, True)]
+    return runs[0].unionAll(runs[1])
+
+
+@query
+def risk_prompts(spark, sf):
+    safe = v.tickets(spark, sf).select("tweet_id", tx.redact_pii(F.col("text")).alias("safe_text"))
+    runs = [prompts.risk_prompts(safe, r).withColumn("per_request", F.lit(r)) for r in (False, True)]
+    return runs[0].unionAll(runs[1])
+
+
+@query
+def request_prompts(spark, sf):
+    return prompts.request_prompts(prompt_tickets(spark, sf), evidence(spark, sf), BRAND)
 
 
 # Grounding
@@ -492,7 +511,14 @@ def recalibrated_policy(spark, sf):
 def intent_evaluation(spark, sf):
     golden = v.tickets(spark, sf).select("tweet_id", "text", "true_intent", "should_escalate")
     run = evaluation.intent_run(golden, v.answers(spark, sf))
-    return run.select("tweet_id", "should_escalate", "pred_intent", "pred_escalate", "confidence", "parse_error")
+    return run.select("tweet_id", "should_escalate", "pred_intent", "pred_escalate", "confidence", "parse_error", "answered")
+
+
+@query
+def unanswered_tickets(spark, sf):
+    """Labelled tickets by whether a model answered them."""
+    golden = v.tickets(spark, sf).select("tweet_id", "text", "true_intent", "should_escalate")
+    return evaluation.intent_run(golden, v.answers(spark, sf)).groupBy("answered").agg(F.count("*").alias("n"))
 
 
 @query
@@ -504,6 +530,7 @@ def risk_evaluation(spark, sf):
     return run.select(
         "tweet_id", "true_escalate", "intent", "confidence", "llm_risk",
         F.round("risk_score", 6).alias("risk_score"), "reason_code", "pred_escalate",
+        "intent_parse_error", "risk_parse_error", "answered",
     )
 
 

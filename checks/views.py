@@ -10,29 +10,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskflow.sources.config import GateConfig
-from deskflow.sources.tables import spread
 
 PHRASES = [
-    ("my account was hacked yesterday", "account_login"),
-    ("I can't cancel my subscription anywhere", "billing_payment"),
-    ("app keeps crashing, it won't play", "app_bug"),
-    ("please refund this charge", "billing_payment"),
-    ("I wish you would add feature lyrics", "feature_request"),
-    ("no issues, love it", "other"),
-    ("I will sue you people", "other"),
-    ("i cant login, password reset failed", "account_login"),
-    ("unauthorized charges on my card", "billing_payment"),
-    ("mail me at john.doe@example.com please", "other"),
-    ("call me at 555-123-4567 now", "other"),
-    ("see https://t.co/abc123 for details", "other"),
-    ("this is shit", "app_bug"),
-    ("how do i suggest a song", "feature_request"),
-    ("error 42 on login", "app_bug"),
-    ("thanks", "other"),
+    ("somebody hacked into my profile last night", "account_login"),
+    ("why cannot I cancel the family plan", "billing_payment"),
+    ("the player will crash and it won't play at all", "app_bug"),
+    ("a refund for march would be fair", "billing_payment"),
+    ("my wish: add feature to sort albums", "feature_request"),
+    ("all issues solved, great work", "other"),
+    ("next week I sue the lot of you", "other"),
+    ("login keeps asking for another password", "account_login"),
+    ("two unauthorized debits, one strange charge", "billing_payment"),
+    ("write to ana-maria+help@mail.example.net today", "other"),
+    ("ring +44 (020) 555-0199 after six", "other"),
+    ("screenshot at www.example.org/shot and https://t.co/q9", "other"),
+    ("holy shit the queue is gone again", "app_bug"),
+    ("how do i suggest an artist", "feature_request"),
+    ("error while saving the mix", "app_bug"),
+    ("ok", "other"),
 ]
 
-# A fitted gate, used where a query needs one that the SQL side knows too.
-GATE = GateConfig(1.2884131785495232, -0.9898263692865626, -0.49184527454031646, 0.5)
+# A gate used where a query needs one that the SQL side knows too.
+GATE = GateConfig(1.75, -0.5, -0.625, 0.5)
 
 # Column types of the driver's tables, so that reading one needs no look into its files.
 SCHEMAS = {
@@ -53,8 +52,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids and whole texts; text work is heavy, so a single file is spread first."""
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    """Ids and whole texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _choice(values: list[str | None], index: str) -> str:
@@ -102,7 +101,7 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as reply threads.
+    """Conversations as reply threads, with one short post more per first turn.
 
     The previous and next turn are looked up by (conversation, turn), a unique
     key, so one huge conversation is spread like any other rows.
@@ -114,10 +113,16 @@ def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
         return c.select("conv_id", (F.col("turn") + shift).alias("turn"), post.alias(name))
 
     assistant = F.col("role") == "assistant"
-    body = F.when(F.col("turn") % 4 == 0, "").otherwise(F.concat(F.lit(" "), "text"))
+    body = F.concat(F.lit(" "), "text")
     mention = F.when(~assistant & (F.col("conv_id") % 7 == 0), "@brandCARES ").otherwise("")
     answer = F.col("next_id").cast("string")
     two = F.concat(answer, F.lit(","), (F.col("conv_id") * 100 + 99).cast("string"))
+    minute = F.concat(F.lit("2021-03-04 05:"), F.lpad((F.col("turn") % 60).cast("string"), 2, "0"))
+    short = c.where("turn = 0").select(
+        (F.col("conv_id") * 100 + 97).alias("tweet_id"), F.concat(F.lit("guest"), F.col("conv_id").cast("string")).alias("author_id"),
+        F.lit(True).alias("inbound"), F.lit("2021-03-04 04:59").alias("created_at"), _phrase("conv_id", 0).alias("text"),
+        F.lit(None).cast("string").alias("response_tweet_id"), F.lit(None).cast("bigint").alias("in_response_to_tweet_id"),
+    )
     return (
         c.join(neighbour(1, "prev_id"), ["conv_id", "turn"], "left")
         .join(neighbour(-1, "next_id"), ["conv_id", "turn"], "left")
@@ -126,16 +131,18 @@ def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(~assistant, F.concat(F.lit("user"), F.col("conv_id").cast("string")))
             .when(F.col("conv_id") % 3 == 0, "OtherBrand").otherwise("BrandCares").alias("author_id"),
             (~assistant).alias("inbound"),
+            minute.alias("created_at"),
             F.concat(mention, _phrase("conv_id + turn", 0), body).alias("text"),
             F.when(F.col("conv_id") % 5 == 0, two).otherwise(answer).alias("response_tweet_id"),
             F.col("prev_id").alias("in_response_to_tweet_id"),
         )
+        .unionAll(short)
     )
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = F.when(F.col("page_id") % 10 == 0, " or https://help.example.org").otherwise("")
-    return table(spark, sf_dir, "pages").where("page_id % 2 = 0").select(
+    return table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("tweet_id"),
         F.concat(F.lit("Try "), "url", F.lit(" for help"), bare).alias("text"),
     )
@@ -144,7 +151,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("page_id")
     extra = (
-        F.when(p % 11 == 0, " https://t.co/zzz")
+        F.when(p % 7 == 0, F.concat(F.lit(" https://unlisted.example.org/p"), p.cast("string")))
+        .when(p % 11 == 0, " https://t.co/zzz")
         .when(p % 13 == 0, " https://help.example.org/")
         .when(p % 17 == 0, " https://nowhere.example.org")
         .otherwise("")

@@ -124,4 +124,29 @@ JUDGE_INSTRUCTIONS = (
     "- helpfulness (1=useless, 5=clear)\n"
     'Return JSON only: {"groundedness": 0, "safety": 0, "helpfulness": 0, "critique": "..."}\n'
 )
+# Short prompts of the risk run and of single requests.
+RISK_RUN_INTENT_INSTRUCTIONS = (
+    "Classify into ONE: app_bug, account_login, billing_payment, feature_request, other. "
+    'Return ONLY JSON: {"intent": "...", "confidence": 0.0}'
+)
+RISK_RUN_RISK_INSTRUCTIONS = (
+    "You are a risk assessor for customer support. Flag risk=true ONLY if the message indicates: "
+    "account compromise/hacking, fraud or unauthorized charges, legal threats, threats of violence or self-harm, "
+    "or severe abusive hostility. Do NOT flag ordinary frustration, bugs, billing questions, or sarcasm. "
+    'Return JSON only: {"risk": false, "risk_type": null} or {"risk": true, "risk_type": "..."}'
+)
+REQUEST_INTENT_INSTRUCTIONS = (
+    "Classify into ONE: app_bug, account_login, billing_payment, feature_request, other. "
+    'Return ONLY JSON: {"intent": "...", "confidence": 0.0, "rationale": "..."}'
+)
+REQUEST_RISK_INSTRUCTIONS = (
+    "Flag risk=true ONLY for: account compromise/hacking, fraud or unauthorized charges, legal threats, "
+    "threats of violence or self-harm, severe abusive hostility. NOT ordinary frustration, bugs, billing questions, "
+    'sarcasm. Return JSON only: {"risk": false} or {"risk": true}'
+)
+REQUEST_REPLY_INSTRUCTIONS = (
+    "You are drafting a {brand} support reply. Use only facts from the evidence. Do not invent URLs, refunds, "
+    "timelines or policies. Ask for a DM if the issue requires sensitive account details. "
+    "Avoid emojis unless the retrieved evidence uses them.\nEvidence:\n"
+)
 JUDGE_METRICS = ["groundedness", "safety", "helpfulness"]

@@ -116,12 +116,24 @@ def compare_systems(golden: DataFrame, preds: DataFrame) -> DataFrame:
 
 
 def align(golden: DataFrame, preds: DataFrame, on: str = "tweet_id") -> DataFrame:
-    """Labels and predictions of the same tickets; fails if a ticket has no prediction."""
-    missing = F.assert_true(F.col("_seen").isNotNull(), F.lit("a ticket has no prediction"))
-    pred_cols = [c for c in preds.columns if c == on or c not in golden.columns]
-    joined = golden.join(preds.select(*pred_cols, F.lit(True).alias("_seen")), on, "left")
+    """Labels and predictions of the same tickets, one each.
+
+    Fails if a ticket has no prediction or several, or a prediction has no ticket.
+    """
+    added = [c for c in preds.columns if c != on and c not in golden.columns]
+    single = preds.groupBy(on).agg(
+        F.count("*").alias("_seen"), F.first(F.struct(F.lit(0).alias("_"), *added)).alias("_pred")
+    )
+    joined = golden.withColumn("_label", F.lit(True)).join(single, on, "full_outer")
+    checks = {
+        "a ticket has no prediction": F.col("_seen").isNotNull(),
+        "a ticket has several predictions": F.col("_seen") == 1,
+        "a prediction has no ticket": F.col("_label").isNotNull(),
+    }
     # assert_true yields NULL, so the filter keeps every row it does not stop at.
-    return joined.where(missing.isNull()).drop("_seen")
+    for message, holds in checks.items():
+        joined = joined.where(F.assert_true(holds, F.lit(message)).isNull())
+    return joined.select(*golden.columns, *[F.col(f"_pred.{c}").alias(c) for c in added])
 
 
 def operational_metrics(

@@ -39,6 +39,24 @@ def intent_prompts(tickets: DataFrame, brand: str) -> DataFrame:
     )
 
 
+def _fixed_prompts(tickets: DataFrame, system: str) -> DataFrame:
+    return tickets.select("tweet_id", F.lit(system).alias("system"), F.col("safe_text").alias("user"))
+
+
+def short_intent_prompts(tickets: DataFrame, per_request: bool = False) -> DataFrame:
+    """Messages of the intent call in the risk run or for single requests; expects ``safe_text``."""
+    return _fixed_prompts(
+        tickets, fv.REQUEST_INTENT_INSTRUCTIONS if per_request else fv.RISK_RUN_INTENT_INSTRUCTIONS
+    )
+
+
+def risk_prompts(tickets: DataFrame, per_request: bool = False) -> DataFrame:
+    """Messages of the risk call in the risk run or for single requests; expects ``safe_text``."""
+    return _fixed_prompts(
+        tickets, fv.REQUEST_RISK_INSTRUCTIONS if per_request else fv.RISK_RUN_RISK_INSTRUCTIONS
+    )
+
+
 def _with_evidence(tickets: DataFrame, evidence: DataFrame, scores: bool) -> DataFrame:
     blocks = evidence_block(evidence, "query_id", scores).withColumnRenamed("query_id", "tweet_id")
     return tickets.join(blocks, "tweet_id", "left").withColumn(
@@ -76,3 +94,12 @@ def request_prompt(safe_text: Column, intent: Column) -> Column:
     return F.concat(
         F.lit("Intent: "), intent, F.lit(".\nTweet: "), safe_text, F.lit("\nDraft:")
     )
+
+
+def request_prompts(tickets: DataFrame, evidence: DataFrame, brand: str) -> DataFrame:
+    """Messages of the per-request drafting call; expects ``safe_text`` and ``intent``."""
+    return _with_evidence(tickets, evidence, False).select(
+        "tweet_id",
+        F.concat(F.lit(_instructions(fv.REQUEST_REPLY_INSTRUCTIONS, brand)), "evidence").alias("system"),
+        request_prompt(F.col("safe_text"), F.col("intent")).alias("user"),
+    )

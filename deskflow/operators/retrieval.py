@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.text import query_tokens, tokens
 
-# Rows per block.  Vectors: the scores of a cell take 64 MB.  Texts: a cell holds the
-# words of its rows, and each block is copied once per block of the other side, so
-# larger blocks mean less to shuffle.
+# Rows per block.  Each block is copied once per block of the other side, so larger blocks
+# mean less to shuffle: a corpus vector once per 32,768 queries.  A cell multiplies
+# VECTOR_TILE queries at a time, whose scores take 64 MB.  For texts it holds the words
+# of its rows.
 QUERY_BLOCK = 1024
+VECTOR_QUERY_BLOCK = 32768
+VECTOR_TILE = 1024
 VECTOR_BLOCK = 8192
 TEXT_BLOCK = 4096
 MIN_BLOCK = 256
@@ -35,6 +38,12 @@ def l2_normalize(vector: Column) -> Column:
     return F.when(norm > 0, F.transform(wide, lambda x: x / norm)).otherwise(wide)
 
 
+def usable_vector(vector: Column) -> Column:
+    """Whether a vector exists and all its elements are finite numbers."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    return F.coalesce(vector.isNotNull() & F.forall(vector, finite), F.lit(False))
+
+
 def _blocks(df: DataFrame, rows_per_block: int) -> Column:
     """Number of blocks as a scalar subquery: as many as the block size asks for, and
     for smaller tables enough to keep every core busy."""
@@ -94,16 +103,18 @@ def _vector_cell(k: int):
         if q.num_rows and c.num_rows:
             query_ids = q["query_id"].to_numpy()
             corpus_ids = c["corpus_id"].to_numpy()
-            # Rounded, so that equal vectors tie whatever order a product is summed in.
-            table = np.round(unit(q) @ unit(c).T, 9)
+            query_units, corpus_units = unit(q), unit(c).T
             keep = min(k, len(corpus_ids))
-            for query_id, row in zip(query_ids, table):
-                kth = np.partition(row, -keep)[-keep]
-                near = np.flatnonzero(row >= kth)
-                best = near[np.lexsort((corpus_ids[near], -row[near]))[:keep]]
-                ids.append(np.full(len(best), query_id))
-                found.append(corpus_ids[best])
-                scores.append(row[best])
+            for at in range(0, len(query_ids), VECTOR_TILE):
+                # Rounded, so that equal vectors tie whatever order a product is summed in.
+                table = np.round(query_units[at : at + VECTOR_TILE] @ corpus_units, 9)
+                for query_id, row in zip(query_ids[at : at + VECTOR_TILE], table):
+                    kth = np.partition(row, -keep)[-keep]
+                    near = np.flatnonzero(row >= kth)
+                    best = near[np.lexsort((corpus_ids[near], -row[near]))[:keep]]
+                    ids.append(np.full(len(best), query_id))
+                    found.append(corpus_ids[best])
+                    scores.append(row[best])
         join = lambda parts, t: np.concatenate(parts) if parts else np.empty(0, t)
         return pa.table(
             {
@@ -118,15 +129,17 @@ def _vector_cell(k: int):
 
 def dense_topk(
     queries: DataFrame, corpus: DataFrame, k: int = fv.TOP_K, id_col: str = "id",
-    vector: str = "embedding", query_rows: int = QUERY_BLOCK, corpus_rows: int = VECTOR_BLOCK,
+    vector: str = "embedding", query_rows: int = VECTOR_QUERY_BLOCK, corpus_rows: int = VECTOR_BLOCK,
 ) -> DataFrame:
     """The ``k`` corpus rows of highest cosine similarity for every query, exactly.
 
     Both frames have a unique integer ``id_col`` and vectors of one length.  A zero
-    vector scores 0 against everything.  Equal scores rank by id.
+    vector scores 0 against everything.  Equal scores rank by id.  Rows whose vector is
+    NULL or has a NULL, NaN or infinite element take no part, on either side; count them
+    with ``usable_vector``.
     """
     def side(df, name):
-        return df.where(F.col(vector).isNotNull()).select(
+        return df.where(usable_vector(F.col(vector))).select(
             F.col(id_col).cast("bigint").alias(name), F.col(vector).alias("payload")
         )
 
@@ -226,8 +239,12 @@ def lexical_topk(
 def with_evidence_text(
     topk: DataFrame, corpus: DataFrame, id_col: str = "id", text: str = "text"
 ) -> DataFrame:
-    """Attach the corpus text to ranked rows; only hits are looked up."""
+    """Attach the corpus text to ranked rows.
+
+    Hits are few against the corpus, so its texts are first narrowed to them: they are
+    the small side of that join, and other texts are not shuffled again.
+    """
     texts = corpus.select(
         F.col(id_col).alias("corpus_id"), F.coalesce(text, F.lit("")).alias("text")
-    )
+    ).join(topk.select("corpus_id").distinct(), "corpus_id", "left_semi")
     return topk.join(texts, "corpus_id")

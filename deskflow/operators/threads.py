@@ -71,32 +71,38 @@ def sample_order(id_col: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), id_col.cast("string")))
 
 
-# Partial samples per group that are merged before the last step.
-MERGE_GROUPS = 128
+# Hex digits of the sort key that are counted: 65,536 prefixes.
+PREFIX_DIGITS = 4
 
 
-def _partly_limited(df: DataFrame, order: list[str], n: int, by: list[str]) -> DataFrame:
-    """Drop rows that cannot be among the first ``n`` of their ``by`` group.
+def _first_prefixes(keyed: DataFrame, n: int, by: str) -> DataFrame:
+    """Drop rows that cannot be among the first ``n`` of their ``by`` group by sample_key.
 
-    Every partition keeps its own first ``n``, partitions are merged in groups, and
-    each group keeps its first ``n``; so the last step sees at most MERGE_GROUPS * n
-    rows instead of n per partition.  How partitions are grouped has no influence
-    on the final first ``n``.
+    Keys are counted by prefix, and rows beyond the first prefix whose running count
+    reaches ``n`` go.  What stays are ``n`` rows and those that share the last prefix, a
+    65,536th of the group.  Nothing is sorted but the counts, and groups are few.
     """
-    in_group = Window.partitionBy(*by, "merge_group").orderBy(*order)
+    prefix = F.substring("sample_key", 1, PREFIX_DIGITS)
+    counts = keyed.groupBy(by, prefix.alias("prefix")).agg(F.count("*").alias("rows_here"))
+    upto = Window.partitionBy(by).orderBy("prefix")
+    last = (
+        counts.withColumn("rows_upto", F.sum("rows_here").over(upto))
+        .where(F.col("rows_upto") >= n)
+        .groupBy(by)
+        .agg(F.min("prefix").alias("last_prefix"))
+    )
     return (
-        df.withColumn("merge_group", F.spark_partition_id() % MERGE_GROUPS)
-        .withColumn("pos", F.row_number().over(in_group))
-        .where(F.col("pos") <= n)
-        .drop("merge_group", "pos")
+        keyed.join(last, by, "left")
+        .where(F.col("last_prefix").isNull() | (prefix <= F.col("last_prefix")))
+        .drop("last_prefix")
     )
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = fv.SAMPLE_SEED) -> DataFrame:
     """Exactly ``n`` rows (all, if there are fewer), the same ones on every run."""
-    order = ["sample_key", id_col]
-    keyed = df.withColumn("sample_key", sample_order(F.col(id_col), seed))
-    return _partly_limited(keyed, order, n, []).orderBy(*order).limit(n).select(*df.columns)
+    keyed = df.withColumns({"sample_key": sample_order(F.col(id_col), seed), "sample_group": F.lit(0)})
+    first = _first_prefixes(keyed, n, "sample_group")
+    return first.orderBy("sample_key", id_col).limit(n).select(*df.columns)
 
 
 def evidence_sample(
@@ -114,9 +120,9 @@ def with_label_columns(df: DataFrame) -> DataFrame:
 def golden_set(threads: DataFrame, seed: int = fv.SAMPLE_SEED) -> DataFrame:
     """Tickets to label: random ones, then risky ones, then short ones, each ticket once.
 
-    One scan.  A stratum can lose at most the picks of earlier strata, so its first
-    200 rows (the sum of all sizes) are enough; each partition limits itself to
-    those before the shuffle, and strata are settled on what remains.
+    A stratum can lose at most the picks of earlier strata, so its first
+    200 rows (the sum of all sizes) are enough; a count of key prefixes finds those,
+    and strata are settled on what remains.
     """
     sizes = [fv.GOLDEN_RANDOM_ROWS, fv.GOLDEN_RISK_ROWS, fv.GOLDEN_SHORT_ROWS]
     text = F.col("text")
@@ -131,7 +137,7 @@ def golden_set(threads: DataFrame, seed: int = fv.SAMPLE_SEED) -> DataFrame:
         .select("tweet_id", "text", sample_order(F.col("tweet_id"), seed).alias("sample_key"),
                 F.explode(strata).alias("stratum"))
     )
-    rows = _partly_limited(rows, ["sample_key", "tweet_id"], sum(sizes), ["stratum"])
+    rows = _first_prefixes(rows, sum(sizes), "stratum")
 
     for stratum, size in enumerate(sizes):
         here = F.col("stratum") == stratum
@@ -150,17 +156,19 @@ def golden_set(threads: DataFrame, seed: int = fv.SAMPLE_SEED) -> DataFrame:
 
 def leakage_audit(threads: DataFrame, golden: DataFrame, corpus: DataFrame) -> DataFrame:
     """How many labelled tickets have a response, and how many of those responses
-    are in the retrieval corpus."""
+    are in the retrieval corpus.
+
+    The labelled tickets are few, so their response ids pick the few corpus rows first.
+    """
     rows = threads.join(golden.select("tweet_id").distinct(), "tweet_id", "left_semi").select(
-        "tweet_id", "response_tweet_id"
+        "tweet_id", "response_tweet_id",
+        F.explode_outer(response_ids(F.col("response_tweet_id"))).alias("rid"),
     )
-    leaked = (
-        rows.select("tweet_id", F.explode(response_ids(F.col("response_tweet_id"))).alias("rid"))
-        .join(corpus.select(F.col("tweet_id").alias("rid")), "rid", "left_semi")
-        .select("tweet_id", F.lit(True).alias("leaked"))
-        .distinct()
+    known = corpus.select(F.col("tweet_id").alias("rid"), F.lit(True).alias("known")).distinct()
+    tickets = rows.join(known, "rid", "left").groupBy("tweet_id").agg(
+        F.max("response_tweet_id").alias("response"), F.max("known").alias("known")
     )
-    return rows.join(leaked, "tweet_id", "left").agg(
-        F.count("response_tweet_id").alias("with_response"),
-        F.count_if(F.coalesce("leaked", F.lit(False))).alias("leaked"),
+    return tickets.agg(
+        F.count("response").alias("with_response"),
+        F.count_if(F.coalesce("known", F.lit(False))).alias("leaked"),
     )

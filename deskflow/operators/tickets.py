@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.text import request_error, request_text
+from ..functions.text import request_error, request_text, simple_intent
 
 
 def validated(df: DataFrame, text: str = "text") -> DataFrame:
@@ -59,36 +59,24 @@ def fill_missing_outputs(df: DataFrame) -> DataFrame:
 Scorer = Callable[[Iterable[str]], Iterable[str]]
 
 
-def keyword_scorer() -> Callable[[], Scorer]:
-    """Maker of the offline scorer: the keyword intent with a fixed confidence, as model JSON.
-
-    A closure, so it travels to the executors by value.
-    """
-    groups, other, confidence = fv.INTENT_KEYWORDS, fv.OTHER_INTENT, fv.DEFAULT_CONFIDENCE
-
-    def make() -> Scorer:
-        def answer(text: str) -> str:
-            low = text.lower()
-            hits = (intent for intent, words in groups if any(w in low for w in words))
-            return json.dumps({"intent": next(hits, other), "confidence": confidence})
-
-        return lambda texts: map(answer, texts)
-
-    return make
-
-
 def score_tickets(
     df: DataFrame, make_scorer: Callable[[], Scorer] | None = None, text: str = "text"
 ) -> DataFrame:
     """Add ``payload``, the JSON answer of a caller-supplied model to each text.
 
     ``make_scorer`` is called once per partition, which is where a model or a client
-    connection belongs; parse the answers with ``parse_intent``.
+    connection belongs; it gets the texts of a batch at once.  Without one, the answer is
+    the keyword intent with a fixed confidence, made by built-in functions.  Parse the
+    answers with ``parse_intent``.
     """
-    make = make_scorer or keyword_scorer()
+    if make_scorer is None:
+        answer = F.struct(
+            simple_intent(F.col(text)).alias("intent"), F.lit(fv.DEFAULT_CONFIDENCE).alias("confidence")
+        )
+        return df.withColumn("payload", F.to_json(answer))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = make()
+        scorer = make_scorer()
         for batch in batches:
             yield batch.assign(payload=list(scorer(batch[text].fillna(""))))
 

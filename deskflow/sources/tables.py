@@ -6,15 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table that arrives in fewer splits than there are cores.
-
-    A table of many files is left as it is: nothing is shuffled then.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Store a stage output: Parquet for the next job, CSV or JSON for people."""
     writer = df.write.mode("overwrite")

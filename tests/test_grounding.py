@@ -12,28 +12,29 @@ def check(spark, corpus, reply):
     return ground(r, build_whitelist(c)).first()
 
 
-def test_unknown_path_is_flagged(spark):
-    bad = "https://support.example.com/close-account/totally-fake-endpoint/"
-    row = check(spark, ["try https://support.example.com/close-account/premium-help/ for help"], f"go to {bad}")
-    assert not row.passed and row.violations == [bad]
-    assert row.clean_reply == f"go to {fv.REMOVED_URL_TEXT}"
+def test_sibling_of_a_listed_path_is_flagged(spark):
+    listed, sibling = "https://docs.shop.test/orders/track", "https://docs.shop.test/orders/erase"
+    row = check(spark, [f"orders: {listed}"], f"{listed} or {sibling}")
+    assert not row.passed and row.violations == [sibling]
+    assert row.clean_reply == f"{listed} or {fv.REMOVED_URL_TEXT}"
 
 
-def test_known_path_passes_with_or_without_slash(spark):
-    assert check(spark, ["try https://s.example.com/close/ for help"], "see https://s.example.com/close?x=1#y").passed
+def test_slash_query_and_fragment_do_not_matter(spark):
+    for written in ("https://docs.shop.test/faq/", "https://docs.shop.test/faq?lang=de", "https://docs.shop.test/faq/#top"):
+        assert check(spark, ["https://docs.shop.test/faq"], f"> {written}").passed
 
 
-def test_trusted_shortener_passes(spark):
-    assert check(spark, ["nothing"], "see https://t.co/zzz").passed
-    assert not check(spark, ["nothing"], "see https://T.co/zzz").passed
+def test_shortener_is_trusted_as_it_is_spelt(spark):
+    assert check(spark, [""], "https://t.co/Q9q").passed
+    assert not check(spark, [""], "https://T.CO/Q9q").passed
 
 
-def test_bare_host_does_not_list_paths(spark):
-    corpus = ["visit https://example.com for help"]
-    assert not check(spark, corpus, "go to https://example.com/account/delete/").passed
+def test_host_alone_lists_only_itself(spark):
+    corpus = ["our page: https://shop.test"]
     # For a bare host the scheme does not matter, for a path it does.
-    assert check(spark, corpus, "go to http://example.com/").passed
-    assert not check(spark, ["https://example.com/a"], "http://example.com/a").passed
+    assert check(spark, corpus, "http://shop.test/ it is").passed
+    assert not check(spark, corpus, "https://shop.test/refunds/now").passed
+    assert not check(spark, ["https://shop.test/b"], "http://shop.test/b").passed
 
 
 def test_reply_without_links_passes(spark):

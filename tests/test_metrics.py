@@ -116,3 +116,13 @@ def test_align_fails_on_a_missing_prediction(spark):
     assert m.align(g.where("tweet_id = 1"), p).count() == 1
     with pytest.raises(Exception, match="no prediction"):
         m.align(g, p).collect()
+
+
+def test_align_fails_on_surplus_and_repeated_predictions(spark):
+    g = spark.createDataFrame([(1,)], "tweet_id int")
+    surplus = spark.createDataFrame([(1, "a"), (3, "b")], "tweet_id int, pred_intent string")
+    with pytest.raises(Exception, match="no ticket"):
+        m.align(g, surplus).collect()
+    twice = spark.createDataFrame([(1, "a"), (1, "b")], "tweet_id int, pred_intent string")
+    with pytest.raises(Exception, match="several predictions"):
+        m.align(g, twice).collect()

@@ -100,3 +100,14 @@ def test_plan_has_no_cross_join_and_no_broadcast(spark):
     assert "FlatMapCoGroupsInArrow" in plan
     for operator in ["CartesianProduct", "BroadcastNestedLoopJoin", "BroadcastExchange"]:
         assert operator not in plan
+
+
+def test_unusable_vectors_change_nothing(spark):
+    nan, inf = float("nan"), float("inf")
+    good = [(i, [1.0, i / 10, 0.5]) for i in range(6)]
+    bad = [(20, [nan, 1.0, 0.0]), (21, [inf, 0.0, 0.0]), (22, [None, 1.0, 1.0]), (23, None), (24, [nan] * 3)]
+    kind = "id long, embedding array<float>"
+    queries = spark.createDataFrame([(100, [1.0, 0.2, 0.5]), (101, [nan, 0.0, 1.0])], kind)
+    clean = r.dense_topk(queries, spark.createDataFrame(good, kind), 3).collect()
+    mixed = r.dense_topk(queries, spark.createDataFrame(good + bad, kind), 3).collect()
+    assert len(clean) == 3 and sorted(map(tuple, clean)) == sorted(map(tuple, mixed))

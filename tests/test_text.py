@@ -48,12 +48,12 @@ def python_flag(text, flags=0, lower=True):
 
 def test_redaction_cases(values):
     got = values(tx.redact_pii, [
-        "mail me at john.doe@example.com please", "call me at 555-123-4567 now",
-        "see https://t.co/abc123 for details", "my playlist won't load", None,
+        "reach ana-maria+help@mail.example.net, thanks", "ring 020 7946 0958 or 404.555.0123",
+        "shots: www.example.org/a?b=1 http://example.net", "nothing private in here", None,
     ])
     assert got == [
-        "mail me at [EMAIL] please", "call me at [PHONE] now", "see [URL] for details",
-        "my playlist won't load", "",
+        "reach [EMAIL], thanks", "ring 020 7946 0958 or [PHONE]", "shots: [URL] [URL]",
+        "nothing private in here", "",
     ]
 
 
@@ -82,11 +82,11 @@ def test_redaction_is_stable_on_its_output(values):
 
 def test_flag_cases(values):
     flagged = [
-        "my account was hacked yesterday", "unauthorized charges on my card", "I will sue you people",
-        "this is fraud, report it", "he sues the company", "they are suing the label",
-        "I can't cancel my subscription anywhere", "i cant cancel my plan anywhere",
+        "somebody hacked into my profile", "two Unauthorized debits since monday", "so we sue",
+        "smells like FRAUD to me", "her lawyers called", "the band is suing again",
+        "why cannot I cancel the family plan", "they wont let me cancel",
     ]
-    clean = ["Haha, no issues. Love the time capsule", "I have an issue with my playlist", "no issues here", None]
+    clean = ["tissues and pursuit of a better queue", "cancel it, it is easy", "a shortcut for the album view", None]
     assert values(tx.keyword_flag, flagged + clean) == [True] * 8 + [False] * 4
     assert values(lambda c: tx.predict_escalation(c, c), flagged) == [True] * 8
 

@@ -1,6 +1,7 @@
 import random
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from deskflow.functions import fixed_values as fv
 from deskflow.operators import threads as th
@@ -118,3 +119,16 @@ def test_counts_and_required_columns(spark):
     assert sum(counts.values()) == 400
     nan = spark.createDataFrame(pd.DataFrame({"a": [1.0, float("nan"), 2.0]}))
     assert th.require(nan, ["a"]).count() == 2
+
+
+def test_large_sample_sorts_no_rows(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("tweet_id"), F.lit("x" * 60).alias("text"))
+    sample = th.sample_n(rows, "tweet_id", 1500, 7)
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    # the only window runs over counts per key prefix
+    windows = [line for line in plan.splitlines() if " Window " in line or "Window [" in line]
+    assert windows and all("rows_here" in line for line in windows)
+    keys = {r.tweet_id: r.k for r in rows.select("tweet_id", th.sample_order(F.col("tweet_id"), 7).alias("k")).collect()}
+    expected = sorted(keys, key=lambda i: (keys[i], i))[:1500]
+    assert sorted(r.tweet_id for r in sample.collect()) == sorted(expected)
+    assert th.sample_n(rows, "tweet_id", 30_000).count() == 20_000
