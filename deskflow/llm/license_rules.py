@@ -158,10 +158,10 @@ def build_rules() -> list[Rule]:
             if later:
                 rules.append(_rule(f"{label}-{v}:later", f"{label}-{v}-or-later", gate, rf"(?:{name})(?: as published by the free software foundation)?(?: either)?(?: version)? ?v?{said}(?: of the licen[cs]e)? or (?:at your option )?(?:any )?later(?: version)?", LATER))
         for i in ids:
-            rules.append(_rule(f"{label}:tag", label, "spdx", rf"spdx licen[cs]e identifier {i}", TAGGED))
+            rules.append(_rule(f"{label}:tag {i}", label, "spdx", rf"spdx licen[cs]e identifier {i}", TAGGED))
             for v in versions:
-                rules.append(_rule(f"{label}-{v}:tag", f"{label}-{v}", "spdx", rf"spdx licen[cs]e identifier {i} {_spoken(v)}(?: (?:only|or later))?", TAGGED))
-                rules.append(_rule(f"{label}-{v}:id", f"{label}-{v}", i.split()[0], rf"{i} ?v?{_spoken(v)}(?: (?:only|or later))?", VERSIONED))
+                rules.append(_rule(f"{label}-{v}:tag {i}", f"{label}-{v}", "spdx", rf"spdx licen[cs]e identifier {i} {_spoken(v)}(?: (?:only|or later))?", TAGGED))
+                rules.append(_rule(f"{label}-{v}:id {i}", f"{label}-{v}", i.split()[0], rf"{i} ?v?{_spoken(v)}(?: (?:only|or later))?", VERSIONED))
     for part, written in CC_PARTS.items():
         label = f"cc-{part}"
         rules.append(_rule(f"{label}:id", label, "cc", rf"cc {written}", NAME))

@@ -40,10 +40,16 @@ _PLACE = (1 << 33) - 1
 
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED, dp_budget: int = DP_BUDGET) -> np.ndarray:
-    """How many documents of each length to take so that their words come closest to, not above, the budget."""
+    """How many documents of each length to take so that their words come closest to the budget.
+
+    Up to half of all words the sum is not above it; beyond that the documents left out are
+    fitted in the same way, and the sum is not below it.
+    """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
+    if 2 * budget > total:
+        return counts - fit_counts(lengths, counts, total - budget, seed, dp_budget)
     take = np.floor(counts * (budget / total)).astype(np.int64) if total else np.zeros_like(counts)
     left = budget - int((lengths * take).sum())
     order = np.random.default_rng(seed).permutation(len(lengths))

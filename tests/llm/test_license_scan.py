@@ -41,13 +41,13 @@ def test_rules_hold_their_gate_and_are_many():
 
 
 def test_longer_and_higher_detections_stay():
-    assert found("Licensed under the Apache License, Version 2.0.")[0] == ("apache", 0, 7)
+    assert found("Licensed under the Apache License, Version 2.0.") == [("apache", 0, 8)]
     assert found("GNU General Public License v3 or later") == [("gpl-3-or-later", 0, 7)]
     assert found("GNU Lesser General Public License, version 2.1") == [("lgpl-2.1", 0, 8)]
     assert found("SPDX-License-Identifier: MPL-2.0") == [("mpl-2.0", 0, 6)]
     assert found("under CC BY-SA 4.0 terms") == [("cc-by-sa-4.0", 1, 6)]
-    assert found("see http://creativecommons.org/licenses/by/4.0/") == [("cc-by-4.0", 2, 7)]
-    assert found("the MIT license and the ISC license") == [("mit", 0, 3), ("isc", 4, 6)]
+    assert found("see http://creativecommons.org/licenses/by/4.0/") == [("cc-by-4.0", 2, 8)]
+    assert found("the MIT license and the ISC license") == [("mit", 0, 3), ("isc", 5, 7)]
     assert found("Permission is hereby granted, free of charge, to any person obtaining a copy") == [("mit", 0, 13)]
 
 

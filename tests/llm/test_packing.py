@@ -61,8 +61,9 @@ def test_round_trip(spark):
         by_doc[r.doc_id].append((r.piece, bytes(r.ids)))
     for i, ids in enumerate(whole):
         assert b"".join(x for _, x in sorted(by_doc[i])) == ids and len(by_doc[i]) == -(-len(ids) // 1024)
+    half = sum(r.length > 128 for r in rows)  # no two of these share a sequence
     total = sum(r.length for r in rows)
-    assert check([(r.length, r.sequence_id, r.offset) for r in rows], 256) <= -(-total // 256) + 2
+    assert check([(r.length, r.sequence_id, r.offset) for r in rows], 256) <= max(half, -(-total // 256)) + 2
 
 
 @pytest.mark.parametrize("kind", ["small", "halves", "thirds"])
