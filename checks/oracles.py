@@ -416,6 +416,9 @@ _PARSED = """
 
 BODIES = {
     "thread_scan": "SELECT * FROM threads",
+    "corpus_scan": "SELECT * FROM reply_posts",
+    "gate_config": "SELECT tweet_id, round(risk_score, 6) AS risk_score, reason_code FROM decided",
+    "first_tickets": "SELECT tweet_id, text FROM tickets ORDER BY tweet_id LIMIT 25",
     "brand_subset": "SELECT * FROM subset",
     "reply_corpus": "SELECT * FROM reply_posts",
     "subset_counts": "SELECT inbound, count(*) AS n FROM subset GROUP BY inbound",
@@ -551,6 +554,12 @@ BODIES = {
     "calibration_bins": """
       SELECT bin, count(*) AS n, round(avg(confidence), 6) AS mean_conf, round(avg(hit), 6) AS mean_acc
       FROM bins GROUP BY i, bin""",
+    "calibration_document": """
+      SELECT bin, count(*) AS n, round(avg(confidence), 4) AS mean_conf, round(avg(hit), 4) AS mean_acc,
+        (SELECT round(sum(n / total * abs(mean_conf - mean_acc)), 4) FROM (
+          SELECT count(*) AS n, avg(confidence) AS mean_conf, avg(hit) AS mean_acc,
+            (SELECT count(*) FROM tickets WHERE confidence IS NOT NULL) AS total FROM bins GROUP BY i)) AS ece
+      FROM bins GROUP BY i, bin""",
     "ece": """
       SELECT round(sum(n / total * abs(mean_conf - mean_acc)), 6) AS ece FROM (
         SELECT count(*) AS n, avg(confidence) AS mean_conf, avg(hit) AS mean_acc,
@@ -623,6 +632,6 @@ BODIES = {
     "triage_stream": _TRIAGE,
 }
 
-# No SQL for: fit_gate and recalibrated_policy (iterative fit), and the two JSON
-# documents (number formatting is the engine's own); tests cover them.
+# No SQL for: fit_gate and recalibrated_policy (iterative fit), and the bundle document
+# (number formatting is the engine's own); tests cover them.
 ORACLES = {name: with_tables(body) for name, body in BODIES.items()}

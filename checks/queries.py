@@ -17,7 +17,9 @@ from deskflow.operators import tickets as tk
 from deskflow.plans import bundle, evaluation
 from deskflow.plans.calibration import recalibrated_run
 from deskflow.session import fresh_folder
-from deskflow.sources.tables import calibration_json
+from deskflow.sources import config
+from deskflow.sources.tables import calibration_json, write_table
+from deskflow.sources.threads import read_corpus, read_threads
 from deskflow.streaming.triage import triage_batch, triage_stream
 
 from . import views as v
@@ -42,7 +44,34 @@ def r6(*names: str) -> dict[str, Column]:
 
 @query
 def thread_scan(spark, sf):
-    return v.threads(spark, sf)
+    """The thread export, written as CSV and read back."""
+    folder = fresh_folder(spark, "threads")
+    write_table(v.threads(spark, sf), folder, "csv")
+    return read_threads(spark, folder)
+
+
+@query
+def corpus_scan(spark, sf):
+    folder = fresh_folder(spark, "corpus")
+    write_table(th.reply_corpus(v.threads(spark, sf)), folder, "csv")
+    return read_corpus(spark, folder)
+
+
+@query
+def gate_config(spark, sf):
+    """The risk policy under a gate that was written and loaded."""
+    folder = fresh_folder(spark, "gate")
+    fit = spark.range(1).select(F.lit(v.GATE.w_confidence).alias("w_confidence"), F.lit(v.GATE.w_retrieval).alias("w_retrieval"),
+                                F.lit(v.GATE.intercept).alias("intercept"))
+    choice = spark.range(1).select(F.lit(v.GATE.prob_thresh).alias("prob_thresh"), F.lit(0.0).alias("auto_handle_rate"), F.lit(0.0).alias("risk_miss_rate"))
+    config.write_gate_config(config.gate_config_frame(fit, choice), folder)
+    done = policy.decide(v.tickets(spark, sf), config.load_gate_config(spark, folder))
+    return done.select("tweet_id", F.round("risk_score", 6).alias("risk_score"), "reason_code")
+
+
+@query
+def first_tickets(spark, sf):
+    return tk.first_tickets(v.tickets(spark, sf).select("tweet_id", "text"), 25)
 
 
 @query
@@ -436,7 +465,10 @@ def ece(spark, sf):
 @query
 def calibration_document(spark, sf):
     t = v.tickets(spark, sf)
-    return calibration_json(metrics.calibration_bins(t), metrics.ece(t))
+    document = calibration_json(metrics.calibration_bins(t), metrics.ece(t))
+    kind = "struct<ece: double, buckets: array<struct<bin: string, n: bigint, mean_conf: double, mean_acc: double>>>"
+    parsed = document.select(F.from_json("document", kind).alias("d"))
+    return parsed.select(F.col("d.ece").alias("ece"), F.explode("d.buckets").alias("b")).select("ece", "b.*")
 
 
 @query

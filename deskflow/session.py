@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -16,8 +18,15 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    return _local_folder(context.applicationId)
+
+
+@lru_cache
+def _local_folder(application: str) -> str:
+    """One temporary folder per local application."""
     return tempfile.mkdtemp(prefix="deskflow-")
 
 

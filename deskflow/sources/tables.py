@@ -11,6 +11,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')
+        # spaces at the ends belong to the text
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.format(fmt).save(path)
 
 

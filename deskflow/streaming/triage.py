@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -72,6 +72,12 @@ def triage_batch(requests: DataFrame, corpus: DataFrame) -> DataFrame:
     return attach_evidence(triage_requests(requests), corpus)
 
 
+def holds_files(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(path) and len(files.listStatus(path)) > 0
+
+
 def triage_stream(
     requests: DataFrame, corpus: DataFrame, output: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
@@ -79,9 +85,13 @@ def triage_stream(
 
     Everything up to the decision is stateless; evidence is looked up per
     micro-batch, which reads the corpus once each time: pass an ``evidence_sample``
-    stored as a table for short batches over a large history.  A batch that is run again after a failure replaces its own
-    folder, so results are neither lost nor doubled.
+    stored as a table for short batches over a large history.  A batch that is run again
+    after a failure replaces its own folder, so results are neither lost nor doubled.  Batches
+    are numbered per checkpoint, so a new checkpoint needs a new or empty output folder.
     """
+    spark = requests.sparkSession
+    if holds_files(spark, output) and not holds_files(spark, checkpoint):
+        raise ValueError(f"{output} holds results of another checkpoint; name a new folder")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()
