@@ -11,18 +11,21 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 
 from .words import sliced, text_bytes
 
-CACHED = 400_000
+WORDS_KEPT = 600_000
+PIECES_KEPT = 400_000
 
 # How the word vocabulary normalises and splits (its file says so).
 WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
@@ -33,27 +36,42 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class WordIds(dict):
-    """Ids (little-endian, unsigned, 32 bits) of words without white space."""
+class Recent(dict):
+    """A bounded dictionary that makes what it lacks; what was not asked for lately is forgotten."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, make, size: int):
         super().__init__()
-        self.tokenizer, self.model = tokenizer, tokenizer.model
-        self.letters = _byte_letters()
+        self.make, self.half, self.old = make, size // 2, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
+def word_ids(tokenizer) -> Recent:
+    """Ids (little-endian, unsigned, 32 bits) of words without white space."""
+    letters, model = _byte_letters(), tokenizer.model
 
-    def __missing__(self, word: bytes) -> bytes:
+    def of_piece(piece: str) -> bytes:
+        ids = [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
+        return pack(f"<{len(ids)}I", *ids)
+
+    pieces = Recent(of_piece, PIECES_KEPT)
+
+    def of_word(word: bytes) -> bytes:
         text = word.decode()
         if PLAIN.fullmatch(text) and "<|" not in text:
-            ids = [
-                t.id for piece in PIECES.findall(text.lower())
-                for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            ]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = found = np.array(ids, "<u4").tobytes()
-        return found
+            low = text.lower()
+            return pieces[low] if LETTERS.fullmatch(low) else b"".join(map(pieces.__getitem__, PIECES.findall(low)))
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    return Recent(of_word, WORDS_KEPT)
 
 
 @lru_cache(2)
@@ -66,7 +84,7 @@ def _opened(path: str):
     steps = content.get("pre_tokenizer") or {}
     split = (steps.get("pretokenizers") or [{}])[0]
     by_word = content.get("normalizer") == WORD_NORMALIZER and split.get("pattern") == {"Regex": WORD_SPLIT} and split.get("invert")
-    return tokenizer, WordIds(tokenizer) if by_word else None
+    return tokenizer, word_ids(tokenizer) if by_word else None
 
 
 def token_ids(texts: pa.Array, path: str, end: int | None) -> list[bytes]:
