@@ -44,6 +44,7 @@ COORDINATES = 48
 MATCHES = 24
 PREFIX = COORDINATES - MATCHES + 1
 STORE = 1 << 20
+SIGNED = COORDINATES // 2  # 64-bit values of a signature
 CHUNK = 512
 CELL = 4096
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**62, COORDINATES, dtype=np.uint64) * U64(2) + U64(1)
@@ -109,18 +110,17 @@ def signed(df: DataFrame, id: str, text: str, width: int) -> DataFrame:
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """Rows (key, node, coordinate): a key stands for a coordinate and its value."""
+    """Rows (key, node): the upper half of a key is the coordinate, the lower its value."""
 
     def post(batches):
         for batch in batches:
             if batch.num_rows:
                 values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
-                keys = mixed(values.astype(np.uint64) | (np.arange(COORDINATES, dtype=np.uint64) << U64(32)))
+                keys = values.astype(np.int64) | (np.arange(COORDINATES, dtype=np.int64) << 32)
                 node = np.repeat(batch.column(0).to_numpy(), COORDINATES)
-                place = np.tile(np.arange(COORDINATES, dtype=np.int32), len(values))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node), pa.array(place)], names=["key", "node", "coordinate"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node)], names=["key", "node"])
 
-    return classes.select("node", "signature").mapInArrow(post, "key long, node long, coordinate int")
+    return classes.select("node", "signature").mapInArrow(post, "key long, node long")
 
 
 def _prefixes(classes: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def _prefixes(classes: DataFrame) -> DataFrame:
     met = posted.join(common, "key")
     of_node = Window.partitionBy("node")
     ranked = met.withColumn("place", F.row_number().over(of_node.orderBy("n", "key"))).withColumn("posted", F.count("*").over(of_node))
-    kept = ranked.where(F.col("place") + (COORDINATES - F.col("posted")) <= PREFIX).select("key", "node", "coordinate")
+    kept = ranked.where(F.col("place") + (COORDINATES - F.col("posted")) <= PREFIX).select("key", "node")
     return settled(kept, "prefixes")
 
 
@@ -143,72 +143,72 @@ def _pivot_pairs(posted: DataFrame) -> DataFrame:
     return met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in MATCHES coordinates or more."""
-    one = classes.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
-    two = classes.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
-
-    def count(batches):
-        for batch in batches:
-            if batch.num_rows:
-                left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, COORDINATES) for k in (2, 3))
-                keep = pa.array((left == right).sum(1) >= MATCHES)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
-
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
-    return settled(met.mapInArrow(count, "a long, b long"), "candidates")
-
-
 def _stored_sets(df: DataFrame, wanted: DataFrame, id: str, text: str, width: int, folder: str) -> DataFrame:
-    """Write the sets of the wanted classes (id, node, set_a, set_b); gives (node, file, start, size)."""
+    """Write signature and set of the wanted classes (id, node, set_a, set_b); gives (node, file, start, size).
+
+    Size is that of the set, which begins SIGNED values after start.
+    """
     rows = checked_broadcast(settled(wanted.select(F.col(id).alias("__wanted_id"), "node", "set_a", "set_b"), "wanted"))
     met = df.select(id, text).join(rows, F.col(id).eqNullSafe(F.col("__wanted_id"))).select(text, "node", "set_a", "set_b")
 
     def store(batches):
-        held, size, name = [], 0, uuid.uuid4().hex
+        held, size, name = [], 0, uuid.uuid4().int >> 66
         where: list[tuple[int, int, int]] = []
 
         def out():
-            save_array(folder, name, np.concatenate(held))
+            save_array(folder, str(name), np.concatenate(held))
             node, start, n = (np.array(c, np.int64) for c in zip(*where))
-            return pa.RecordBatch.from_arrays([pa.array(node), pa.array([name] * len(node), pa.string()), pa.array(start), pa.array(n)], names=["node", "file", "start", "size"])
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.full(len(node), name, np.int64)), pa.array(start), pa.array(n)], names=["node", "file", "start", "size"])
 
         for batch in sliced(batches):
             hashes, first = shingles(batch.column(0), width)
             a, b = _set_hashes(hashes, first)
+            signatures = _signatures(hashes, first)
             right = (a == batch.column(2).to_numpy()) & (b == batch.column(3).to_numpy())
             node = batch.column(1).to_numpy()
             for i in np.flatnonzero(right):
                 one = hashes[first[i] : first[i + 1]]
-                held.append(one)
+                held += [signatures[i].view(np.uint64), one]
                 where.append((int(node[i]), size, len(one)))
-                size += len(one)
+                size += SIGNED + len(one)
                 if size >= STORE:
                     yield out()
-                    held, where, size, name = [], [], 0, uuid.uuid4().hex
+                    held, where, size, name = [], [], 0, uuid.uuid4().int >> 66
         if held:
             yield out()
 
-    found = met.mapInArrow(store, "node long, file string, start long, size long")
+    found = met.mapInArrow(store, "node long, file long, start long, size long")
     return settled(settled(found, "stored").groupBy("node").agg(F.min(F.struct("file", "start", "size")).alias("at")).select("node", "at.*"), "sets")
 
 
+def _stored_signature(folder: str, file: int, start: int) -> np.ndarray:
+    return load_array(folder, str(file), np.uint64)[start : start + SIGNED].view(np.uint32)
+
+
+def _stored_set(folder: str, file: int, start: int, size: int) -> np.ndarray:
+    return load_array(folder, str(file), np.uint64)[start + SIGNED : start + SIGNED + size]
+
+
+def _similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([left, right])
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _links(pairs: DataFrame, sets: DataFrame, folder: str, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
+    """Pairs (a, b) whose signatures agree in MATCHES coordinates and whose full sets are similar enough."""
     side = lambda n: sets.select(F.col("node").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("file", "start", "size")])
 
     def confirm(batches):
         for batch in batches:
-            a, b, *rest = (c.to_pylist() for c in batch.columns)
             keep = []
-            for fa, sa, na, fb, sb, nb in zip(*rest):
-                if 100 * min(na, nb) < percent * max(na, nb):
-                    keep.append(False)
-                    continue
-                left, right = load_array(folder, fa, np.uint64)[sa : sa + na], load_array(folder, fb, np.uint64)[sb : sb + nb]
-                both = np.sort(np.concatenate([left, right]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (na + nb - common))
+            for fa, sa, na, fb, sb, nb in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                keep.append(
+                    100 * min(na, nb) >= percent * max(na, nb)
+                    and int((_stored_signature(folder, fa, sa) == _stored_signature(folder, fb, sb)).sum()) >= MATCHES
+                    and _similar(_stored_set(folder, fa, sa, na), _stored_set(folder, fb, sb, nb), percent)
+                )
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{n}_{c}" for n in "ab" for c in ("file", "start", "size")])
@@ -249,28 +249,27 @@ def _cells(rows: DataFrame) -> DataFrame:
     return shared.select("cell", "side", *columns).unionAll(crossed.select("cell", "side", *columns))
 
 
-def _cross_links(posted: DataFrame, found: DataFrame, classes: DataFrame, sets: DataFrame, folder: str, percent: int) -> DataFrame:
+def _cross_links(posted: DataFrame, found: DataFrame, sets: DataFrame, folder: str, percent: int) -> DataFrame:
     """Links (a, b) between classes of different components that share a posted value.
 
     Pairs are made, counted and confirmed within a cell and never leave it unless they are
     links.  A pair is looked at under the first value only that both have posted.
     """
-    grouped = posted.join(found, "node", "left").select("key", "node", "coordinate", F.coalesce("component", "node").alias("component"))
+    grouped = posted.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     grouped = settled(grouped, "grouped")
     open_keys = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     rows = settled(grouped.join(settled(open_keys.select("key"), "open"), "key", "left_semi"), "open_rows")
-    masks = posted.groupBy("node").agg(F.expr("bit_or(shiftleft(1L, coordinate))").alias("mask"))
-    about = classes.select("node", "signature").join(masks, "node").join(sets, "node")
-    about = settled(about.join(rows.select("node").distinct(), "node", "left_semi"), "about")
-    cells = _cells(rows).join(about, "node").select("cell", "side", "key", "coordinate", "component", "node", "mask", "signature", "file", "start", "size")
+    masks = posted.groupBy("node").agg(F.expr("bit_or(shiftleft(1L, CAST(shiftright(key, 32) AS INT)))").alias("mask"))
+    about = settled(masks.join(sets, "node").join(rows.select("node").distinct(), "node", "left_semi"), "about")
+    cells = _cells(rows).join(about, "node").select("cell", "side", "key", "component", "node", "mask", "file", "start", "size")
 
     def compare(group: pa.Table) -> pa.Table:
-        side, key, place, component, node, mask, start, size = (
-            group[c].combine_chunks().to_numpy() for c in ("side", "key", "coordinate", "component", "node", "mask", "start", "size")
+        side, key, component, node, mask, file, start, size = (
+            group[c].combine_chunks().to_numpy() for c in ("side", "key", "component", "node", "mask", "file", "start", "size")
         )
-        values = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint32).reshape(-1, COORDINATES)
+        place = key >> 32
+        values = np.stack([_stored_signature(folder, f, s) for f, s in zip(file.tolist(), start.tolist())])
         bits = (mask[:, None] >> np.arange(COORDINATES)) & 1 == 1
-        file = group["file"].to_pylist()
         order = np.argsort(key, kind="stable")
         edge = np.append(np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])), len(order))
         a, b = [], []
@@ -287,13 +286,9 @@ def _cross_links(posted: DataFrame, found: DataFrame, classes: DataFrame, sets:
                 other, same = other[good], same[good]
                 other = other[(same & bits[other] & bits[i]).argmax(1) == place[i]] if len(other) else other
                 if len(other):
-                    own = load_array(folder, file[i], np.uint64)[start[i] : start[i] + size[i]]
+                    own = _stored_set(folder, file[i], start[i], size[i])
                     for j in other.tolist():
-                        theirs = load_array(folder, file[j], np.uint64)[start[j] : start[j] + size[j]]
-                        both = np.concatenate([own, theirs])
-                        both.sort(kind="stable")
-                        common = int(np.count_nonzero(both[1:] == both[:-1]))
-                        if 100 * common >= percent * (len(both) - common):
+                        if _similar(own, _stored_set(folder, file[j], start[j], size[j]), percent):
                             a.append(max(node[i], node[j]))
                             b.append(min(node[i], node[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -313,12 +308,11 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
     classes = settled(rows.join(nodes.select("node"), F.col("__row") == F.col("node")).select(id, "node", "set_a", "set_b", "signature"), "classes")
     posted = _prefixes(classes)
     folder = new_folder(df.sparkSession, "sets")
-    pairs = _agreeing(_pivot_pairs(posted), classes)
     wanted = posted.select("node").distinct()
     sets = _stored_sets(df, classes.join(wanted, "node", "left_semi"), id, text, width, folder)
-    links = _links(pairs, sets, folder, percent)
+    links = _links(_pivot_pairs(posted), sets, folder, percent)
     found = settled(components(links), "components")
-    more = _cross_links(posted, found, classes, sets, folder, percent)
+    more = _cross_links(posted, found, sets, folder, percent)
     if not more.isEmpty():  # the components so far are stars; only what joins them is new
         found = settled(components(found.toDF("a", "b").unionAll(more)), "components")
     return _labelled(rows, nodes, found, id, key)
