@@ -145,7 +145,7 @@ def test_shared_folder_is_the_configured_one():
 
     def session(folder, master):
         conf = {"spark.checkpoint.dir": folder} if folder else {}
-        return Stub(conf=conf, sparkContext=Stub(master=master))
+        return Stub(conf=conf, sparkContext=Stub(master=master, applicationId="app-1"))
 
     assert shared_folder(session("/shared/work", "yarn")) == "/shared/work"
     assert shared_folder(session(None, "local[4]"))
