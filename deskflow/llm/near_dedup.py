@@ -211,7 +211,7 @@ def _links(pairs: DataFrame, sets: DataFrame, folder: str, percent: int) -> Data
                 )
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{n}_{c}" for n in "ab" for c in ("file", "start", "size")])
+    met = pairs.join(checked_broadcast(side("a")), "a").join(checked_broadcast(side("b")), "b").select("a", "b", *[f"{n}_{c}" for n in "ab" for c in ("file", "start", "size")])
     return settled(met.mapInArrow(confirm, "a long, b long"), "links")
 
 
@@ -255,13 +255,13 @@ def _cross_links(posted: DataFrame, found: DataFrame, sets: DataFrame, folder: s
     Pairs are made, counted and confirmed within a cell and never leave it unless they are
     links.  A pair is looked at under the first value only that both have posted.
     """
-    grouped = posted.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    grouped = posted.join(checked_broadcast(found), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     grouped = settled(grouped, "grouped")
     open_keys = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     rows = settled(grouped.join(settled(open_keys.select("key"), "open"), "key", "left_semi"), "open_rows")
     masks = posted.groupBy("node").agg(F.expr("bit_or(shiftleft(1L, CAST(shiftright(key, 32) AS INT)))").alias("mask"))
     about = settled(masks.join(sets, "node").join(rows.select("node").distinct(), "node", "left_semi"), "about")
-    cells = _cells(rows).join(about, "node").select("cell", "side", "key", "component", "node", "mask", "file", "start", "size")
+    cells = _cells(rows).join(checked_broadcast(about), "node").select("cell", "side", "key", "component", "node", "mask", "file", "start", "size")
 
     def compare(group: pa.Table) -> pa.Table:
         side, key, component, node, mask, file, start, size = (
@@ -305,10 +305,10 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
     key = ["set_a", "set_b", "n_shingles"]
     nodes = rows.where("n_shingles > 0").groupBy(*key).agg(F.min("__row").alias("node"))
     nodes = settled(nodes, "nodes")
-    classes = settled(rows.join(nodes.select("node"), F.col("__row") == F.col("node")).select(id, "node", "set_a", "set_b", "signature"), "classes")
+    classes = settled(rows.join(checked_broadcast(nodes.select("node")), F.col("__row") == F.col("node")).select(id, "node", "set_a", "set_b", "signature"), "classes")
     posted = _prefixes(classes)
     folder = new_folder(df.sparkSession, "sets")
-    wanted = posted.select("node").distinct()
+    wanted = checked_broadcast(settled(posted.select("node").distinct(), "posted"))
     sets = _stored_sets(df, classes.join(wanted, "node", "left_semi"), id, text, width, folder)
     links = _links(_pivot_pairs(posted), sets, folder, percent)
     found = settled(components(links), "components")
