@@ -93,20 +93,32 @@ def _pairs(texts: pa.Array, chosen: np.ndarray | None = None) -> tuple[np.ndarra
     return np.concatenate([row, row[more]]), np.concatenate([feature, _again(feature[more])])
 
 
+def _parts(texts: pa.Array, rows: int = 500):
+    """Slices of a sample, so that only one slice's features are held at a time."""
+    return [(at, texts.slice(at, rows)) for at in range(0, len(texts), rows)]
+
+
+def _documents_with(texts: pa.Array) -> np.ndarray:
+    """The number of texts that have each feature."""
+    out = np.zeros(1 << BITS, np.int64)
+    for _, part in _parts(texts):
+        out += np.bincount(_pairs(part)[1], minlength=1 << BITS)
+    return out
+
+
 def fit(positive: pa.Array, unlabelled: pa.Array, prior: float, steps: int = STEPS) -> Classifier:
     """One classifier by the non-negative risk, with full gradients (Adam)."""
     n_p, n_u = len(positive), len(unlabelled)
-    row_p, feature_p = _pairs(positive)
-    row_u, feature_u = _pairs(unlabelled)
-    in_p, in_u = (np.bincount(f, minlength=1 << BITS) for f in (feature_p, feature_u))
+    in_p, in_u = (_documents_with(texts) for texts in (positive, unlabelled))
     rate = (in_p + in_u + 1) / (n_p + n_u + 2)
     z = (in_p - n_p * rate) / np.sqrt(n_p * rate * (1 - rate) + 1)
     chosen = np.flatnonzero((np.abs(z) >= SIGNIFICANT) & (in_p + in_u >= LEAST) & ((in_p >= LEAST) | (z < 0)))
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    keep_p, keep_u = place[feature_p] >= 0, place[feature_u] >= 0
-    row = np.concatenate([row_p[keep_p], n_p + row_u[keep_u]])
-    column = place[np.concatenate([feature_p[keep_p], feature_u[keep_u]])]
+    met = [(at + start, *_pairs(part, place >= 0)) for texts, at in ((positive, 0), (unlabelled, n_p)) for start, part in _parts(texts)]
+    row = np.concatenate([np.empty(0, np.int64), *[start + r for start, r, _ in met]])
+    column = place[np.concatenate([np.empty(0, np.int64), *[f for _, _, f in met]])]
+    row, column = row[column >= 0], column[column >= 0]
     w = np.zeros(len(chosen) + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -172,7 +184,7 @@ def scored(df: DataFrame, model: Classifier, text: str = "text", score: str = "s
 
     def run(batches):
         table = model.table()
-        for batch in sliced(batches):
+        for batch in sliced(batches, 4 << 20):
             row, feature = _pairs(batch.column(text), table != 0)
             logit = model.bias + np.bincount(row, table[feature], batch.num_rows)
             share = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
