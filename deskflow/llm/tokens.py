@@ -18,8 +18,8 @@ import pyarrow as pa
 
 from .words import sliced, text_bytes
 
-WORDS_KEPT = 400_000
-PIECES_KEPT = 250_000
+WORDS_KEPT = 250_000
+PIECES_KEPT = 150_000
 
 # How the word vocabulary normalises and splits (its file says so).
 WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
