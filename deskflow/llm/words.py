@@ -6,7 +6,7 @@ start of each word), then mixed.  Nothing depends on a word's place, so equal wo
 have equal hashes in every batch, task and run.
 
 Nulls and empty texts have no words.  A text of any length is worked off in blocks of
-about a megabyte that end between words, so memory follows the batch, not the text.
+256 KB that end between words, so memory follows the batch, not the text.
 """
 
 from __future__ import annotations
