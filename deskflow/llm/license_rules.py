@@ -16,16 +16,16 @@ STRENGTH = {NAME: 0.5, VERSIONED: 0.7, LATER: 0.8, TAGGED: 0.95, NOTICE: 0.9}
 
 @dataclass(frozen=True)
 class Rule:
-    """priority: of overlapping detections the higher one stays; gate: a word the text must have."""
+    """priority: of overlapping detections the higher one stays; gates: words of which the text must have one."""
 
     name: str
     label: str
-    gate: str
+    gates: frozenset[str]
     pattern: re.Pattern
     priority: int
 
 
-# label: (gate, full names, identifiers, versions, whether "or later" is said of it)
+# label: (words preferred as gates, full names, identifiers, versions, whether "or later" is said of it)
 FAMILIES: dict[str, tuple[str, tuple[str, ...], tuple[str, ...], tuple[str, ...], bool]] = {
     "gpl": ("gnu", (r"gnu (?:general public|gpl) licen[cs]e", r"gnu gpl"), ("gpl",), ("1", "2", "3"), True),
     "lgpl": ("gnu", (r"gnu (?:lesser|library) general public licen[cs]e", r"gnu lgpl"), ("lgpl",), ("2", "2.1", "3"), True),
@@ -34,7 +34,7 @@ FAMILIES: dict[str, tuple[str, tuple[str, ...], tuple[str, ...], tuple[str, ...]
     "apache": ("apache", (r"apache (?:software )?licen[cs]e",), ("apache", "asl"), ("1.0", "1.1", "2.0"), False),
     "mit": ("mit", (r"(?:the )?mit licen[cs]e", r"mit style licen[cs]e"), ("mit",), (), False),
     "mit-0": ("mit", (r"mit no attribution licen[cs]e", r"mit 0 licen[cs]e"), ("mit 0",), (), False),
-    "bsd": ("bsd", (r"bsd licen[cs]e", r"berkeley software distribution licen[cs]e"), ("bsd",), (), False),
+    "bsd": ("bsd berkeley", (r"bsd licen[cs]e", r"berkeley software distribution licen[cs]e"), ("bsd",), (), False),
     "bsd-0": ("bsd", (r"(?:zero|0) clause bsd(?: licen[cs]e)?",), ("0bsd",), (), False),
     "bsd-1": ("bsd", (r"(?:one|1) clause bsd(?: licen[cs]e)?",), ("bsd 1 clause",), (), False),
     "bsd-2": ("bsd", (r"(?:two|2) clause bsd(?: licen[cs]e)?", r"(?:simplified|freebsd) bsd licen[cs]e"), ("bsd 2 clause",), (), False),
@@ -60,17 +60,17 @@ FAMILIES: dict[str, tuple[str, tuple[str, ...], tuple[str, ...], tuple[str, ...]
     "isc": ("isc", (r"isc licen[cs]e",), ("isc",), (), False),
     "unlicense": ("unlicense", (r"the unlicense", r"unlicense"), ("unlicense",), (), False),
     "wtfpl": ("wtfpl", (r"wtfpl",), ("wtfpl",), ("1", "2"), False),
-    "python": ("python", (r"python (?:software foundation )?licen[cs]e", r"psf licen[cs]e agreement"), ("python", "psf"), ("2", "2.0", "3.0"), False),
+    "python": ("python psf", (r"python (?:software foundation )?licen[cs]e", r"psf licen[cs]e agreement"), ("python", "psf"), ("2", "2.0", "3.0"), False),
     "php": ("php", (r"php licen[cs]e",), ("php",), ("3.0", "3.01"), False),
     "ruby": ("ruby", (r"ruby licen[cs]e", r"licensed under the same terms as ruby"), ("ruby",), (), False),
     "perl": ("perl", (r"same terms as perl(?: itself)?",), ("perl",), ("5",), False),
-    "openssl": ("openssl", (r"openssl licen[cs]e", r"ssleay licen[cs]e"), ("openssl",), (), False),
+    "openssl": ("openssl ssleay", (r"openssl licen[cs]e", r"ssleay licen[cs]e"), ("openssl",), (), False),
     "postgresql": ("postgresql", (r"postgresql licen[cs]e",), ("postgresql",), (), False),
     "ms-pl": ("microsoft", (r"microsoft public licen[cs]e",), ("ms pl",), (), False),
     "ms-rl": ("microsoft", (r"microsoft reciprocal licen[cs]e",), ("ms rl",), (), False),
     "ofl": ("font", (r"(?:sil )?open font licen[cs]e",), ("ofl",), ("1.0", "1.1"), False),
-    "beerware": ("beer", (r"beer ?ware licen[cs]e",), ("beerware",), (), False),
-    "x11": ("x11", (r"x11 licen[cs]e", r"x consortium licen[cs]e"), ("x11",), (), False),
+    "beerware": ("beer beerware", (r"beer ?ware licen[cs]e",), ("beerware",), (), False),
+    "x11": ("x11 consortium", (r"x11 licen[cs]e", r"x consortium licen[cs]e"), ("x11",), (), False),
     "ncsa": ("ncsa", (r"(?:university of illinois )?ncsa open source licen[cs]e",), ("ncsa",), (), False),
     "w3c": ("w3c", (r"w3c software (?:notice and )?licen[cs]e",), ("w3c",), ("20150513", "19980720"), False),
     "zpl": ("zope", (r"zope public licen[cs]e",), ("zpl",), ("1.1", "2.0", "2.1"), False),
@@ -83,7 +83,7 @@ FAMILIES: dict[str, tuple[str, tuple[str, ...], tuple[str, ...], tuple[str, ...]
     "odbl": ("database", (r"open database licen[cs]e",), ("odbl",), ("1.0",), False),
     "odc-by": ("commons", (r"open data commons attribution licen[cs]e",), ("odc by",), ("1.0",), False),
     "pddl": ("domain", (r"public domain dedication and licen[cs]e",), ("pddl",), ("1.0",), False),
-    "cc0": ("cc0", (r"cc0(?: public domain dedication)?", r"creative commons zero"), ("cc0",), ("1.0",), False),
+    "cc0": ("cc0 creative", (r"cc0(?: public domain dedication)?", r"creative commons zero"), ("cc0",), ("1.0",), False),
     "elastic": ("elastic", (r"elastic licen[cs]e",), ("elastic",), ("1.0", "2.0"), False),
     "sspl": ("server", (r"server side public licen[cs]e",), ("sspl",), ("1.0",), False),
     "busl": ("business", (r"business source licen[cs]e",), ("busl",), ("1.0", "1.1"), False),
@@ -98,6 +98,11 @@ FAMILIES: dict[str, tuple[str, tuple[str, ...], tuple[str, ...], tuple[str, ...]
     "proprietary": ("rights", (r"all rights reserved",), (), (), False),
 }
 
+# Identifiers that are also names of programs and the like: glued versions ("python3") count in a licence context only.
+PLAIN = {"python", "perl", "php", "ruby", "elastic", "unicode", "w3c", "libpng", "zlib", "vim", "json", "icu", "openssl", "postgresql", "x11", "artistic"}
+UNDER = r"(?:licen[cs]ed|released|distributed|available|published|provided|covered) (?:under|by|with)(?: the)?(?: terms of(?: the)?)?"
+FIELD = r"licen[cs]e(?: is| type)?"
+
 CC_PARTS = {"by": r"by", "by-sa": r"by sa", "by-nd": r"by nd", "by-nc": r"by nc", "by-nc-sa": r"by nc sa", "by-nc-nd": r"by nc nd"}
 CC_NAMES = {
     "by": "attribution", "by-sa": "attribution share ?alike", "by-nd": "attribution no ?deriv(?:ative)?s",
@@ -106,7 +111,7 @@ CC_NAMES = {
 }
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 
-# label: (gate, phrase of the licence's own text)
+# (label, word preferred as gate, phrase of the licence's own text)
 NOTICES: tuple[tuple[str, str, str], ...] = (
     ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
@@ -143,8 +148,56 @@ def _spoken(version: str) -> str:
     return " ".join(parts[:-1]) + (rf"(?: {parts[-1]})?" if parts[-1] == "0" else rf" {parts[-1]}")
 
 
-def _rule(name: str, label: str, gate: str, pattern: str, priority: int) -> Rule:
-    return Rule(name, label, gate, re.compile(rf"(?<= )(?:{pattern})(?= )".encode()), priority)
+def _parts(pattern: str, at: int = 0) -> tuple[list[str], int]:
+    """All texts that the alternatives from `at` on match, up to their closing bracket; "\0" is any run of characters."""
+    done: list[str] = []
+    texts = [""]
+    while at < len(pattern) and pattern[at] != ")":
+        if pattern[at] == "|":
+            done, texts, at = done + texts, [""], at + 1
+            continue
+        if pattern.startswith("(?:", at):
+            atom, at = _parts(pattern, at + 3)
+            at += 1
+        elif pattern[at] == "[":
+            end = pattern.index("]", at)
+            atom, at = list(pattern[at + 1 : end]), end + 1
+        elif pattern[at] in "\\.":
+            atom, at = ["\0"], at + (1 if pattern[at] == "." else 2)
+        elif pattern[at].isalnum() or pattern[at] == " ":
+            atom, at = [pattern[at]], at + 1
+        else:
+            raise ValueError(f"{pattern[at:]!r} is not understood")
+        if many := re.match(r"\+|\{[1-9]\d*,\d+\}\??", pattern[at:]):
+            atom, at = ["\0"], at + many.end()
+        elif pattern[at : at + 1] == "?":
+            atom, at = [*atom, ""], at + 1
+        texts = [x + y for x in texts for y in atom]
+    return done + texts, at
+
+
+def written(pattern: str) -> list[str]:
+    """All texts that a pattern matches."""
+    return _parts(pattern)[0]
+
+
+def _gates(pattern: str, preferred: str) -> frozenset[str]:
+    """One word of every text that the pattern matches: a preferred one, one that begins so ("gplv2"), or the longest."""
+    first, found = preferred.split(), set()
+    for text in written(pattern):
+        words = [w for w in text.split() if "\0" not in w]
+        found.add(next((x for x in first if x in words), None) or max(words, key=lambda w: (any(w.startswith(x) for x in first), len(w), w)))
+    return frozenset(found)
+
+
+def _rule(name: str, label: str, preferred: str, pattern: str, priority: int) -> Rule:
+    return Rule(name, label, _gates(pattern, preferred), re.compile(rf"(?<= )(?:{pattern})(?= )".encode()), priority)
+
+
+def _in_context(i: str, said: str) -> str:
+    """An identifier where a licence is spoken of; one that is also a plain name needs a verb."""
+    before = UNDER if i in PLAIN else rf"(?:{UNDER}|{FIELD})"
+    return rf"{before} {i}{said}(?: licen[cs]e)?|{i}{said} licen[cs]ed?"
 
 
 def build_rules() -> list[Rule]:
@@ -161,7 +214,11 @@ def build_rules() -> list[Rule]:
             rules.append(_rule(f"{label}:tag {i}", label, "spdx", rf"spdx licen[cs]e identifier {i}", TAGGED))
             for v in versions:
                 rules.append(_rule(f"{label}-{v}:tag {i}", f"{label}-{v}", "spdx", rf"spdx licen[cs]e identifier {i} {_spoken(v)}(?: (?:only|or later))?", TAGGED))
-                rules.append(_rule(f"{label}-{v}:id {i}", f"{label}-{v}", i.split()[0], rf"{i} ?v?{_spoken(v)}(?: (?:only|or later))?", VERSIONED))
+                between = " " if i in PLAIN else "(?: version)? ?"
+                rules.append(_rule(f"{label}-{v}:id {i}", f"{label}-{v}", i.split()[0], rf"{i}{between}v?{_spoken(v)}(?: (?:only|or later))?", VERSIONED))
+                if i in PLAIN:
+                    rules.append(_rule(f"{label}-{v}:context {i}", f"{label}-{v}", i, _in_context(i, rf"(?: version)? ?v?{_spoken(v)}"), VERSIONED))
+            rules.append(_rule(f"{label}:context {i}", label, i.split()[0], _in_context(i, ""), NAME))
     for part, written in CC_PARTS.items():
         label = f"cc-{part}"
         rules.append(_rule(f"{label}:id", label, "cc", rf"cc {written}", NAME))

@@ -1,7 +1,7 @@
 """Licence scan: ordered signature rules behind a keyword gate.
 
 Texts are normalised to words of [0-9a-z] and non-ASCII bytes (A-Z lowered).  A rule runs
-only over texts that hold its gate word.  Detections are intervals of words; they are taken
+only over texts that hold one of its gate words; whatever it matches holds one.  Detections are intervals of words; they are taken
 by priority, then length, then place, and one is dropped when it lies within the interval of
 one that was taken before it, or overlaps one of higher priority.
 
@@ -32,10 +32,17 @@ BASE_PHRASES = {
 
 
 @lru_cache(1)
-def gated_rules() -> dict[bytes, list[Rule]]:
-    gates: dict[bytes, list[Rule]] = {}
-    for rule in build_rules():
-        gates.setdefault(rule.gate.encode(), []).append(rule)
+def numbered_rules() -> list[Rule]:
+    return build_rules()
+
+
+@lru_cache(1)
+def gated_rules() -> dict[bytes, list[int]]:
+    """Numbers of the rules behind each gate."""
+    gates: dict[bytes, list[int]] = {}
+    for k, rule in enumerate(numbered_rules()):
+        for gate in rule.gates:
+            gates.setdefault(gate.encode(), []).append(k)
     return gates
 
 
@@ -55,12 +62,11 @@ def base_places(joined: bytes) -> list[dict]:
 
 def detections(joined: bytes, words: set[bytes]) -> list[dict]:
     """What stays of all rule matches after suppression, in order of place."""
-    matches = []
-    for gate, rules in gated_rules().items():
-        if gate in words:
-            for rule in rules:
-                for m in rule.pattern.finditer(joined):
-                    matches.append((rule.priority, m.start(), m.end(), rule))
+    gates, rules, matches = gated_rules(), numbered_rules(), []
+    for k in {k for gate in gates.keys() & words for k in gates[gate]}:
+        rule = rules[k]
+        for m in rule.pattern.finditer(joined):
+            matches.append((rule.priority, m.start(), m.end(), rule))
     matches.sort(key=lambda x: (-x[0], x[1] - x[2], x[1], x[3].name))
     taken: list[tuple[int, int, int, Rule]] = []
     for priority, a, b, rule in matches:

@@ -1,10 +1,11 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from deskflow.llm.license_rules import build_rules
-from deskflow.llm.license_scan import BASE_PHRASES, base_places, detections, scan
+from deskflow.llm.license_rules import build_rules, written
+from deskflow.llm.license_scan import BASE_PHRASES, base_places, detections, gated_rules, scan
 
 
 def words(text):
@@ -56,6 +57,35 @@ def test_nothing_without_the_gate_or_whole_words():
     assert base_places(b" summit license accc by ") == []
 
 
+def test_gates_lose_no_match():
+    rng, every = random.Random(7), set(gated_rules())
+    for rule in build_rules():
+        texts = written(rule.pattern.pattern.decode()[len("(?<= )(?:") : -len(")(?= )")])
+        for text in texts:
+            assert not rule.gates.isdisjoint(text.split()), (rule.name, text)
+        for text in rng.sample(texts, min(len(texts), 8)):
+            joined = f" {text} ".replace("\0", "7").encode()
+            assert any(m.span() == (1, len(joined) - 1) for m in rule.pattern.finditer(joined)), (rule.name, text)
+            assert detections(joined, set(joined.split())) == detections(joined, every) != []
+
+
+@pytest.mark.parametrize("text, label", [
+    ("Released under GPLv2", "gpl-2"), ("GPLv3", "gpl-3"), ("LGPLv3", "lgpl-3"), ("AGPLv3", "agpl-3"), ("Apache2", "apache-2.0"), ("MPL2", "mpl-2.0"),
+    ("Berkeley Software Distribution License", "bsd"), ("Creative Commons Zero", "cc0"), ("X Consortium License", "x11"),
+    ("SSLeay license", "openssl"), ("PSF license agreement", "python"), ("Beerware licence", "beerware"), ("WTFPLv2", "wtfpl-2"),
+    ("unauthorised copying of this file", "proprietary"), ("licensed under the terms of the GPL version 2", "gpl-2"),
+    ("licensed under the GPL", "gpl"), ("License: MIT", "mit"), ("Distributed under BSD-3-Clause", "bsd-3"), ("BSD-2-Clause licensed", "bsd-2"),
+    ("released under ISC", "isc"), ("licensed under Python3", "python-3.0"),
+])
+def test_alternatives_and_bare_identifiers(text, label):
+    assert [x[0] for x in found(text)] == [label]
+
+
+def test_identifiers_outside_a_licence_context():
+    assert found("run python3 and php3 at MIT with json") == []
+    assert found("released under MIT License") == [("mit", 0, 4)]
+
+
 def test_odd_rows(odd_wide, empty):
     rows = scan(odd_wide).collect()
     assert len(rows) == odd_wide.count() and all(r.base == [] and r.found == [] for r in rows)
