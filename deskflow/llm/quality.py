@@ -2,13 +2,18 @@
 
 One pass over the whole texts measures every document.  Mergeable KLL quantile sketches of
 each measure are built per language and source; sketches of one language are merged into
-that language's, and all of them into one for everything.  A group's limits are its own
-quartiles plus or minus a multiple of their distance (a Tukey fence); a group of fewer than
-MIN_GROUP documents uses its language's, and a small language the overall ones.  The limits
-are then joined back and filter the documents.
+that language's, and all of them into one for everything.  A group of fewer than MIN_GROUP
+documents uses its language's, and a small language the overall ones.  The limits are then
+joined back and filter the documents.
 
-Fences only catch documents far from their like: `spread` and the least widths in `slack`
-keep ordinary documents also where a group hardly varies.
+A group's limits are the narrower of two:
+
+- a fence: its quartiles plus or minus a multiple of their distance; `spread` and the least
+  widths in `slack` keep ordinary documents also where a group hardly varies.  It holds with up
+  to a quarter of junk in a group, but for shares that are mostly 0 it is the least width alone;
+- for shares, its tail: the 0.99 quantile plus its distance from the 0.95 quantile.  It follows
+  shares that are mostly 0, but lies within the junk if a group holds more than 1% of that, and
+  says nothing if both quantiles are equal.
 
 Words are runs of bytes other than space and 0x09-0x0D.  Null and empty texts have no words
 and fail the base rules.  Null languages and sources are groups like any other.  Repeated
@@ -30,7 +35,8 @@ from .words import SPACES, U64, hashed_words, mixed, ngrams, sliced, text_bytes
 REPEAT_WINDOW = 8
 MIN_GROUP = 200
 SPREAD = 8.0
-SKETCH_K = 400
+TAIL = (0.95, 0.99)
+SKETCH_K = 2000  # ranks within about 0.2%, which the 0.99 quantile needs
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -38,7 +44,7 @@ SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 MEASURES: dict[str, tuple[str, bool, float]] = {
     "word_length": ("try_divide(word_chars, n_words)", True, 2.0),
     "symbol_share": ("try_divide(n_symbols, word_chars)", False, 0.06),
-    "line_share": ("try_divide(n_dup_lines, n_words)", False, 0.1),
+    "line_share": ("try_divide(n_dup_lines, n_lines)", False, 0.3),
     "repeat_share": ("try_divide(n_repeat_words, n_words)", False, 0.25),
 }
 
@@ -69,15 +75,17 @@ def _repeated_words(words, window: int) -> np.ndarray:
     return _per_text(np.cumsum(change[:-1]) > 0, words.first)
 
 
-def _repeated_lines(text: bytes) -> int:
+def _lines(text: bytes) -> tuple[int, int]:
+    """Lines with words that repeat an earlier one, and all lines with words."""
     lines = [x for x in text.split(b"\n") if x.strip()]
-    return len(lines) - len(set(lines))
+    return len(lines) - len(set(lines)), len(lines)
 
 
-def measured(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns `keep` of df and the counts of each text."""
+def measured(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (), lines: bool = False) -> DataFrame:
+    """The columns `keep` of df and the counts of each text, with n_lines if `lines`."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    schema = ", ".join(filter(None, [kinds, ", ".join(f"{c} long" for c in _COUNTS)]))
+    names = (*_COUNTS, "n_lines") if lines else _COUNTS
+    schema = ", ".join(filter(None, [kinds, ", ".join(f"{c} long" for c in names)]))
 
     def measure(batches):
         for batch in sliced(batches, 8 << 20):
@@ -85,15 +93,17 @@ def measured(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> D
             words = hashed_words(texts)
             data, offsets = text_bytes(texts)
             view, at = memoryview(data), offsets.tolist()
+            repeated, n_lines = zip(*[_lines(bytes(view[a:b])) for a, b in zip(at, at[1:])])
             counts = (
                 words.counts(),
                 _per_text(~SPACES[data] & ((data & 0xC0) != 0x80), offsets),
                 _per_text(SYMBOLS[data], offsets),
-                [_repeated_lines(bytes(view[a:b])) for a, b in zip(at, at[1:])],
+                repeated,
                 _repeated_words(words, REPEAT_WINDOW),
+                n_lines,
             )
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *[pa.array(c, pa.int64()) for c in counts]], names=[*keep, *_COUNTS]
+                [*batch.columns[:-1], *[pa.array(c, pa.int64()) for c in counts[: len(names)]]], names=[*keep, *names]
             )
 
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(text)).mapInArrow(measure, schema)
@@ -106,9 +116,12 @@ def base_failed() -> Column:
 def thresholds(rows: DataFrame, groups: tuple[str, str], min_group: int = MIN_GROUP, spread: float = SPREAD) -> DataFrame:
     """Limits per group: the two group columns, n, and <measure>_low / <measure>_high.
 
-    rows: counts of documents; those that fail the base rules say nothing about the others.
+    rows: counts of documents; those that fail the base rules say nothing about the others, and
+    counts without n_lines nothing about repeated lines.
     """
     lang, source = groups
+    if "n_lines" not in rows.columns:
+        rows = rows.withColumn("n_lines", F.lit(None).cast("long"))
     sound = rows.where(~base_failed())
     sketches = sound.groupBy(lang, source).agg(
         F.count("*").alias("n"),
@@ -122,9 +135,10 @@ def thresholds(rows: DataFrame, groups: tuple[str, str], min_group: int = MIN_GR
         out = []
         for m, (_, low, slack) in MEASURES.items():
             filled = F.kll_sketch_get_n_double(m) > 0  # an empty sketch has no quantile
-            a, b = (F.when(filled, F.kll_sketch_get_quantile_double(m, F.lit(q))) for q in (0.25, 0.75))
+            a, b, c, d = (F.when(filled, F.kll_sketch_get_quantile_double(m, F.lit(q))) for q in (0.25, 0.75, *TAIL))
             width = F.greatest(F.lit(slack), spread * (b - a))
-            out += [(a - width if low else F.lit(None).cast("double")).alias(f"{prefix}{m}_low"), (b + width).alias(f"{prefix}{m}_high")]
+            tail = F.when(F.lit(not low) & (d > c), d + (d - c))
+            out += [(a - width if low else F.lit(None).cast("double")).alias(f"{prefix}{m}_low"), F.least(b + width, tail).alias(f"{prefix}{m}_high")]
         return df.select(*[c for c in (lang, source) if c in df.columns], F.col("n").alias(f"{prefix}n"), *out)
 
     def same(*names: str) -> Column:
@@ -147,8 +161,8 @@ def thresholds(rows: DataFrame, groups: tuple[str, str], min_group: int = MIN_GR
 
 def judged(df: DataFrame, id: str = "doc_id", text: str = "text", groups: tuple[str, str] = ("lang", "source"),
            min_group: int = MIN_GROUP, spread: float = SPREAD) -> DataFrame:
-    """Per row: id, groups, counts, base_failed, kept, reasons (names of the fences it lies beyond)."""
-    rows = settled(measured(df, text, (id, *groups)), "measured")
+    """Per row: id, groups, counts, base_failed, kept, reasons (names of the measures whose limits it lies beyond)."""
+    rows = settled(measured(df, text, (id, *groups), lines=True), "measured")
     limits = settled(thresholds(rows, groups, min_group, spread), "thresholds")
     met = [F.col(f"r.{g}").eqNullSafe(F.col(f"t.{g}")) for g in groups]
     joined = rows.alias("r").join(limits.alias("t"), reduce(Column.__and__, met), "left")

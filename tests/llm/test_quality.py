@@ -42,6 +42,35 @@ def test_verdicts_follow_their_group(spark):
     assert found[5004].kept  # a small group is judged by its language
 
 
+def test_limits_follow_the_tail_of_each_group(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    line = lambda: " ".join(word() for _ in range(6))
+
+    def text(n, again):  # n lines, of which the last ones repeat earlier ones, no two in a row
+        lines = [line() for _ in range(n - again)]
+        return "\n".join([*lines, *lines[: 2 * again : 2]])
+
+    # one document in thirty repeats a line of twenty, in the other group one in five repeats two to four
+    rows = [(i, text(20, 1) if i % 30 == 0 else text(20, 0), "en", "few") for i in range(300)]
+    rows += [(1000 + i, text(20, rng.choice([2, 3, 4])) if i % 5 == 0 else text(20, 0), "en", "many") for i in range(300)]
+    rows += [(5000, text(20, 3), "en", "few"), (5001, text(20, 3), "en", "many"), (5002, text(11, 4), "en", "many")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r for r in judged(df).collect()}
+    assert all(found[i].kept for i in [*range(300), *range(1000, 1300)])
+    assert "line_share" in found[5000].reasons and found[5001].kept
+    assert "line_share" in found[5002].reasons  # 4 of 11 lines, whatever the group
+    assert found[5002].n_dup_lines == 4
+
+
+def test_tail_within_junk_loosens_nothing(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = [(i, " ".join(word() + ("%%%" if i < 30 else "") for _ in range(60)), "en", "a") for i in range(300)]
+    found = {r.doc_id: r for r in judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(("symbol_share" in found[i].reasons) == (i < 30) for i in range(300))
+
+
 def test_empty(empty):
     assert judged(empty).count() == 0
     assert thresholds(measured(empty, keep=("doc_id", "lang", "source")), ("lang", "source")).count() == 0
