@@ -6,11 +6,12 @@ own.  A solution is a list of bins; crossover injects whole well-filled bins of
 into the other, drops the bins that hold a piece twice, and puts the displaced pieces back
 by best fit; mutation empties badly filled bins.  After each epoch the best solution of an
 island (its elite) migrates to the next island of its block, until a block needs no more
-sequences than its words fill or the epochs end.
+sequences than its words fill or an epoch saves no sequence in any block.
 
-What lies in badly filled bins is then dealt into blocks again, fewer each time, until one
-block is left or it no longer gets less.  So the loss is a part of one sequence, not one per
-block.  Blocks never grow, only their number does.
+What lies in badly filled bins is then dealt into blocks again, at most half as many each time,
+until one block is left; where most bins are badly filled, only each block's least filled ones
+are.  So the loss is a part of one sequence, not one per block.  A block holds at most about
+BLOCK pieces, or twice as many as one sequence can; only the number of blocks grows.
 
 Null and empty texts are the closing id alone.  Repeated rows are packed as often as they
 occur.  An empty table gives an empty result.  Other columns are not read.
@@ -33,6 +34,7 @@ EPOCHS = 2
 POPULATION = 4
 GENERATIONS = 6
 WEAK = 0.97
+LEAST = 8  # one in so many pieces of a block, those in its least filled bins
 SEED = 43
 
 
@@ -108,7 +110,7 @@ def _mutated(a: list[list[int]], size: list[int], capacity: int, rng) -> list[li
 
 def evolve(size: list[int], capacity: int, elites: list[list[list[int]]], seed: int,
            population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
-    """The best solution after some generations; stops when no solution can have fewer bins."""
+    """The best solution; stops after some generations that save no bin, or when no solution can have fewer."""
     least = -(-sum(size) // capacity)
     rng = np.random.default_rng(seed)
     people = [x for x in elites if x]
@@ -123,10 +125,12 @@ def evolve(size: list[int], capacity: int, elites: list[list[list[int]]], seed:
         for i in rng.permutation(len(size)).tolist():
             bins.best_fit(i, size[i])
         people.append(bins.all())
-    for _ in range(generations):
+    fewest, idle = min(map(len, people)), 0
+    while idle < generations:
         people.sort(key=key, reverse=True)
         if len(people[0]) <= least:
             break
+        fewest, idle = (len(people[0]), 1) if len(people[0]) < fewest else (fewest, idle + 1)
         a, b = people[0], people[1 + int(rng.integers(len(people) - 1))]
         children = [_crossed(a, b, size, capacity, rng), _crossed(b, a, size, capacity, rng), _mutated(a, size, capacity, rng)]
         people = sorted([*people, *children], key=key, reverse=True)[:population]
@@ -169,34 +173,42 @@ def _blocks(items: DataFrame, n_blocks: int, level: int) -> DataFrame:
 def _epoch(rows: DataFrame, epoch: int, capacity: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            elites = []
+            elites, bins = [], []
             for block, island, lengths, own, guest in zip(*(c.to_pylist() for c in batch.columns)):
                 size = np.frombuffer(lengths, np.int64).tolist()
                 best = evolve(size, capacity, [_from_bytes(own), _from_bytes(guest)], hash((block, island, epoch, SEED)) & 0x7FFFFFFF)
                 elites.append(_to_bytes(best, len(size)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(elites, pa.binary())], names=["block", "island", "elite"])
+                bins.append(len(best))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(elites, pa.binary()), pa.array(bins, pa.int64())], names=["block", "island", "elite", "bins"])
 
-    return rows.select("block", "island", "lengths", "own", "guest").mapInArrow(run, "block long, island int, elite binary")
+    return rows.select("block", "island", "lengths", "own", "guest").mapInArrow(run, "block long, island int, elite binary, bins long")
 
 
 def _spread_out(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "island")
 
 
+def _sequences(elites: DataFrame) -> int:
+    return elites.groupBy("block").agg(F.min("bins").alias("bins")).agg(F.coalesce(F.sum("bins"), F.lit(0))).first()[0]
+
+
 def _packed_level(items: DataFrame, n_blocks: int, level: int, capacity: int) -> DataFrame:
-    """Rows (__piece, length, sequence_id, offset, weak) of one dealing into blocks."""
+    """Rows (__piece, length, sequence_id, offset, weak, least) of one dealing into blocks."""
     blocks = settled(_blocks(items, n_blocks, level), "blocks")
     islands = _spread_out(blocks.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))))
     none = F.lit(None).cast("binary")
     elites = settled(_epoch(islands.withColumns({"own": none, "guest": none}), 0, capacity), "elites")
-    for epoch in range(1, EPOCHS):
+    epoch = 1
+    before = fewest = _sequences(elites)
+    while epoch < EPOCHS or before > fewest:
         guests = elites.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("elite").alias("guest"))
-        rows = islands.join(elites.withColumnRenamed("elite", "own"), ["block", "island"]).join(guests, ["block", "island"])
+        rows = islands.join(elites.select("block", "island", F.col("elite").alias("own")), ["block", "island"]).join(guests, ["block", "island"])
         elites = settled(_epoch(_spread_out(rows), epoch, capacity), "elites")
+        before, fewest, epoch = fewest, _sequences(elites), epoch + 1
 
     def choose(batches):
         for batch in batches:
-            number, length, sequence, offset, weak = [], [], [], [], []
+            number, length, sequence, offset, weak, least = [], [], [], [], [], []
             for block, numbers, lengths, elites in zip(*(c.to_pylist() for c in batch.columns)):
                 of = min((np.frombuffer(e, "<u4") for e in elites), key=lambda x: (int(x.max()), x.tobytes())).astype(np.int64)
                 size, name = np.frombuffer(lengths, np.int64), np.frombuffer(numbers, np.int64)
@@ -209,11 +221,15 @@ def _packed_level(items: DataFrame, n_blocks: int, level: int, capacity: int) ->
                 sequence.append((level << 58) + (block << 22) + of[order])
                 offset.append(ends - size[order] - (ends - size[order])[first])
                 weak.append(fill[of[order]] < WEAK * capacity)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (number, length, sequence, offset, weak)], names=["__piece", "length", "sequence_id", "offset", "weak"])
+                worst = np.argsort(fill, kind="stable")
+                some = np.zeros(len(fill), bool)
+                some[worst[: max(1, np.searchsorted(np.cumsum(np.bincount(of)[worst]), len(of) // LEAST, "right"))]] = True
+                least.append(some[of[order]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (number, length, sequence, offset, weak, least)], names=["__piece", "length", "sequence_id", "offset", "weak", "least"])
 
     found = blocks.join(elites.groupBy("block").agg(F.array_sort(F.collect_list("elite")).alias("elites")), "block")
     return settled(
-        found.select("block", "numbers", "lengths", "elites").mapInArrow(choose, "__piece long, length long, sequence_id long, offset long, weak boolean"),
+        found.select("block", "numbers", "lengths", "elites").mapInArrow(choose, "__piece long, length long, sequence_id long, offset long, weak boolean, least boolean"),
         "packed",
     )
 
@@ -224,15 +240,17 @@ def assigned(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) ->
     done = whole.select("__piece", (-1 - F.col("__piece")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = items.where(F.col("length") < capacity)
     n, level = left.count(), 0
+    n_blocks = -(-n // block)
     while n:
-        packed = _packed_level(left, -(-n // block), level, capacity)
-        weak = packed.where("weak")
-        rest = weak.count()
-        last = n <= block or rest > n // 2
-        done = done.unionAll((packed if last else packed.where("not weak")).select("__piece", "sequence_id", "offset"))
-        if last:
+        packed = _packed_level(left, n_blocks, level, capacity)
+        if n_blocks == 1:
+            done = done.unionAll(packed.select("__piece", "sequence_id", "offset"))
             break
-        left, n, level = weak, rest, level + 1
+        again, rest = "weak", packed.where("weak").count()
+        if rest > n // 2:
+            again, rest = "least", packed.where("least").count()
+        done = done.unionAll(packed.where(f"not {again}").select("__piece", "sequence_id", "offset"))
+        left, n, level, n_blocks = packed.where(again), rest, level + 1, min(-(-rest // block), -(-n_blocks // 2))
     return done
 
 

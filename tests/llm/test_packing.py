@@ -78,6 +78,13 @@ def test_many_blocks(spark, kind):
     assert n <= {"small": least + 1, "halves": 1.13 * least, "thirds": 1.12 * least}[kind]
 
 
+def test_badly_filled_blocks_share_their_last_sequences(spark):
+    lengths = [400] * 600  # two in a sequence, none filled by 97%; an odd block leaves one alone
+    items = spark.createDataFrame(list(enumerate(lengths)), "__piece long, length long")
+    rows = packing.assigned(items, 1000, block=30).join(items, "__piece").collect()
+    assert len(rows) == 600 and check([(r.length, r.sequence_id, r.offset) for r in rows], 1000) == 300
+
+
 def test_evolution_keeps_all_items_and_helps():
     rng = random.Random(11)
     size = [rng.randrange(200, 500) for _ in range(120)]
