@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import byte_bpe
 from .chat_format import format_conversations, loss_text, read_turns
+from .collocations import collocations
 from .exact_dedup import exact_duplicates
 from .language_model import score, train
 from .license_scan import scan
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
+from .prefix_trie import prefix_trie, spliced, turns_of
 from .quality import judged
 from .substring_dedup import remove_repeated_windows
 from .toxicity import learn, learned_from, scored
@@ -88,6 +90,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     done = pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), extra={"ids_crc32": F.crc32("ids")})
     return done.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
@@ -115,3 +119,28 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = near_duplicates(_read(spark, sf_dir, "documents"), width=2)
     return done.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    turns = turns_of(_read(spark, sf_dir, "conversations"))
+    done = prefix_trie(*spliced(turns, base=c - c % 100, taken=F.crc32(c.cast("string")) % 6, most=5))
+    return done.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = byte_bpe.encode(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), "ids",
+    )
+    return byte_bpe.decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
