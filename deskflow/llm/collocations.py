@@ -60,11 +60,12 @@ _PARTS = [f"part{k}" for k in range(1, LENGTH)]
 
 @dataclass(frozen=True)
 class Sorted:
-    """Distinct longs in ascending order, in files of BLOCK; each has a number."""
+    """Distinct longs in ascending order, in files of `block`; each has a number."""
 
     folder: str
     first: tuple[int, ...]  # of each file
     size: int
+    block: int
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """The numbers of values, 0 for those that are not there."""
@@ -80,14 +81,14 @@ class Sorted:
 
     def value(self, number: np.ndarray) -> np.ndarray:
         """Values by number, where numbers are places from 1 on."""
-        out, block = np.empty(len(number), np.int64), (number - 1) // BLOCK
+        out, block = np.empty(len(number), np.int64), (number - 1) // self.block
         for b in np.unique(block):
             mine = block == b
-            out[mine] = load_array(self.folder, f"values-{b}", np.int64)[number[mine] - 1 - b * BLOCK]
+            out[mine] = load_array(self.folder, f"values-{b}", np.int64)[number[mine] - 1 - b * self.block]
         return out
 
 
-def _sorted(df: DataFrame, name: str, rows: int) -> Sorted:
+def _sorted(df: DataFrame, name: str, rows: int, size: int) -> Sorted:
     """Store df (value, number) as sorted arrays; a null number is the value's place from 1 on."""
     folder = new_folder(df.sparkSession, name)
 
@@ -102,9 +103,9 @@ def _sorted(df: DataFrame, name: str, rows: int) -> Sorted:
         return pa.table({"block": pa.array([block]), "first": values[:1], "size": pa.array([len(values)])})
 
     placed = running(df.withColumn("all", F.lit(0).cast("long")), "all", ["value"], ["place"], _ones, rows)
-    placed = placed.select(((F.col("place") - 1) / BLOCK).cast("long").alias("block"), "value", "place", F.coalesce("number", "place").alias("number"))
+    placed = placed.select(F.floor((F.col("place") - 1) / size).cast("long").alias("block"), "value", "place", F.coalesce("number", "place").alias("number"))
     blocks = sorted(tuple(r) for r in placed.groupBy("block").applyInArrow(save, "block long, first long, size long").collect())
-    return Sorted(folder, tuple(b[1] for b in blocks), sum(b[2] for b in blocks))
+    return Sorted(folder, tuple(b[1] for b in blocks), sum(b[2] for b in blocks), size)
 
 
 def _ones(table: pa.Table) -> list[np.ndarray]:
@@ -135,13 +136,13 @@ def _keys(words, langs: pa.Array) -> np.ndarray:
     return mixed(words.hashes ^ np.repeat(each, words.counts())).view(np.int64)
 
 
-def _vocabulary(vocab: DataFrame, rows: int) -> Sorted:
+def _vocabulary(vocab: DataFrame, rows: int, size: int) -> Sorted:
     def keyed(batches):
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(_keys(hashed_words(batch["word"]), batch["lang"])), batch["id"]], names=["value", "number"])
 
-    return _sorted(settled(vocab.select("lang", "word", "id").mapInArrow(keyed, "value long, number long"), "word-keys"), "vocabulary", rows)
+    return _sorted(settled(vocab.select("lang", "word", "id").mapInArrow(keyed, "value long, number long"), "word-keys"), "vocabulary", rows, size)
 
 
 def _known(batch: pa.RecordBatch, vocabulary: Sorted, kept: list[Sorted], base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -276,14 +277,15 @@ def score(a: Column, parts: Column) -> Column:
 
 
 def collocations(
-    df: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT, top: int | None = TOP, rows: int = RANGE_ROWS
+    df: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT, top: int | None = TOP, rows: int = RANGE_ROWS,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Per language the `top` best phrases: lang, rank, phrase, a, l, r, n, score."""
     docs = df.select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
     words = _counted_words(docs, min_count)
     one = settled(words.where("word IS NOT NULL").withColumn("all", F.lit(0).cast("long")), "kept-words")
     vocab = settled(running(one, "all", ["lang", "word"], ["id"], _ones, rows).select("lang", "word", "n", "id"), "vocabulary")
-    vocabulary = _vocabulary(vocab, rows)
+    vocabulary = _vocabulary(vocab, rows, block)
     base, kept = vocabulary.size + 1, []
     none = F.lit(0).cast("long")
     stream = vocab.select(F.col("id").alias("w1"), *(none.alias(w) for w in _W[1:]), "n")
@@ -293,7 +295,7 @@ def collocations(
         counts = _counted(docs, vocabulary, kept, base, min_count)
         stream = stream.unionAll(_spelled(counts, kept, base))
         if length < LENGTH:
-            kept.append(_sorted(counts.select("value", F.lit(None).cast("long").alias("number")), "phrases", rows))
+            kept.append(_sorted(counts.select("value", F.lit(None).cast("long").alias("number")), "phrases", rows, block))
     stream = settled(stream, "stream")
 
     length = sum((F.when(F.col(w) > 0, 1).otherwise(0) for w in _W), F.lit(0))

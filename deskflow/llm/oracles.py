@@ -52,24 +52,3 @@ r AS (SELECT doc_id, doc_id AS met FROM d UNION SELECT r.doc_id, l.b FROM r JOIN
 m AS (SELECT doc_id, min(met) AS component_id FROM r GROUP BY doc_id)
 SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, m.doc_id = m.component_id AS kept FROM m LEFT JOIN n ON n.doc_id = m.doc_id
 """
-
-ORACLES["op11_collocations"] = rf"""
-WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
-g AS (SELECT lang, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i])) AS phrase, 1 AS m FROM p
- UNION ALL SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))), 2 FROM p
- UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))), 3 FROM p
- UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))), 4 FROM p),
-f AS MATERIALIZED (SELECT lang, phrase, m, count(*) AS a FROM g GROUP BY lang, phrase, m),
-t AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
-c AS MATERIALIZED (SELECT lang, phrase, m, a, string_split(phrase, ' ') AS w FROM f WHERE a >= 30 AND m > 1),
-x AS (SELECT lang, w, phrase, a, m, unnest(range(1, m)) AS k FROM c),
-s AS (SELECT x.lang, x.phrase, x.a, k, l.a AS l, r.a AS r, CAST(2000000::HUGEINT * x.a // (l.a + r.a) AS BIGINT) AS score
- FROM x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(w[1:k], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
-b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
-i AS (SELECT DISTINCT c.lang, unnest(list_transform(generate_series(2, c.m - 1), lambda z: list_transform(range(1, c.m - z + 2), lambda y: array_to_string(c.w[y:y + z - 1], ' ')))) AS inner_, c.a FROM c WHERE c.m > 2),
-j AS (SELECT lang, unnest(inner_) AS phrase, a FROM i),
-d AS (SELECT DISTINCT j.lang, j.phrase FROM j JOIN c ON c.lang = j.lang AND c.phrase = j.phrase WHERE 100 * j.a >= 80 * c.a)
-SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, t.n, b.score
-FROM b ANTI JOIN d ON d.lang = b.lang AND d.phrase = b.phrase JOIN t ON t.lang = b.lang
-QUALIFY row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) <= 2000
-"""
