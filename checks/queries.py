@@ -11,7 +11,7 @@ from deskflow.functions import model_output as mo
 from deskflow.functions import text as tx
 from deskflow.functions import urls
 from deskflow.functions.sql import register_functions
-from deskflow.operators import calls, grounding, metrics, policy, prompts, retrieval, sweeps
+from deskflow.operators import calls, grounding, metrics, policy, prompts, retrieval, sweeps, text_index
 from deskflow.operators import threads as th
 from deskflow.operators import tickets as tk
 from deskflow.plans import bundle, evaluation
@@ -306,10 +306,8 @@ def dense_top1(spark, sf):
 
 
 def lexical(spark, sf):
-    return retrieval.lexical_topk(
-        v.table(spark, sf, "benchmark"), v.documents(spark, sf), query_id="item_id",
-        corpus_id="doc_id",
-    )
+    index = text_index.build_index(v.documents(spark, sf), corpus_id="doc_id")
+    return text_index.search(v.table(spark, sf, "benchmark"), index, query_id="item_id")
 
 
 @query

@@ -96,10 +96,15 @@ def request_prompt(safe_text: Column, intent: Column) -> Column:
     )
 
 
+def request_system(evidence: Column, brand: str) -> Column:
+    """System message of the per-request drafting call; ``evidence`` is a block of bullets."""
+    return F.concat(F.lit(_instructions(fv.REQUEST_REPLY_INSTRUCTIONS, brand)), evidence)
+
+
 def request_prompts(tickets: DataFrame, evidence: DataFrame, brand: str) -> DataFrame:
     """Messages of the per-request drafting call; expects ``safe_text`` and ``intent``."""
     return _with_evidence(tickets, evidence, False).select(
         "tweet_id",
-        F.concat(F.lit(_instructions(fv.REQUEST_REPLY_INSTRUCTIONS, brand)), "evidence").alias("system"),
+        request_system(F.col("evidence"), brand).alias("system"),
         request_prompt(F.col("safe_text"), F.col("intent")).alias("user"),
     )
