@@ -555,9 +555,9 @@ BODIES = {
       SELECT bin, count(*) AS n, round(avg(confidence), 6) AS mean_conf, round(avg(hit), 6) AS mean_acc
       FROM bins GROUP BY i, bin""",
     "calibration_document": """
-      SELECT bin, count(*) AS n, round(avg(confidence), 4) AS mean_conf, round(avg(hit), 4) AS mean_acc,
-        (SELECT round(sum(n / total * abs(mean_conf - mean_acc)), 4) FROM (
-          SELECT count(*) AS n, avg(confidence) AS mean_conf, avg(hit) AS mean_acc,
+      SELECT bin, count(*) AS n, round(sum(confidence::DECIMAL(28, 18))::DOUBLE / count(*), 4) AS mean_conf, round(avg(hit), 4) AS mean_acc,
+        (SELECT round(sum(gap)::DOUBLE / any_value(total), 4) FROM (
+          SELECT abs(sum(confidence::DECIMAL(28, 18)) - sum(hit)) AS gap,
             (SELECT count(*) FROM tickets WHERE confidence IS NOT NULL) AS total FROM bins GROUP BY i)) AS ece
       FROM bins GROUP BY i, bin""",
     "ece": """

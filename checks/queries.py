@@ -306,13 +306,17 @@ def dense_top1(spark, sf):
 
 
 def lexical(spark, sf):
-    index = text_index.build_index(v.documents(spark, sf), corpus_id="doc_id")
-    return text_index.search(v.table(spark, sf, "benchmark"), index, query_id="item_id")
+    return retrieval.lexical_topk(
+        v.table(spark, sf, "benchmark"), v.documents(spark, sf), query_id="item_id",
+        corpus_id="doc_id",
+    )
 
 
 @query
 def lexical_topk(spark, sf):
-    return lexical(spark, sf).withColumns(r6("score"))
+    index = text_index.build_index(v.documents(spark, sf), corpus_id="doc_id")
+    found = text_index.search(v.table(spark, sf, "benchmark"), index, query_id="item_id")
+    return found.withColumns(r6("score"))
 
 
 def evidence(spark, sf):

@@ -170,7 +170,8 @@ def _binned(df: DataFrame, truth: str, pred: str, confidence: str) -> DataFrame:
         .groupBy(right_closed_bin(F.col(confidence), BIN_EDGES).alias("bin_index"))
         .agg(
             F.count("*").alias("n"),
-            F.sum(confidence).alias("sum_conf"),
+            # exact, so that no rate depends on the order in which partitions arrive
+            F.sum(F.col(confidence).cast("decimal(28,18)")).alias("sum_conf"),
             F.count_if(F.col(truth) == F.col(pred)).alias("hits"),
         )
     )
@@ -190,7 +191,7 @@ def calibration_bins(
             "bin_index",
             F.element_at(labels, F.col("bin_index") + 1).alias("bin"),
             "n",
-            (F.col("sum_conf") / F.col("n")).alias("mean_conf"),
+            (F.col("sum_conf").cast("double") / F.col("n")).alias("mean_conf"),
             (F.col("hits") / F.col("n")).alias("mean_acc"),
         )
     )
@@ -204,7 +205,7 @@ def ece(
     also counts confidences outside the bins."""
     gap = F.when(F.col("bin_index").isNotNull(), F.abs(F.col("sum_conf") - F.col("hits")))
     return _binned(df, truth, pred, confidence).agg(
-        ratio(F.coalesce(F.sum(gap), F.lit(0.0)), F.sum("n"), None).alias("ece")
+        ratio(F.coalesce(F.sum(gap).cast("double"), F.lit(0.0)), F.sum("n"), None).alias("ece")
     )
 
 

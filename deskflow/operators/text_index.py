@@ -27,10 +27,10 @@ from ..session import fresh_folder
 BLOCK_BYTES = 8 << 20
 BLOCK_TEXTS = 4096
 QUERY_BLOCK = 32768
-TEXT_BUCKETS = 64
+TEXT_BUCKETS = 16
 # Bounds and scores add the same numbers in different orders.
 _SLACK = 1 - 1e-9
-_POSTINGS = "block string, token string, max_impact double, corpus_ids array<bigint>, times array<int>, lengths array<int>"
+_POSTINGS = "block string, token string, max_impact double, texts int, corpus_ids array<bigint>, times array<int>, lengths array<int>"
 _TEXTS = "corpus_id bigint, text string, bucket int"
 _HITS = "query_id bigint, corpus_id bigint, score double"
 
@@ -51,19 +51,42 @@ class TextIndex:
 def _postings(texts: DataFrame, block_bytes: int, block_texts: int) -> DataFrame:
     words = texts.select(
         "corpus_id", F.floor(F.log2(F.octet_length("text") + 1)).cast("int").alias("size_class"), tokens(F.col("text")).alias("words")
-    ).where("size(words) > 0").withColumn("length", F.size("words"))
+    ).where("size(words) > 0")
     # one row per power of two; lengths are told by bytes, so that no text is split for it
     per_block = F.greatest(F.lit(1), F.least(F.lit(block_texts), F.floor(F.lit(block_bytes) / F.pow(2.0, F.col("size_class") + 1))))
     classes = texts.groupBy(F.floor(F.log2(F.octet_length("text") + 1)).cast("int").alias("size_class")).agg(F.count("*").alias("n"))
     classes = classes.select("size_class", F.ceil(F.col("n") / per_block).alias("blocks"))
-    dealt = words.join(classes, "size_class").select(
-        F.concat_ws("-", "size_class", F.pmod(F.xxhash64("corpus_id"), "blocks")).alias("block"), "corpus_id", "length", F.explode("words").alias("token")
+    block = F.concat_ws("-", "size_class", F.pmod(F.xxhash64("corpus_id"), "blocks")).alias("block")
+    return words.join(classes, "size_class").select(block, "corpus_id", "words").groupBy("block").applyInArrow(_inverted, _POSTINGS)
+
+
+def _inverted(group):
+    """The postings of one block: a row per word, its texts by id."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    group = group.sort_by("corpus_id").combine_chunks()
+    words, corpus_ids = group["words"].combine_chunks(), group["corpus_id"].to_numpy()
+    length = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype("int32")
+    coded = words.flatten().dictionary_encode()
+    pair = coded.indices.to_numpy().astype("int64") * len(length) + np.repeat(np.arange(len(length)), length)
+    pair, times = np.unique(pair, return_counts=True)
+    word, text = pair // len(length), pair % len(length)
+    ends = np.searchsorted(word, np.arange(len(coded.dictionary) + 1))
+    impact = np.maximum.reduceat(times / np.sqrt(length[text].astype("float64")), ends[:-1])
+    lists = lambda values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+    return pa.table(
+        {
+            "block": pa.repeat(group["block"][0], len(coded.dictionary)),
+            "token": coded.dictionary,
+            "max_impact": pa.array(impact),
+            "texts": pa.array(np.diff(ends).astype("int32")),
+            "corpus_ids": lists(corpus_ids[text]),
+            "times": lists(times.astype("int32")),
+            "lengths": lists(length[text]),
+        }
     )
-    held = dealt.groupBy("block", "token", "corpus_id", "length").agg(F.count("*").cast("int").alias("times"))
-    impact = F.col("times") / F.sqrt(F.col("length").cast("double"))
-    texts_of = F.array_sort(F.collect_list(F.struct("corpus_id", "times", "length")))
-    rows = held.groupBy("block", "token").agg(F.max(impact).alias("max_impact"), texts_of.alias("t"))
-    return rows.select("block", "token", "max_impact", F.col("t.corpus_id").alias("corpus_ids"), F.col("t.times").alias("times"), F.col("t.length").alias("lengths"))
 
 
 def build_index(
@@ -156,9 +179,9 @@ def bounds(queries: DataFrame, postings: DataFrame, query_id: str = "id", query_
     q = queries.select(F.col(query_id).cast("bigint").alias("query_id"), query_tokens(F.col(query_text)).alias("words"))
     q = q.where("size(words) > 0")
     shared = q.select("query_id", F.explode("words").alias("token")).join(
-        postings.select("token", "block", "max_impact", F.size("corpus_ids").alias("n")), "token"
+        postings.select("token", "block", "max_impact", "texts"), "token"
     )
-    sums = shared.groupBy("query_id", "block").agg(F.sum("max_impact").alias("impact"), F.sum("n").alias("postings"))
+    sums = shared.groupBy("query_id", "block").agg(F.sum("max_impact").alias("impact"), F.sum("texts").alias("postings"))
     return sums.join(q, "query_id").select(
         "query_id", "words", "block", (F.col("impact") / F.sqrt(F.size("words").cast("double"))).alias("bound"), "postings"
     )

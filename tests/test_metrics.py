@@ -126,3 +126,16 @@ def test_align_fails_on_surplus_and_repeated_predictions(spark):
     twice = spark.createDataFrame([(1, "a"), (1, "b")], "tweet_id int, pred_intent string")
     with pytest.raises(Exception, match="several predictions"):
         m.align(g, twice).collect()
+
+
+def test_calibration_does_not_depend_on_partitions(spark):
+    rows = [(i, "a", "a" if i % 3 else "b", (i * 7919 % 1000) / 1000) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, true_intent string, pred_intent string, confidence double")
+    one, many = ([m.ece(x).collect(), sorted(m.calibration_bins(x).collect())] for x in (df.repartition(1), df.repartition(37)))
+    assert one == many
+    hits = [(r[3], r[1] == r[2]) for r in rows]
+    exact = 0
+    for k in range(10):
+        mine = [(round(c * 1000), h) for c, h in hits if k * 100 < round(c * 1000) <= (k + 1) * 100 or k == 0 == round(c * 1000)]
+        exact += abs(sum(c for c, _ in mine) - 1000 * sum(h for _, h in mine))
+    assert one[0][0].ece == exact / 1000 / 3000
