@@ -18,14 +18,12 @@ import pyarrow as pa
 
 from .words import sliced, text_bytes
 
-WORDS_KEPT = 250_000
-PIECES_KEPT = 150_000
+WORDS_KEPT = 400_000
 
 # How the word vocabulary normalises and splits (its file says so).
 WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
@@ -62,16 +60,16 @@ def word_ids(tokenizer) -> Recent:
         ids = [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
         return pack(f"<{len(ids)}I", *ids)
 
-    pieces = Recent(of_piece, PIECES_KEPT)
-
     def of_word(word: bytes) -> bytes:
         text = word.decode()
         if PLAIN.fullmatch(text) and "<|" not in text:
-            low = text.lower()
-            return pieces[low] if LETTERS.fullmatch(low) else b"".join(map(pieces.__getitem__, PIECES.findall(low)))
+            parts = PIECES.findall(text.lower())
+            # pieces are looked up as words, so "end" and the one in "end." are one entry
+            return of_piece(parts[0]) if len(parts) == 1 else b"".join([known[p.encode()] for p in parts])
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    return Recent(of_word, WORDS_KEPT)
+    known = Recent(of_word, WORDS_KEPT)
+    return known
 
 
 @lru_cache(2)
@@ -87,6 +85,11 @@ def _opened(path: str):
     return tokenizer, word_ids(tokenizer) if by_word else None
 
 
+def _lowered(text: bytes) -> bytes:
+    """A-Z lowered, so that "The" and "the" are one entry; not where marks of special tokens may stand, which are told by case."""
+    return text if b"<|" in text else text.lower()
+
+
 def token_ids(texts: pa.Array, path: str, end: int | None) -> list[bytes]:
     """Ids of each text as bytes; a null is empty.  `end`: an id that closes each text."""
     tokenizer, words = _opened(path)
@@ -94,7 +97,7 @@ def token_ids(texts: pa.Array, path: str, end: int | None) -> list[bytes]:
     data, offsets = text_bytes(texts)
     view, at = memoryview(data), offsets.tolist()
     if words is not None:
-        return [b"".join(map(words.__getitem__, bytes(view[a:b]).split())) + close for a, b in zip(at, at[1:])]
+        return [b"".join(map(words.__getitem__, _lowered(bytes(view[a:b])).split())) + close for a, b in zip(at, at[1:])]
     return [np.array(tokenizer.encode(str(view[a:b], "utf-8"), add_special_tokens=False).ids, "<u4").tobytes() + close for a, b in zip(at, at[1:])]
 
 
