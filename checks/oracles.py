@@ -21,6 +21,7 @@ _PHRASES = ", ".join(f"({i}, {_quote(p)}, {_quote(intent)})" for i, (p, intent)
 _Z = "1.75e0 * confidence + (-0.5e0) * retrieval_score + (-0.625e0)"
 _SCORE = f"1e0 / (1e0 + exp(-least(greatest({_Z}, -700e0), 700e0)))"
 
+# Patterns and word lists that the results depend on.
 _EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
 _PHONE = r"\b(?:\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"
 _URL = r"http\S+|www\.\S+"

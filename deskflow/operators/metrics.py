@@ -226,9 +226,13 @@ def spearman(
 
     ``complete_cases`` uses only rows in which every human grade is present,
     otherwise each metric uses the rows it has.  NULL below ``min_n`` rows or
-    when one side is constant.  Tickets are counted per pair of grades first,
-    so ranks are taken over the few values of the grading scale.
+    when one side is constant.  A metric that nobody graded, so that a column is absent, has
+    no row.  Tickets are counted per pair of grades first, so ranks are taken over the few
+    values of the grading scale.
     """
+    metrics = [m for m in metrics if {f"human_{m}", f"judge_{m}"} <= set(df.columns)]
+    if not metrics:
+        return df.sparkSession.createDataFrame([], "metric string, n bigint, spearman double")
     pairs = [
         F.struct(
             F.lit(m).alias("metric"),

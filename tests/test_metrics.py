@@ -139,3 +139,10 @@ def test_calibration_does_not_depend_on_partitions(spark):
         mine = [(round(c * 1000), h) for c, h in hits if k * 100 < round(c * 1000) <= (k + 1) * 100 or k == 0 == round(c * 1000)]
         exact += abs(sum(c for c, _ in mine) - 1000 * sum(h for _, h in mine))
     assert one[0][0].ece == exact / 1000 / 3000
+
+
+def test_spearman_skips_metrics_without_columns(spark):
+    df = spark.createDataFrame([(1, 2, 5), (2, 3, 4), (3, 5, 1)], "human_safety int, judge_safety int, judge_groundedness int")
+    got = m.spearman(df, ["groundedness", "safety"], complete_cases=False).collect()
+    assert [(r.metric, r.n, round(r.spearman, 9)) for r in got] == [("safety", 3, 1.0)]
+    assert m.spearman(df, ["groundedness"]).collect() == []
