@@ -50,14 +50,55 @@ _BASE = [(f" {phrase} ".encode(), label) for phrase, label in BASE_PHRASES.items
 _BASE_GATES = (b"license", b"cc")
 
 
+def _spaces(joined: bytes) -> np.ndarray:
+    return np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+
+
 def base_places(joined: bytes) -> list[dict]:
-    found = []
+    found, spaces = [], None
     for phrase, label in _BASE:
-        at = joined.find(phrase)
+        starts, at = [], joined.find(phrase)
         while at >= 0:
-            found.append({"label": label, "word": joined.count(b" ", 0, at)})
+            starts.append(at)
             at = joined.find(phrase, at + 1)
-    return sorted(found, key=lambda x: (x["word"], x["label"]))
+        if starts:
+            spaces = _spaces(joined) if spaces is None else spaces
+            found += [(word, label) for word in np.searchsorted(spaces, starts).tolist()]
+    return [{"label": label, "word": word} for word, label in sorted(found)]
+
+
+def _united(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Disjoint intervals that cover the same places, in order."""
+    order = np.argsort(starts, kind="stable")
+    starts, upto = starts[order], np.maximum.accumulate(ends[order])
+    first = np.append(True, starts[1:] > upto[:-1])
+    return starts[first], upto[np.append(first[1:], True)]
+
+
+def _unsuppressed(matches: list[tuple[int, int, int, Rule]]) -> list[tuple[int, int, int, Rule]]:
+    """Matches (priority, start, end, rule) that stay, by sweeps over sorted intervals.
+
+    One priority after the other, highest first: what overlaps the union of all taken before
+    goes, then what lies within another interval of its own priority (of equal intervals, the
+    first by name stays).
+    """
+    taken: list[tuple[int, int, int, Rule]] = []
+    for priority in sorted({m[0] for m in matches}, reverse=True):
+        here = [m for m in matches if m[0] == priority]
+        if taken:
+            low, high = _united(*np.array([m[1:3] for m in taken], np.int64).T)
+            starts, ends = np.array([m[1:3] for m in here], np.int64).T
+            # the last interval that begins before a match ends is the only one that can reach farthest into it
+            before = np.searchsorted(low, ends) - 1
+            free = (before < 0) | (high[before] <= starts)
+            here = [m for m, f in zip(here, free.tolist()) if f]
+        here.sort(key=lambda m: (m[1], -m[2], m[3].name))
+        upto = -1
+        for m in here:
+            if m[2] > upto:
+                taken.append(m)
+                upto = m[2]
+    return taken
 
 
 def detections(joined: bytes, words: set[bytes]) -> list[dict]:
@@ -65,16 +106,16 @@ def detections(joined: bytes, words: set[bytes]) -> list[dict]:
     gates, rules, matches = gated_rules(), numbered_rules(), []
     for k in {k for gate in gates.keys() & words for k in gates[gate]}:
         rule = rules[k]
-        for m in rule.pattern.finditer(joined):
-            matches.append((rule.priority, m.start(), m.end(), rule))
-    matches.sort(key=lambda x: (-x[0], x[1] - x[2], x[1], x[3].name))
-    taken: list[tuple[int, int, int, Rule]] = []
-    for priority, a, b, rule in matches:
-        if not any((c <= a and b <= d) or (p > priority and a < d and c < b) for p, c, d, _ in taken):
-            taken.append((priority, a, b, rule))
+        matches += [(rule.priority, m.start(), m.end(), rule) for m in rule.pattern.finditer(joined)]
+    if not matches:
+        return []
+    taken = sorted(_unsuppressed(matches), key=lambda m: (m[1], m[2], m[3].name))
+    spaces = _spaces(joined)
+    starts = np.searchsorted(spaces, [a - 1 for _, a, _, _ in taken]).tolist()
+    ends = np.searchsorted(spaces, [b for _, _, b, _ in taken]).tolist()
     return [
-        {"rule": rule.name, "label": rule.label, "start": joined.count(b" ", 0, a - 1), "end": joined.count(b" ", 0, b), "strength": STRENGTH[priority]}
-        for priority, a, b, rule in sorted(taken, key=lambda x: (x[1], x[2], x[3].name))
+        {"rule": rule.name, "label": rule.label, "start": start, "end": end, "strength": STRENGTH[priority]}
+        for (priority, _, _, rule), start, end in zip(taken, starts, ends)
     ]
 
 

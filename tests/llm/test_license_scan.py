@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deskflow.llm.license_rules import build_rules, written
-from deskflow.llm.license_scan import BASE_PHRASES, base_places, detections, gated_rules, scan
+from deskflow.llm.license_scan import BASE_PHRASES, _unsuppressed, base_places, detections, gated_rules, numbered_rules, scan
 
 
 def words(text):
@@ -90,3 +90,30 @@ def test_odd_rows(odd_wide, empty):
     rows = scan(odd_wide).collect()
     assert len(rows) == odd_wide.count() and all(r.base == [] and r.found == [] for r in rows)
     assert scan(empty).where(F.size("base") > 0).count() == 0
+
+
+def quadratic(matches):
+    """Suppression as it is defined: each match against all taken before it."""
+    taken = []
+    for m in sorted(matches, key=lambda x: (-x[0], x[1] - x[2], x[1], x[3].name)):
+        if not any((c <= m[1] and m[2] <= d) or (p > m[0] and m[1] < d and c < m[2]) for p, c, d, _ in taken):
+            taken.append(m)
+    return set(taken)
+
+
+def test_suppression_against_brute_force():
+    rng = random.Random(6)
+    rules = numbered_rules()
+    for _ in range(400):
+        matches = []
+        for _ in range(rng.randrange(1, 30)):
+            a, rule = rng.randrange(40), rng.choice(rules[:9] + rules[-9:])
+            matches.append((rule.priority, a, a + rng.randrange(1, 12), rule))
+        assert set(_unsuppressed(matches)) == quadratic(matches)
+
+
+def test_megabyte_of_detections(spark):
+    n = 90_000  # takes hours if it is quadratic
+    row = scan(spark.createDataFrame([(1, "MIT License. " * n)], "doc_id long, text string")).first()
+    assert row.n_words == 2 * n and len(row.base) == n == len(row.found)
+    assert [x.word for x in row.base] == list(range(0, 2 * n, 2)) == [x.start for x in row.found]
