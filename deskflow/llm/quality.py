@@ -1,19 +1,23 @@
 """Quality rules with thresholds that follow each language and source.
 
-One pass over the whole texts measures every document.  Mergeable KLL quantile sketches of
-each measure are built per language and source; sketches of one language are merged into
-that language's, and all of them into one for everything.  A group of fewer than MIN_GROUP
-documents uses its language's, and a small language the overall ones.  The limits are then
-joined back and filter the documents.
+One pass over the whole texts measures every document.  A mergeable sketch of each measure is
+built per language and source: counts in buckets whose edges grow by GAMMA, so a quantile is
+known to within 2%, and the same documents give the same sketch however they are partitioned.
+Sketches of one language are merged into that language's, and all of them into one for
+everything.  The limits read off them are joined back and filter the documents.
 
-A group's limits are the narrower of two:
+The limit of a sketch is the narrowest of three:
 
-- a fence: its quartiles plus or minus a multiple of their distance; `spread` and the least
-  widths in `slack` keep ordinary documents also where a group hardly varies.  It holds with up
-  to a quarter of junk in a group, but for shares that are mostly 0 it is the least width alone;
-- for shares, its tail: the 0.99 quantile plus its distance from the 0.95 quantile.  It follows
-  shares that are mostly 0, but lies within the junk if a group holds more than 1% of that, and
-  says nothing if both quantiles are equal.
+- a fence: its quartiles, moved out by `spread` times their distance.  It holds with up to a
+  quarter of junk, and says nothing where both quartiles are 0;
+- a jump, for junk among values that are mostly 0: from the median upwards, the first gap between
+  neighbouring buckets that is wider than everything from the lower quartile up to it and than
+  `counts` occurrences in a document of mean length; the limit is its middle;
+- for shares, its tail: the 0.99 quantile plus its distance from the 0.9 quantile, if they differ.
+
+A share without any of them is limited by 1.  A group's limit is its own with weight n / (n + prior),
+the rest of the weight goes to its language's, which is blended with the overall one in the same
+way; so a limit moves steadily with the size of its group.
 
 Words are runs of bytes other than space and 0x09-0x0D.  Null and empty texts have no words
 and fail the base rules.  Null languages and sources are groups like any other.  Repeated
@@ -26,26 +30,28 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import settled
 from .words import SPACES, U64, hashed_words, mixed, ngrams, sliced, text_bytes
 
 REPEAT_WINDOW = 8
-MIN_GROUP = 200
+PRIOR = 50.0
 SPREAD = 8.0
-TAIL = (0.95, 0.99)
-SKETCH_K = 2000  # ranks within about 0.2%, which the 0.99 quantile needs
+COUNTS = 16  # fewer occurrences than that set no document apart
+TAIL = (90, 99)
+GAMMA = 1.02
+_ZERO = -(1 << 30)  # the bucket of zeros
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
-# Measure: (expression, whether low values are judged too, least width of the fence)
-MEASURES: dict[str, tuple[str, bool, float]] = {
-    "word_length": ("try_divide(word_chars, n_words)", True, 2.0),
-    "symbol_share": ("try_divide(n_symbols, word_chars)", False, 0.06),
-    "line_share": ("try_divide(n_dup_lines, n_lines)", False, 0.3),
-    "repeat_share": ("try_divide(n_repeat_words, n_words)", False, 0.25),
+# Measure: (expression, whether low values are judged too, what one occurrence adds to it)
+MEASURES: dict[str, tuple[str, bool, str]] = {
+    "word_length": ("try_divide(word_chars, n_words)", True, "0"),
+    "symbol_share": ("try_divide(n_symbols, word_chars)", False, "try_divide(1, word_chars)"),
+    "line_share": ("try_divide(n_dup_lines, n_lines)", False, "try_divide(1, n_lines)"),
+    "repeat_share": ("try_divide(n_repeat_words, n_words)", False, "try_divide(1, n_words)"),
 }
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -113,8 +119,49 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def thresholds(rows: DataFrame, groups: tuple[str, str], min_group: int = MIN_GROUP, spread: float = SPREAD) -> DataFrame:
-    """Limits per group: the two group columns, n, and <measure>_low / <measure>_high.
+def _bucket(value: Column) -> Column:
+    return F.when(value == 0, _ZERO).otherwise(F.floor(F.ln(value) / F.ln(F.lit(GAMMA))).cast("int"))
+
+
+def _edge(bucket: Column, upper: bool = False) -> Column:
+    return F.when(bucket == _ZERO, 0.0).otherwise(F.pow(F.lit(GAMMA), bucket + int(upper)))
+
+
+def sketched(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Sketches of all measures: keys, measure, bucket, n, unit (exact sum of what one occurrence adds)."""
+    values = F.array(*[
+        F.struct(F.lit(m).alias("measure"), F.expr(e).cast("double").alias("value"), F.expr(u).cast("decimal(18,12)").alias("unit"))
+        for m, (e, _, u) in MEASURES.items()
+    ])
+    each = rows.select(*keys, F.explode(values).alias("v")).select(*keys, "v.*").where("value IS NOT NULL")
+    return each.groupBy(*keys, "measure", _bucket(F.col("value")).alias("bucket")).agg(F.count("*").alias("n"), F.sum("unit").alias("unit"))
+
+
+def sketch_limits(sketches: DataFrame, keys: tuple[str, ...], spread: float = SPREAD, counts: int = COUNTS) -> DataFrame:
+    """Keys, measure, n, low, high of sketches merged by keys.  A sketch has some thousand buckets at most."""
+    whole = Window.partitionBy(*keys, "measure")
+    upwards = whole.orderBy("bucket")
+    rows = sketches.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"), F.sum("unit").alias("unit"))
+    rows = rows.withColumns({
+        "upto": F.sum("n").over(upwards), "total": F.sum("n").over(whole), "before": F.lag("bucket").over(upwards),
+        "unit": (F.sum("unit").over(whole) / F.sum("n").over(whole)).cast("double"),
+    })
+    rows = rows.withColumns({f"q{q}": F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("bucket"))).over(whole) for q in (25, 75, *TAIL)})
+    below, above, lowest = _edge(F.col("before"), True), _edge(F.col("bucket")), _edge(F.col("q25"))
+    jumps = ((F.col("upto") - F.col("n")) * 2 >= F.col("total")) & (above - below > below - lowest + counts * F.col("unit"))
+    out = rows.groupBy(*keys, "measure").agg(
+        F.max("total").alias("n"), F.min(F.when(jumps, (below + above) / 2)).alias("jump"), *[F.max(f"q{q}").alias(f"q{q}") for q in (25, 75, *TAIL)]
+    )
+    share = ~F.col("measure").isin(*[m for m, (_, low, _) in MEASURES.items() if low])
+    a, b = _edge(F.col("q25")), _edge(F.col("q75"), True)
+    c, d = (_edge(F.col(f"q{q}"), True) for q in TAIL)
+    fence, tail = F.when(b > 0, b + spread * (b - a)), F.when(share & (d > c), d + (d - c))
+    most = F.when(share, 1.0)
+    return out.select(*keys, "measure", "n", F.when(~share, a - spread * (b - a)).alias("low"), F.least(fence, tail, "jump", most).alias("high"))
+
+
+def thresholds(rows: DataFrame, groups: tuple[str, str], prior: float = PRIOR, spread: float = SPREAD) -> DataFrame:
+    """Limits per group: the two group columns, and <measure>_low / <measure>_high.
 
     rows: counts of documents; those that fail the base rules say nothing about the others, and
     counts without n_lines nothing about repeated lines.
@@ -122,48 +169,33 @@ def thresholds(rows: DataFrame, groups: tuple[str, str], min_group: int = MIN_GR
     lang, source = groups
     if "n_lines" not in rows.columns:
         rows = rows.withColumn("n_lines", F.lit(None).cast("long"))
-    sound = rows.where(~base_failed())
-    sketches = sound.groupBy(lang, source).agg(
-        F.count("*").alias("n"),
-        *[F.kll_sketch_agg_double(F.expr(e).cast("double"), F.lit(SKETCH_K)).alias(m) for m, (e, _, _) in MEASURES.items()],
-    )
-    sketches = settled(sketches, "sketches")
-    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES]]
-    by_lang, overall = sketches.groupBy(lang).agg(*merged), sketches.agg(*merged)
-
-    def limits(df: DataFrame, prefix: str) -> DataFrame:
-        out = []
-        for m, (_, low, slack) in MEASURES.items():
-            filled = F.kll_sketch_get_n_double(m) > 0  # an empty sketch has no quantile
-            a, b, c, d = (F.when(filled, F.kll_sketch_get_quantile_double(m, F.lit(q))) for q in (0.25, 0.75, *TAIL))
-            width = F.greatest(F.lit(slack), spread * (b - a))
-            tail = F.when(F.lit(not low) & (d > c), d + (d - c))
-            out += [(a - width if low else F.lit(None).cast("double")).alias(f"{prefix}{m}_low"), F.least(b + width, tail).alias(f"{prefix}{m}_high")]
-        return df.select(*[c for c in (lang, source) if c in df.columns], F.col("n").alias(f"{prefix}n"), *out)
+    sketches = settled(sketched(rows.where(~base_failed()), groups), "sketches")
 
     def same(*names: str) -> Column:
         return reduce(Column.__and__, [F.col(f"g.{c}").eqNullSafe(F.col(f"o.{c}")) for c in names])
 
-    own = rows.select(lang, source).distinct()
-    for names, limit in (((lang, source), limits(sketches, "own_")), ((lang,), limits(by_lang, "lang_"))):
-        more = [F.col(f"o.{c}") for c in limit.columns if c not in names]
-        own = own.alias("g").join(limit.alias("o"), same(*names), "left").select("g.*", *more)
-    own = own.join(limits(overall, "all_"), how="left")  # one row
+    out = rows.select(lang, source).distinct().select(lang, source, F.explode(F.array(*map(F.lit, MEASURES))).alias("measure"))
+    for k, keys in enumerate(((lang, source), (lang,), ())):
+        limits = sketch_limits(sketches, keys, spread)
+        more = [F.col(f"o.{c}").alias(f"{c}{k}") for c in ("n", "low", "high")]
+        out = out.alias("g").join(limits.alias("o"), same(*keys, "measure"), "left").select("g.*", *more)
 
-    def pick(name: str) -> Column:
-        return (
-            F.when(F.col("own_n") >= min_group, F.col(f"own_{name}"))
-            .when(F.col("lang_n") >= min_group, F.col(f"lang_{name}")).otherwise(F.col(f"all_{name}")).alias(name)
-        )
+    def blended(side: str) -> Column:
+        limit = F.col(f"{side}2")
+        for k in (1, 0):
+            weight = F.col(f"n{k}") / (F.col(f"n{k}") + prior)
+            limit = F.coalesce(weight * F.col(f"{side}{k}") + (1 - weight) * limit, limit)
+        return limit
 
-    return own.select(lang, source, *[pick(f"{m}_{side}") for m in MEASURES for side in ("low", "high")])
+    sides = [F.max(F.when(F.col("measure") == m, blended(side))).alias(f"{m}_{side}") for m in MEASURES for side in ("low", "high")]
+    return out.groupBy(lang, source).agg(*sides)
 
 
 def judged(df: DataFrame, id: str = "doc_id", text: str = "text", groups: tuple[str, str] = ("lang", "source"),
-           min_group: int = MIN_GROUP, spread: float = SPREAD) -> DataFrame:
+           prior: float = PRIOR, spread: float = SPREAD) -> DataFrame:
     """Per row: id, groups, counts, base_failed, kept, reasons (names of the measures whose limits it lies beyond)."""
     rows = settled(measured(df, text, (id, *groups), lines=True), "measured")
-    limits = settled(thresholds(rows, groups, min_group, spread), "thresholds")
+    limits = settled(thresholds(rows, groups, prior, spread), "thresholds")
     met = [F.col(f"r.{g}").eqNullSafe(F.col(f"t.{g}")) for g in groups]
     joined = rows.alias("r").join(limits.alias("t"), reduce(Column.__and__, met), "left")
     beyond = []
