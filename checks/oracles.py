@@ -93,6 +93,20 @@ def _tokens(col: str) -> str:
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
 
+def _newton(k: int) -> str:
+    """One Newton step of the gate's fit: w0, w1 (penalised) and the intercept w2."""
+    before = f"fit_{k - 1}" if k > 1 else "(SELECT 0e0 AS w0, 0e0 AS w1, 0e0 AS w2)"
+    return f"""
+      SELECT w0 - (g0 * (e * f - d * d) - b * (g1 * f - d * g2) + c * (g1 * d - e * g2)) / det AS w0,
+        w1 - (a * (g1 * f - d * g2) - g0 * (b * f - d * c) + c * (b * g2 - g1 * c)) / det AS w1,
+        w2 - (a * (e * g2 - g1 * d) - b * (b * g2 - g1 * c) + g0 * (b * d - e * c)) / det AS w2
+      FROM (SELECT *, a * (e * f - d * d) - b * (b * f - d * c) + c * (b * d - e * c) AS det FROM (
+        SELECT w0, w1, w2, sum(r * x) + w0 AS g0, sum(r * y) + w1 AS g1, sum(r) AS g2,
+          sum(h * x * x) + 1 AS a, sum(h * x * y) AS b, sum(h * x) AS c, sum(h * y) AS d, sum(h * y * y) + 1 AS e, sum(h) AS f
+        FROM (SELECT *, wt * (p - label) AS r, wt * p * (1 - p) AS h FROM (
+          SELECT *, 1 / (1 + exp(-(w0 * x + w1 * y + w2))) AS p FROM fit_rows, {before})) GROUP BY w0, w1, w2))"""
+
+
 CTES = {
     "phrases": f"SELECT * FROM (VALUES {_PHRASES}) AS p(pid, phrase, intent)",
     "tickets": """
@@ -205,6 +219,22 @@ CTES = {
       SELECT round(c, 2) AS conf_thresh, round(r, 2) AS ret_thresh, round(n_auto / n, 4) AS auto_handle_rate,
         round(CASE WHEN n_auto > 0 THEN misses / n_auto ELSE 0 END, 4) AS volume_false_auto,
         round(CASE WHEN risks > 0 THEN misses / risks ELSE 0 END, 4) AS risk_miss_rate FROM grid""",
+    "fit_rows": """
+      SELECT confidence AS x, retrieval_score AS y, true_escalate::INT::DOUBLE AS label,
+        CASE WHEN true_escalate THEN (SELECT count(*) / (2 * count(*) FILTER (true_escalate)) FROM tickets)
+          ELSE (SELECT count(*) / (2 * count(*) FILTER (NOT true_escalate)) FROM tickets) END AS wt
+      FROM tickets""",
+    # Twelve Newton steps; each solves three equations by determinants.
+    **{f"fit_{k}": _newton(k) for k in range(1, 13)},
+    "refit": f"""
+      SELECT f.*, 1 / (1 + exp(-(w0 * confidence + w1 * retrieval_score + w2))) AS refit_score FROM redacted f, fit_12""",
+    "refit_curve": f"""
+      SELECT t, count(*) AS n, count(*) FILTER (auto) AS n_auto,
+        count(*) FILTER (auto AND true_escalate) AS misses, count(*) FILTER (true_escalate) AS risks
+      FROM (SELECT t, true_escalate, NOT (refit_score >= t OR {_keyword('text')} OR llm_risk) AS auto FROM refit, steps) GROUP BY t""",
+    "refit_cut": """
+      SELECT coalesce(max(t), 0.5e0) AS cut FROM (
+        SELECT round(t, 2) AS t FROM refit_curve WHERE misses / risks <= 0.25e0 ORDER BY n_auto DESC, t LIMIT 1)""",
     "classes": """
       SELECT label, count(*) FILTER (true_intent = label AND pred_intent = label) AS tp,
         count(*) FILTER (true_intent <> label AND pred_intent = label) AS fp,
@@ -575,6 +605,13 @@ BODIES = {
       LEFT JOIN (SELECT * FROM tickets WHERE human_safety IS NOT NULL) g ON t.tweet_id = g.tweet_id""",
     "operating_curve": _curve("risk_score"),
     "operating_curve_fine": _curve("round(risk_score, 4)", "(SELECT i / 100 AS t FROM range(5, 96) r(i))"),
+    "fit_gate": """
+      SELECT round(w0, 6) AS w_confidence, round(w1, 6) AS w_retrieval, round(w2, 6) AS intercept FROM fit_12""",
+    "recalibrated_policy": f"""
+      SELECT reason_code, count(*) AS n FROM (
+        SELECT CASE WHEN {_keyword('safe_text')} THEN 'keyword' WHEN llm_risk THEN 'model_risk'
+          WHEN refit_score >= cut THEN 'risk_score' ELSE 'safe' END AS reason_code FROM refit, refit_cut)
+      GROUP BY reason_code""",
     "gate_grid": "SELECT * FROM grid_rates",
     "best_gates": """
       SELECT * FROM grid_rates WHERE risk_miss_rate <= 0.25e0
@@ -633,6 +670,6 @@ BODIES = {
     "triage_stream": _TRIAGE,
 }
 
-# No SQL for: fit_gate and recalibrated_policy (iterative fit), and the bundle document
+# No SQL for the bundle document
 # (number formatting is the engine's own); tests cover them.
 ORACLES = {name: with_tables(body) for name, body in BODIES.items()}

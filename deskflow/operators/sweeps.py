@@ -7,9 +7,10 @@ at every threshold are running sums over that histogram.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -174,11 +175,38 @@ def best_gates(grid: DataFrame, k: int = fv.BEST_GRID_ROWS) -> DataFrame:
     )
 
 
-def fit_gate(df: DataFrame) -> GateConfig:
+FIT_STEPS = 50
+_AT = ("confidence", "retrieval_score", "one")
+
+
+def gate_sums(rows: DataFrame, weights: tuple[float, float], at: np.ndarray) -> Row:
+    """Loss, gradient (g0..g2) and second-order sums (h00..h22) of the gate's fit in one aggregate.
+
+    rows: confidence, retrieval_score, label; weights: of labels 0 and 1; at: the coefficients
+    of both and the intercept.  The penalty is not part of the sums.
+    """
+    label, one = F.col("label"), F.lit(1.0)
+    x = [F.col("confidence"), F.col("retrieval_score"), one]
+    weight = F.when(label == 1, weights[1]).otherwise(weights[0])
+    score = reduce(Column.__add__, [float(w) * c for w, c in zip(at, x)])
+    scored = rows.select(*[c.alias(n) for c, n in zip(x, _AT)], label, weight.alias("weight"), score.alias("z"))
+    p = 1 / (1 + F.exp(-F.col("z")))
+    scored = scored.withColumns({"p": p, "loss": F.greatest("z", F.lit(0.0)) + F.log1p(F.exp(-F.abs("z"))) - F.col("label") * F.col("z")})
+    x, w, p = [F.col(n) for n in _AT], F.col("weight"), F.col("p")
+    return scored.agg(
+        F.sum(w * F.col("loss")).alias("loss"),
+        *[F.sum(w * (p - F.col("label")) * c).alias(f"g{i}") for i, c in enumerate(x)],
+        *[F.sum(w * p * (1 - p) * x[i] * x[j]).alias(f"h{i}{j}") for i in range(3) for j in range(i, 3)],
+    ).first()
+
+
+def fit_gate(df: DataFrame, tol: float = 1e-9) -> GateConfig:
     """Class-balanced logistic regression of true escalation on confidence and retrieval.
 
-    L2 penalty with C = 1: Spark averages the loss over the summed weights (n, as
-    the classes are balanced), so the penalty is divided by n.
+    L2 penalty on both coefficients with C = 1.  Newton steps: each is one aggregate over the
+    tickets (ten sums) and a system of three equations; a step that does not lower the loss is
+    halved.  It ends when the gradient per ticket is below ``tol`` or no step is left that
+    changes anything.
     """
     rows = df.select(
         known(F.col("confidence")).alias("confidence"),
@@ -188,14 +216,27 @@ def fit_gate(df: DataFrame) -> GateConfig:
     n, positive = rows.agg(F.count("*"), F.sum("label")).first()
     if not n or positive in (0, n):
         raise ValueError("the gate needs tickets of both classes")
-    weight = F.when(F.col("label") == 1, n / (2 * positive)).otherwise(n / (2 * (n - positive)))
-    features = VectorAssembler(inputCols=["confidence", "retrieval_score"], outputCol="features")
-    model = LogisticRegression(
-        featuresCol="features", labelCol="label", weightCol="weight", maxIter=1000, tol=1e-10,
-        regParam=1.0 / n, elasticNetParam=0.0, standardization=False,
-    ).fit(features.transform(rows.withColumn("weight", weight)))
-    w_conf, w_ret = (float(v) for v in model.coefficients)
-    return GateConfig(w_conf, w_ret, float(model.intercept), fv.DEFAULT_THRESHOLD[0])
+    weights, penalty = (n / (2 * (n - positive)), n / (2 * positive)), np.diag([1.0, 1.0, 0.0])
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        sums = gate_sums(rows, weights, w)
+        upper = [[sums[f"h{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)]
+        gradient = np.array([sums[f"g{i}"] for i in range(3)]) + penalty @ w
+        return sums["loss"] + 0.5 * w @ penalty @ w, gradient, np.array(upper) + penalty
+
+    w = np.zeros(3)
+    loss, gradient, hessian = at(w)
+    for _ in range(FIT_STEPS):
+        if np.abs(gradient).max() <= tol * n:
+            break
+        step = np.linalg.solve(hessian, gradient)
+        new = at(w - step)
+        while new[0] > loss * (1 + 1e-12) and np.abs(step).max() > 1e-12:
+            step /= 2
+            new = at(w - step)
+        w, (loss, gradient, hessian) = w - step, new
+    w_conf, w_ret, intercept = (float(v) for v in w)
+    return GateConfig(w_conf, w_ret, intercept, fv.DEFAULT_THRESHOLD[0])
 
 
 def gate_frame(spark: SparkSession, cfg: GateConfig) -> DataFrame:

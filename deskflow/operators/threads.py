@@ -75,25 +75,33 @@ def sample_order(id_col: Column, seed: int) -> Column:
 PREFIX_DIGITS = 4
 
 
-def _first_prefixes(keyed: DataFrame, n: int, by: str) -> DataFrame:
-    """Drop rows that cannot be among the first ``n`` of their ``by`` group by sample_key.
+def _last_prefixes(keyed: DataFrame, n: int, by: str) -> DataFrame:
+    """Per ``by`` group of ``n`` rows or more: the prefix in which its n-th sample_key lies.
 
-    Keys are counted by prefix, and rows beyond the first prefix whose running count
-    reaches ``n`` go.  What stays are ``n`` rows and those that share the last prefix, a
-    65,536th of the group.  Nothing is sorted but the counts, and groups are few.
+    Keys are counted by prefix; nothing is sorted but the counts, and groups are few.
     """
-    prefix = F.substring("sample_key", 1, PREFIX_DIGITS)
-    counts = keyed.groupBy(by, prefix.alias("prefix")).agg(F.count("*").alias("rows_here"))
+    counts = keyed.groupBy(by, _prefix().alias("prefix")).agg(F.count("*").alias("rows_here"))
     upto = Window.partitionBy(by).orderBy("prefix")
-    last = (
+    return (
         counts.withColumn("rows_upto", F.sum("rows_here").over(upto))
         .where(F.col("rows_upto") >= n)
         .groupBy(by)
         .agg(F.min("prefix").alias("last_prefix"))
     )
+
+
+def _prefix() -> Column:
+    return F.substring("sample_key", 1, PREFIX_DIGITS)
+
+
+def _first_prefixes(keyed: DataFrame, n: int, by: str) -> DataFrame:
+    """Drop rows that cannot be among the first ``n`` of their ``by`` group by sample_key.
+
+    What stays are ``n`` rows and those that share the last prefix, a 65,536th of the group.
+    """
     return (
-        keyed.join(last, by, "left")
-        .where(F.col("last_prefix").isNull() | (prefix <= F.col("last_prefix")))
+        keyed.join(_last_prefixes(keyed, n, by), by, "left")
+        .where(F.col("last_prefix").isNull() | (_prefix() <= F.col("last_prefix")))
         .drop("last_prefix")
     )
 
@@ -120,24 +128,28 @@ def with_label_columns(df: DataFrame) -> DataFrame:
 def golden_set(threads: DataFrame, seed: int = fv.SAMPLE_SEED) -> DataFrame:
     """Tickets to label: random ones, then risky ones, then short ones, each ticket once.
 
-    A stratum can lose at most the picks of earlier strata, so its first
-    200 rows (the sum of all sizes) are enough; a count of key prefixes finds those,
-    and strata are settled on what remains.
+    A stratum can lose at most the picks of earlier strata, so its first 200 rows (the sum of
+    all sizes) are enough.  Texts meet the cut-offs of the three strata as one scalar, not in a
+    join; every task keeps its own first 200 rows of a stratum before any row moves, and strata
+    are settled on the 600 rows that remain.
     """
     sizes = [fv.GOLDEN_RANDOM_ROWS, fv.GOLDEN_RISK_ROWS, fv.GOLDEN_SHORT_ROWS]
-    text = F.col("text")
-    strata = F.array_compact(
-        F.array(F.lit(0), F.when(risk_mask(text), 1), F.when(is_short(text), 2))
-    )
+    text, key = F.col("text"), sample_order(F.col("tweet_id"), seed).alias("sample_key")
+    member = [F.lit(True), risk_mask(text), is_short(text)]
     in_order = Window.partitionBy("stratum").orderBy("sample_key", "tweet_id")
     same_ticket = Window.partitionBy("tweet_id")
 
-    rows = (
-        inbound(threads)
-        .select("tweet_id", "text", sample_order(F.col("tweet_id"), seed).alias("sample_key"),
-                F.explode(strata).alias("stratum"))
-    )
-    rows = _first_prefixes(rows, sum(sizes), "stratum")
+    def strata(*held: Column) -> Column:
+        return F.explode(F.array_compact(F.array(*[F.when(h, k) for k, h in enumerate(held)]))).alias("stratum")
+
+    tickets = inbound(threads)
+    last = _last_prefixes(tickets.select(key, strata(*member)), sum(sizes), "stratum")
+    cuts = last.agg(F.map_from_entries(F.collect_list(F.struct("stratum", "last_prefix"))))
+    rows = tickets.select("tweet_id", "text", key, cuts.scalar().alias("cuts"))
+    # A stratum of fewer rows has no cut-off and keeps them all.
+    first = [F.coalesce(_prefix() <= F.try_element_at("cuts", F.lit(k)), F.lit(True)) for k in range(len(sizes))]
+    rows = rows.select("tweet_id", "text", "sample_key", strata(*[m & f for m, f in zip(member, first)]))
+    rows = rows.withColumn("place", F.row_number().over(in_order)).where(F.col("place") <= sum(sizes)).drop("place")
 
     for stratum, size in enumerate(sizes):
         here = F.col("stratum") == stratum
@@ -158,13 +170,14 @@ def leakage_audit(threads: DataFrame, golden: DataFrame, corpus: DataFrame) -> D
     """How many labelled tickets have a response, and how many of those responses
     are in the retrieval corpus.
 
-    The labelled tickets are few, so their response ids pick the few corpus rows first.
+    The labelled tickets are few; corpus ids meet theirs without being made distinct first,
+    since a ticket's matches are reduced to one flag anyway.
     """
     rows = threads.join(golden.select("tweet_id").distinct(), "tweet_id", "left_semi").select(
         "tweet_id", "response_tweet_id",
         F.explode_outer(response_ids(F.col("response_tweet_id"))).alias("rid"),
     )
-    known = corpus.select(F.col("tweet_id").alias("rid"), F.lit(True).alias("known")).distinct()
+    known = corpus.select(F.col("tweet_id").alias("rid"), F.lit(True).alias("known"))
     tickets = rows.join(known, "rid", "left").groupBy("tweet_id").agg(
         F.max("response_tweet_id").alias("response"), F.max("known").alias("known")
     )

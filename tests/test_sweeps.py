@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from deskflow.functions.text import keyword_flag
 from deskflow.operators import sweeps as s
@@ -127,6 +128,26 @@ def test_fit_matches_newton(spark):
     assert [got.w_confidence, got.w_retrieval, got.intercept] == pytest.approx(list(beta), abs=1e-5)
 
 
+def test_fit_does_not_depend_on_partitions_and_ends_at_the_optimum(tickets):
+    df, _ = tickets
+    one, many = s.fit_gate(df.repartition(1)), s.fit_gate(df.repartition(17))
+    at = np.array([one.w_confidence, one.w_retrieval, one.intercept])
+    assert at == pytest.approx([many.w_confidence, many.w_retrieval, many.intercept], abs=1e-9)
+    rows = df.selectExpr("confidence", "retrieval_score", "CAST(true_escalate AS DOUBLE) AS label").na.drop()
+    n, positive = rows.agg(F.count("*"), F.sum("label")).first()
+    weights = n / (2 * (n - positive)), n / (2 * positive)
+    sums = s.gate_sums(rows, weights, at)
+    assert np.abs([sums.g0 + at[0], sums.g1 + at[1], sums.g2]).max() < 1e-6 * n
+    loss = lambda w: s.gate_sums(rows, weights, w).loss + 0.5 * (w[:2] ** 2).sum()
+    assert all(loss(at) <= loss(at + d) for d in np.vstack([np.eye(3), -np.eye(3)]) * 0.01)
+
+
+def test_fit_of_separated_classes(spark):
+    rows = [(float(i >= 40) * 1000, 0.5, i >= 40) for i in range(80)]  # steps without halving run off
+    got = s.fit_gate(spark.createDataFrame(rows, "confidence double, retrieval_score double, true_escalate boolean"))
+    assert all(map(np.isfinite, (got.w_confidence, got.w_retrieval, got.intercept))) and got.w_confidence > 0
+
+
 def test_fit_needs_both_classes(spark):
     df = spark.createDataFrame([(0.1, 0.2, True)], "confidence double, retrieval_score double, true_escalate boolean")
     with pytest.raises(ValueError):

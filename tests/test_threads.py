@@ -99,6 +99,13 @@ def test_golden_set_matches_a_loop(spark):
     assert {(r.true_intent, r.should_escalate, r.notes) for r in got} == {("", "", "")}
 
 
+def test_golden_set_moves_few_rows(spark):
+    rows = [(i, "a", True, "fraud" if i % 2 else "a long text about nothing in particular, so not short", None, None) for i in range(30_000)]
+    plan = th.golden_set(spark.createDataFrame(rows, SCHEMA).repartition(5))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert "SortMergeJoin" not in plan and "HashJoin" not in plan
+
+
 def test_golden_set_of_a_small_table(spark):
     rows = [(i, "u", True, "hacked" if i % 2 else "hi", None, None) for i in range(30)]
     got = th.golden_set(spark.createDataFrame(rows, SCHEMA)).collect()
