@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import load_array, new_folder, packed, save_array, settled, unpacked
+from .shared import load_array, new_folder, packed, save_array, settled, unpacked, unused
 from .words import LOWER, mixed, text_bytes
 
 SHARD_KEYS = 1 << 20
@@ -99,11 +99,12 @@ def possibly_repeated(df: DataFrame, text: str = "text", shard_keys: int = SHARD
     return folder, shards
 
 
-def marked(df: DataFrame, text: str = "text", shard_keys: int = SHARD_KEYS, drop_text: bool = False) -> DataFrame:
-    """df with the text's SHA-256 (hex) and whether its hash may be repeated."""
+def marked(df: DataFrame, text: str = "text", shard_keys: int = SHARD_KEYS, drop_text: bool = False,
+           added: tuple[str, str] = (SHA, MAYBE)) -> DataFrame:
+    """df with the text's SHA-256 (hex) and whether its hash may be repeated, in columns named as in `added`."""
     folder, shards = possibly_repeated(df, text, shard_keys)
     left = [f for f in df.schema.fields if not (drop_text and f.name == text)]
-    schema = T.StructType([*left, T.StructField(SHA, T.StringType()), T.StructField(MAYBE, T.BooleanType())])
+    schema = T.StructType([*left, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.BooleanType())])
     names = [f.name for f in left]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +120,7 @@ def marked(df: DataFrame, text: str = "text", shard_keys: int = SHARD_KEYS, drop
                 maybe[mine] = ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(0)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(n) for n in names], pa.array([d.hex() for d in digests], pa.string()), pa.array(maybe)],
-                names=[*names, SHA, MAYBE],
+                names=[*names, *added],
             )
 
     return df.mapInArrow(mark, schema)
@@ -148,11 +149,12 @@ def drop_exact_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text",
 
     Rows with the same largest id are told apart by a hash of all their columns.
     """
-    rows = marked(df, text, shard_keys)
+    sha, maybe = unused(df, SHA), unused(df, MAYBE)
+    rows = marked(df, text, shard_keys, added=(sha, maybe))
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     best = (
-        rows.where(MAYBE).groupBy(SHA)
+        rows.where(F.col(maybe)).groupBy(sha)
         .agg(F.max_by(row, F.struct(F.col(id), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))).alias("best"))
         .select("best.*")
     )
-    return rows.where(~F.col(MAYBE)).select(*df.columns).unionAll(best)
+    return rows.where(~F.col(maybe)).select(*df.columns).unionAll(best)

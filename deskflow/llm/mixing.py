@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settled
+from .shared import settled, unused
 from .words import sliced, word_counts
 
 MAX_REPEATS = 3
@@ -190,8 +190,9 @@ def mixture(df: DataFrame, id: str = "doc_id", text: str = "text", source: str =
 
     Texts without words fill no budget; the mix takes each of them once.
     """
-    rows = settled(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    sizes = settled(sized(rows.select("__row", id, source, text), text, "size"), "sizes")
+    row, copies = unused(df, "__row"), unused(df, "__times")
+    rows = settled(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    sizes = settled(sized(rows.select(F.col(row).alias("__row"), id, source, text), text, "size"), "sizes")
     times = mixed_rows(sizes, id, source, share, seed)
-    times = times.select("__row", F.when(F.col("size") == 0, 1).otherwise(F.col("times")).alias("__times")).where("__times > 0")
-    return rows.join(times, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*df.columns)
+    times = times.select(F.col("__row").alias(row), F.when(F.col("size") == 0, 1).otherwise(F.col("times")).alias(copies)).where(F.col(copies) > 0)
+    return rows.join(times, row).select(*df.columns, F.explode(F.sequence(F.lit(1), copies)).alias(unused(df, "__copy"))).select(*df.columns)

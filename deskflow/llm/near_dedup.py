@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import checked_broadcast, load_array, new_folder, save_array, settled
+from .shared import checked_broadcast, load_array, new_folder, save_array, settled, unused
 from .words import U64, hashed_words, mixed, ngrams, sliced
 
 WIDTH = 5
@@ -47,6 +47,7 @@ STORE = 1 << 20
 SIGNED = COORDINATES // 2  # 64-bit values of a signature
 CHUNK = 512
 CELL = 4096
+HEADS = 256
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**62, COORDINATES, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -215,6 +216,19 @@ def _links(pairs: DataFrame, sets: DataFrame, folder: str, percent: int) -> Data
     return settled(met.mapInArrow(confirm, "a long, b long"), "links")
 
 
+def _head_pairs(heads: DataFrame) -> DataFrame:
+    """All unordered pairs (key, x, y) of the heads (key, tag, cut, heads: their number) of a key, but none within one component.
+
+    A join on key and salt: a key of many heads deals the left ones over one salt per HEADS of
+    them and copies the right ones to each, so a task pairs about HEADS of a key with all others.
+    """
+    salts = F.ceil(F.col("heads") / HEADS).cast("int")
+    left = heads.select("key", F.struct("tag", "cut").alias("x"), F.pmod(F.xxhash64("tag", "cut"), salts).cast("int").alias("salt"))
+    right = heads.select("key", F.struct("tag", "cut").alias("y"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    once = (F.col("x.tag") < F.col("y.tag")) | ((F.col("x.tag") == F.col("y.tag")) & (F.col("x.tag") < 0) & (F.col("x.cut") <= F.col("y.cut")))
+    return settled(left.join(right, ["key", "salt"]).where(once).select("key", "x", "y"), "cell_pairs")
+
+
 def _cells(rows: DataFrame) -> DataFrame:
     """rows (key, node, component, ...) dealt into cells that hold at most about 2 * CHUNK of them.
 
@@ -232,13 +246,12 @@ def _cells(rows: DataFrame) -> DataFrame:
     rows = rows.join(settled(chunks, "chunks"), ["key", "component"]).withColumn("tag", F.when(large, F.col("component")).otherwise(-1))
     rows = rows.withColumn("cut", F.pmod(F.xxhash64(F.when(large, F.col("node")).otherwise(F.col("component"))), "cuts")).drop("large", "cuts")
     rows = settled(rows, "cut")
-    heads = rows.groupBy("key").agg(F.collect_set(F.struct("tag", "cut")).alias("heads"))  # a row per CHUNK classes
-    heads = settled(heads.withColumn("alone", F.size("heads") == 1), "heads")
-    shared = rows.join(heads.where("alone").select("key"), "key", "left_semi")
+    heads = settled(rows.select("key", "tag", "cut").distinct(), "heads")  # a row per CHUNK classes
+    sizes = settled(heads.groupBy("key").agg(F.count("*").alias("heads")), "head_counts")
+    shared = rows.join(sizes.where("heads = 1").select("key"), "key", "left_semi")
     buckets = max(1, -(-shared.count() // CELL))
     shared = shared.withColumns({"side": F.lit(0), "cell": F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("string")})
-    pair = F.expr("explode(flatten(transform(heads, x -> transform(filter(heads, y -> x <= y AND (x.tag < 0 OR x.tag <> y.tag)), y -> struct(x, y)))))")
-    pairs = settled(heads.where("NOT alone").select("key", pair.alias("p")).select("key", F.col("p.x").alias("x"), F.col("p.y").alias("y")), "cell_pairs")
+    pairs = _head_pairs(heads.join(sizes.where("heads > 1"), "key"))
     cell = F.concat_ws(":", "key", "x.tag", "x.cut", "y.tag", "y.cut").alias("cell")
     one = F.col("x") == F.col("y")
     sides = pairs.select("key", F.col("x.tag").alias("tag"), F.col("x.cut").alias("cut"), cell, F.when(one, 0).otherwise(1).alias("side")).unionAll(
@@ -332,8 +345,9 @@ def drop_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text",
 
     Texts without words stay.  The rows are numbered in a copy, so that equal rows are told apart.
     """
-    rows = settled(df.withColumn("__number", F.monotonically_increasing_id()), "numbered")
-    named = rows.select(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col("__number").alias("number")).alias("__id"), text)
+    number = unused(df, "__number")
+    rows = settled(df.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    named = rows.select(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col(number).alias("number")).alias("__id"), text)
     done = near_duplicates(named, "__id", text, width, percent)
-    gone = checked_broadcast(settled(done.where("__row <> first_row").select(F.col("__id.number").alias("__number")), "gone"))
-    return rows.join(gone, "__number", "left_anti").select(*df.columns)
+    gone = checked_broadcast(settled(done.where("__row <> first_row").select(F.col("__id.number").alias(number)), "gone"))
+    return rows.join(gone, number, "left_anti").select(*df.columns)

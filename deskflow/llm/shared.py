@@ -28,6 +28,14 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def checked_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """A hint to broadcast a narrow table, only if it has no more rows than that; else any join will do."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import unused
 from .words import NORMAL, U64, Words, hashed_words, mixed, sliced
 
 POSITIVES = 4000
@@ -201,4 +202,5 @@ def learned_from(id: str = "doc_id", folds: int = 5) -> Column:
 def drop_toxic(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score below the threshold, all columns unchanged."""
     model = learn(docs.where(learned_from(id)), labels.where(learned_from(id)), id, text)
-    return scored(docs, model, text, "__llm_score").where(F.col("__llm_score") < threshold).drop("__llm_score")
+    score = unused(docs, "__llm_score")
+    return scored(docs, model, text, score).where(F.col(score) < threshold).drop(score)

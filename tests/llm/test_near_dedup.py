@@ -81,6 +81,26 @@ def test_values_that_many_texts_share_and_chains(spark):
     assert found == {i: e for (i, _), e in zip(data, brute(data, 2))}
 
 
+def test_many_chunks_of_one_value(spark, monkeypatch):
+    for name in ("CHUNK", "HEADS", "CELL"):
+        monkeypatch.setattr(nd, name, 2)
+    rng = random.Random(10)
+    hot = texts(rng, 1, 80)[0]
+    rows = [edited(rng, hot, rng.randrange(1, 12)) for _ in range(70)] + texts(rng, 20, 60)
+    data = list(enumerate(rows))
+    found = nd.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), width=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {i: e for (i, _), e in zip(data, brute(data, 2))}
+
+
+def test_pairs_of_heads_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(nd, "HEADS", 3)
+    heads = [(1, -1, c) for c in range(9)] + [(1, 5, c) for c in range(4)] + [(1, 8, 0), (2, -1, 0), (2, 7, 1)]
+    n = {k: sum(h[0] == k for h in heads) for k in (1, 2)}
+    found = nd._head_pairs(spark.createDataFrame([(*h, n[h[0]]) for h in heads], "key long, tag long, cut long, heads long")).collect()
+    expected = {(k, (t, c), (u, d)) for k, t, c in heads for m, u, d in heads if k == m and (t, c) <= (u, d) and (t < 0 or t != u)}
+    assert len(found) == len(expected) and {(r.key, tuple(r.x), tuple(r.y)) for r in found} == expected
+
+
 def test_rows_that_stay(odd_wide, empty):
     kept = nd.drop_near_duplicates(odd_wide)
     assert kept.columns == odd_wide.columns

@@ -68,3 +68,20 @@ def test_queries_at_the_smallest_size(spark):
     for name in ("op1_quality_rules", "op3_lm_scoring", "op4_mixing", "op7_license_scan", "op10_toxicity"):
         assert QUERIES[name](spark, SF).count() == docs, name
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_stages_leave_columns_named_like_their_own(spark, odd):
+    from pyspark.sql import functions as F
+
+    from deskflow.llm.exact_dedup import drop_exact_duplicates
+    from deskflow.llm.mixing import mixture
+    from deskflow.llm.near_dedup import drop_near_duplicates
+    from deskflow.llm.toxicity import drop_toxic
+
+    names = ["__row", "__times", "__copy", "__number", "__id", "__llm_score", "__LLM_sha256", "__llm_maybe", "__llm_row"]
+    df = odd.withColumns({n: F.concat(F.lit(n), F.coalesce("text", F.lit("null"))) for n in names})
+    labels = spark.createDataFrame([(1, 0), (6, 1)], "doc_id long, toxic int")
+    for done in (drop_exact_duplicates(df), drop_near_duplicates(df), mixture(df), drop_toxic(df, labels)):
+        assert done.columns == df.columns
+        rows = done.collect()
+        assert rows and all(r[n] == n + ("null" if r.text is None else r.text) for r in rows for n in names)
