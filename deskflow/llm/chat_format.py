@@ -4,9 +4,13 @@ A conversation becomes text segments, each with a flag that says whether the los
 there.  A turn is a head with its role, the escaped text, and a tail; heads and tails have no
 loss, texts have it if the template says so for their role.
 
-Escaping keeps control strings out of texts and can be undone: a backslash is doubled, the
-tail gets a backslash after its first letter, and "##" one in between.  Thus no text holds a
-tail or the start of a head, and undoing means dropping the first of each pair.
+Escaping keeps control strings out of texts and can be undone: a backslash is doubled, and a
+backslash breaks each mark after its first letter.  Marks follow from the template: the
+longest start of the tail (of the head) that does not begin as it ends, so that breaking its
+occurrences from left to right leaves none, also across the end of a text; a head of one
+letter repeated n times has a mark of n - 1.  Thus no text holds a tail or a head, and undoing
+means dropping the first of each pair.  With the built-in template the marks are "</turn>" and
+"##".  A template whose tail could be met elsewhere than at the end of a turn is refused.
 
 The state machine reads the roles in turn order: an optional system turn, then pairs of user
 and assistant.  Every conversation is formatted; `valid` says whether it was accepted.  The
@@ -15,8 +19,8 @@ so long conversations are put together from parts that many tasks have made.
 
 Turns of one conversation are ordered by turn, role, text; a null turn comes last, a null
 text or role is empty, a null conversation id is a conversation.  Unknown roles are written
-as they are after an equals sign.  An empty table gives an empty result.  Only the four
-columns named are read.
+as they are after an equals sign, with the first letter of the colon escaped.  An empty table
+gives an empty result.  Only the four columns named are read.
 """
 
 from __future__ import annotations
@@ -29,14 +33,30 @@ from pyspark.sql import functions as F
 CHUNK = 64
 
 
+def _unbordered(text: str) -> str:
+    """The longest start of at least two letters that does not begin as it ends; else empty."""
+    for size in range(len(text), 1, -1):
+        if not any(text.startswith(text[k:size]) for k in range(1, size)):
+            return text[:size]
+    return ""
+
+
+def _meets(left: str, right: str) -> bool:
+    """Whether `right` lies in `left` or may begin at its end."""
+    return right in left or any(left.endswith(right[:k]) for k in range(1, len(right)))
+
+
 @dataclass(frozen=True)
 class Template:
-    """titles: how known roles are written; steps: (state, role) -> state; others lead to -1."""
+    """titles: how known roles are written; steps: (state, role) -> state; others lead to -1.
+
+    The head may be empty.  Control strings hold no backslash, titles neither that nor the
+    first letter of the colon.
+    """
 
     head: str = "### "
     colon: str = ": "
     tail: str = "</turn>\n"
-    mark: str = "</turn>"
     titles: dict[str, str] = field(default_factory=lambda: {"system": "System", "user": "User", "assistant": "Assistant"})
     loss: tuple[str, ...] = ("assistant",)
     steps: dict[tuple[int, str], int] = field(default_factory=lambda: {
@@ -44,22 +64,59 @@ class Template:
     })
     accepted: tuple[int, ...] = (3,)
 
+    def __post_init__(self) -> None:
+        titles, mark = list(self.titles.values()), self.tail_mark
+        if any("\\" in part for part in (self.head, self.colon, self.tail, *titles)):
+            raise ValueError("head, colon, tail and titles hold no backslash")
+        if not self.colon or len(self.head) == 1 or not mark:
+            raise ValueError("a colon is needed, a head of none or several letters, and a tail of different letters")
+        if len({*titles}) < len(titles) or any(t.startswith("=") or self.colon[0] in t for t in titles):
+            raise ValueError("titles differ, do not start with an equals sign and hold no colon")
+        starts = [self.head + "=", *(self.head + t + self.colon for t in titles), self.colon]
+        ends = [mark[k:] for k in range(1, len(mark))]
+        if any(_meets(s, mark) for s in starts) or any(e.startswith(self.colon) or self.colon.startswith(e) for e in ends):
+            raise ValueError("the tail could begin within a head")
+
+    @property
+    def tail_mark(self) -> str:
+        return _unbordered(self.tail.rstrip()) or _unbordered(self.tail)
+
+    @property
+    def head_mark(self) -> str:
+        head = self.head.strip() or self.head
+        return _unbordered(head) or head[:-1]
+
+    @property
+    def marks(self) -> list[str]:
+        """What is broken in texts; a mark of one letter comes first, as it also breaks those that start with it."""
+        return sorted({self.tail_mark, self.head_mark} - {""}, key=lambda m: (len(m) > 1, m))
+
 
 CHAT = Template()
 
 
+def _broken(text: Column, marks: list[str]) -> Column:
+    for mark in marks:
+        text = F.replace(text, F.lit(mark), F.lit(f"{mark[0]}\\{mark[1:]}"))
+    return text
+
+
+def _doubled(text: Column) -> Column:
+    return F.replace(text, F.lit("\\"), F.lit("\\\\"))
+
+
 def escaped(text: Column, template: Template = CHAT) -> Column:
-    text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    text = F.replace(text, F.lit(template.mark), F.lit(f"{template.mark[0]}\\{template.mark[1:]}"))
-    return F.replace(text, F.lit("##"), F.lit("#\\#"))
+    return _broken(_doubled(text), template.marks)
 
 
 def unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    return F.regexp_replace(text, r"(?s)\\(.?)", "$1")
 
 
 def _title(role: Column, template: Template) -> Column:
-    out = F.concat(F.lit("="), F.replace(escaped(role, template), F.lit(":"), F.lit("\\:")))
+    first = template.colon[0]
+    plain = F.replace(_doubled(role), F.lit(first), F.lit("\\" + first))
+    out = F.concat(F.lit("="), _broken(plain, [m for m in template.marks if len(m) > 1]))
     for name, title in template.titles.items():
         out = F.when(role == name, F.lit(title)).otherwise(out)
     return out
@@ -125,17 +182,28 @@ def format_conversations(df: DataFrame, template: Template = CHAT) -> DataFrame:
 
 def read_turns(formatted: Column, template: Template = CHAT) -> Column:
     """The turns (role, text) of a formatted conversation."""
-    parts = F.split(formatted, template.tail.replace("/", "\\/"))
+    def literal(text: str) -> str:
+        return rf"\Q{text}\E" if text else ""
+
+    parts = F.split(formatted, literal(template.tail))
     parts = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    other = rf"[^\x{{{ord(template.colon[0]):x}}}\\]"
+    heading = rf"(?s)^{literal(template.head)}((?:{other}|\\.)*+){literal(template.colon)}"
 
     def turn(part: Column) -> Column:
-        title = F.regexp_extract(part, r"(?s)^### ((?:[^:\\]|\\.)*+): ", 1)
+        title = F.regexp_extract(part, heading, 1)
         body = F.substr(part, F.char_length(title) + len(template.head) + len(template.colon) + 1)
         return F.struct(_role(title, template).alias("role"), unescaped(body).alias("text"))
 
     return F.transform(parts, turn)
 
 
+def spoken_text(turns: Column, template: Template = CHAT) -> Column:
+    """The texts of those turns (as read_turns gives them) whose roles have a loss, in order."""
+    said = F.filter(turns, lambda t: t.role.isin(*template.loss))
+    return F.array_join(F.transform(said, lambda t: t.text), "")
+
+
 def loss_text(segments: Column) -> Column:
     """All text under the loss mask, unescaped, in order."""
     return F.array_join(F.transform(F.filter(segments, lambda s: s.loss), lambda s: unescaped(s.text)), "")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from .chat_format import format_conversations, loss_text, read_turns
+from .chat_format import format_conversations, read_turns, spoken_text
 from .collocations import collocations
 from .exact_dedup import exact_duplicates
 from .language_model import score, train
@@ -104,9 +104,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
     )
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(extra)
-    done = format_conversations(rows).select(
-        "conv_id", "formatted", "valid", read_turns(F.col("formatted")).alias("turns"), loss_text(F.col("segments")).alias("loss")
-    )
+    done = format_conversations(rows).select("conv_id", "formatted", "valid", read_turns(F.col("formatted")).alias("turns"))
+    done = done.withColumn("loss", spoken_text(F.col("turns")))
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return done.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"),
