@@ -355,6 +355,20 @@ CTES = {
 }
 
 
+_ROUTER_PAYLOADS = """
+  '{"intent":"app_bug","confidence":0.9}', '{"intent":"","confidence":""}', '{"intent":"other","confidence":"0.25"}',
+  '{"confidence":null,"risk":null}', '{"risk":"false"}', '{"risk":""}', '{"risk":0}', '{"risk":2.5}', '{"risk":[]}',
+  '{"risk":{}}', '{"risk":[0]}', '{"risk":false,"intent":"billing_payment","confidence":true}',
+  '{"intent":"app_bug","confidence":"high","risk":true}', '[1, 2]', 'not json', '', NULL"""
+CTES["router_calls"] = f"""
+  SELECT event_id AS call_id, [200, 204, 299, 400, 401, 403, 404, 418, 429, 500, 503, NULL][event_id % 12 + 1] AS status,
+    ['limit on Tokens Per Day', 'requests per day used up', 'try again in 2m3.5s', 'Try again in 7s', 'try again in 12m0s.',
+      'slow down', NULL][event_id % 7 + 1] AS message,
+    [{_ROUTER_PAYLOADS}][event_id % 17 + 1] AS payload FROM events"""
+CTES["router_waits"] = CTES["waits"].replace("FROM model_calls", "FROM router_calls")
+CTES["router_outcomes"] = CTES["outcomes"].replace("FROM waits", "FROM router_waits")
+
+
 def with_tables(body: str) -> str:
     """Put the CTEs a query needs, and what those need, in front of it."""
     needed: set[str] = set()
@@ -445,7 +459,35 @@ _PARSED = """
   SELECT call_id, {intent} AS intent, {confidence} AS confidence, NOT coalesce(json_valid(payload), false) AS parse_error
   FROM (SELECT call_id, payload, CASE WHEN json_valid(payload) THEN payload END AS j FROM model_calls)"""
 
+_RISK_TRUTH = """coalesce(CASE json_type(j, '$.risk') WHEN 'BOOLEAN' THEN json_extract_string(j, '$.risk') = 'true'
+  WHEN 'VARCHAR' THEN json_extract_string(j, '$.risk') <> '' WHEN 'ARRAY' THEN json_array_length(j, '$.risk') > 0 OR {empty}
+  WHEN 'OBJECT' THEN len(json_keys(j, '$.risk')) > 0 OR {empty} WHEN 'NULL' THEN false
+  ELSE try_cast(json_extract_string(j, '$.risk') AS DOUBLE) <> 0 END, false)"""
+_HEADLINE = f"""
+  SELECT round(auto_handle_rate * 100, 2) AS auto_handle, round(volume_false_auto * 100, 2) AS volume_false_auto,
+    round(risk_miss_rate * 100, 2) AS risk_miss, round((SELECT avg(f1) FROM class_f1), 2) AS macro_f1,
+    round((SELECT avg((true_intent = pred_intent)::INT) FROM tickets) * 100, 2) AS accuracy, 0.5e0 AS prob_thresh
+  FROM (SELECT {_ops(15)} FROM decided)"""
+
 BODIES = {
+    "router_outcomes": "SELECT call_id, status, message, outcome, cooldown_s FROM router_outcomes",
+    "router_payloads": f"""
+      SELECT call_id, coalesce(json_extract_string(j, '$.intent'), 'error') AS intent,
+        coalesce(try_cast(json_extract_string(j, '$.confidence') AS DOUBLE), 0.5e0) AS confidence, j IS NULL AS parse_error,
+        coalesce(nullif(json_extract_string(j, '$.intent'), ''), 'other') AS request_intent,
+        CASE WHEN json_type(j, '$.confidence') = 'NULL' OR trim(json_extract_string(j, '$.confidence')) = '' THEN 0e0
+          WHEN json_type(j, '$.confidence') = 'BOOLEAN' THEN (json_extract_string(j, '$.confidence') = 'true')::INT::DOUBLE
+          ELSE coalesce(try_cast(json_extract_string(j, '$.confidence') AS DOUBLE), 0.5e0) END AS request_confidence,
+        {_RISK_TRUTH.format(empty='false')} AS risk, {_RISK_TRUTH.format(empty='true')} AS request_risk
+      FROM (SELECT call_id, CASE WHEN json_valid(payload) THEN CASE WHEN json_type(payload) = 'OBJECT' THEN payload END END AS j
+        FROM router_calls)""",
+    "bundle_document": f"""
+      SELECT 'headline' AS part, unnest(['auto_handle', 'volume_false_auto', 'risk_miss', 'macro_f1', 'accuracy', 'prob_thresh']) AS name,
+        NULL::DOUBLE AS threshold, unnest([auto_handle, volume_false_auto, risk_miss, macro_f1, accuracy, prob_thresh]) AS value
+      FROM ({_HEADLINE})
+      UNION ALL SELECT 'agreement', metric, NULL, spearman FROM ({_spearman("grades", 3).replace("corr(rh, rj), 6", "corr(rh, rj), 2")})
+      UNION ALL SELECT 'curve', unnest(['auto_handle_rate', 'volume_false_auto', 'risk_miss_rate']), threshold,
+        unnest([auto_handle_rate, volume_false_auto, risk_miss_rate]) FROM ({_curve("risk_score")})""",
     "thread_scan": "SELECT * FROM threads",
     "corpus_scan": "SELECT * FROM reply_posts",
     "gate_config": "SELECT tweet_id, round(risk_score, 6) AS risk_score, reason_code FROM decided",
@@ -660,16 +702,10 @@ BODIES = {
       FROM benchmark b LEFT JOIN (SELECT * FROM lexical WHERE rk = 1) l ON l.query_id = b.item_id
       LEFT JOIN clean c ON c.tweet_id = b.item_id LEFT JOIN judge_answers j ON j.tweet_id = b.item_id
       LEFT JOIN tickets t ON t.tweet_id = b.item_id""",
-    "bundle_headline": f"""
-      SELECT round(auto_handle_rate * 100, 2) AS auto_handle, round(volume_false_auto * 100, 2) AS volume_false_auto,
-        round(risk_miss_rate * 100, 2) AS risk_miss, round((SELECT avg(f1) FROM class_f1), 2) AS macro_f1,
-        round((SELECT avg((true_intent = pred_intent)::INT) FROM tickets) * 100, 2) AS accuracy, 0.5e0 AS prob_thresh
-      FROM (SELECT {_ops(15)} FROM decided)""",
+    "bundle_headline": _HEADLINE,
     "bundle_tickets": "SELECT round(risk_score, 4) AS risk_score, kw, true_escalate FROM flagged",
     "triage_requests": _TRIAGE,
     "triage_stream": _TRIAGE,
 }
 
-# No SQL for the bundle document
-# (number formatting is the engine's own); tests cover them.
 ORACLES = {name: with_tables(body) for name, body in BODIES.items()}

@@ -183,6 +183,11 @@ def call_outcomes(spark, sf):
     return calls.with_outcome(v.model_calls(spark, sf)).select("call_id", "outcome", "cooldown_s")
 
 
+@query
+def router_outcomes(spark, sf):
+    return calls.with_outcome(v.router_calls(spark, sf)).select("call_id", "status", "message", "outcome", "cooldown_s")
+
+
 @query
 def attempt_outcomes(spark, sf):
     return calls.attempt_summary(v.model_calls(spark, sf))
@@ -216,6 +221,19 @@ def parse_risk(spark, sf):
     return v.model_calls(spark, sf).select("call_id", parsed.alias("p")).select("call_id", "p.*")
 
 
+@query
+def router_payloads(spark, sf):
+    answer = F.col("payload")
+    parsed = v.router_calls(spark, sf).select(
+        "call_id", mo.parse_intent(answer, "error").alias("batch"), mo.parse_request_intent(answer).alias("request"),
+        mo.parse_risk(answer).risk.alias("risk"), mo.parse_risk(answer, empty_container=True).risk.alias("request_risk"),
+    )
+    return parsed.select(
+        "call_id", "batch.*", F.col("request.intent").alias("request_intent"),
+        F.col("request.confidence").alias("request_confidence"), "risk", "request_risk",
+    )
+
+
 def judge_payload() -> Column:
     """Judge answers as JSON text; every fourth one lacks a score."""
     helpful = F.when(F.col("tweet_id") % 4 != 0, F.col("judge_helpfulness"))
@@ -592,7 +610,24 @@ def bundle_headline(spark, sf):
 @query
 def bundle_document(spark, sf):
     t = v.tickets(spark, sf)
-    return bundle.bundle_document(t, decided(spark, sf), t, v.GATE, v.METRICS)
+    document = bundle.bundle_document(t, decided(spark, sf), t, v.GATE, v.METRICS)
+    rates = ["auto_handle_rate", "volume_false_auto", "risk_miss_rate"]
+    kind = "struct<headline: map<string, double>, agreement: map<string, double>, curve: array<map<string, double>>>"
+
+    def entry(part, name, threshold, value):
+        return F.struct(
+            F.lit(part).alias("part"), name.alias("name"), threshold.cast("double").alias("threshold"), value.alias("value")
+        )
+
+    def point(p):
+        return F.array(*[entry("curve", F.lit(r), p["threshold"], p[r]) for r in rates])
+
+    d = document.select(F.from_json("document", kind).alias("d"))
+    return d.select(F.inline(F.concat(
+        F.transform(F.map_entries("d.headline"), lambda e: entry("headline", e.key, F.lit(None), e.value)),
+        F.transform(F.map_entries("d.agreement"), lambda e: entry("agreement", e.key, F.lit(None), e.value)),
+        F.flatten(F.transform("d.curve", point)),
+    )))
 
 
 @query

@@ -183,6 +183,28 @@ def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def router_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with every kind of status (NULL: no response), wait message and answer."""
+    statuses = [200, 204, 299, 400, 401, 403, 404, 418, 429, 500, 503]
+    messages = [
+        "limit on Tokens Per Day", "requests per day used up", "try again in 2m3.5s", "Try again in 7s",
+        "try again in 12m0s.", "slow down", None,
+    ]
+    payloads = [
+        '{"intent":"app_bug","confidence":0.9}', '{"intent":"","confidence":""}',
+        '{"intent":"other","confidence":"0.25"}', '{"confidence":null,"risk":null}', '{"risk":"false"}',
+        '{"risk":""}', '{"risk":0}', '{"risk":2.5}', '{"risk":[]}', '{"risk":{}}', '{"risk":[0]}',
+        '{"risk":false,"intent":"billing_payment","confidence":true}',
+        '{"intent":"app_bug","confidence":"high","risk":true}', "[1, 2]", "not json", "", None,
+    ]
+    e = F.col("event_id")
+    status = F.element_at(F.array(*map(F.lit, statuses), F.lit(None).cast("int")), (e % 12).cast("int") + 1)
+    return table(spark, sf_dir, "events").select(
+        e.alias("call_id"), status.alias("status"), F.expr(_choice(messages, "event_id % 7")).alias("message"),
+        F.expr(_choice(payloads, "event_id % 17")).alias("payload"),
+    )
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model answers per ticket from the call log: three calls, some of which failed."""
     calls = model_calls(spark, sf_dir).where("status = 200")
