@@ -18,6 +18,8 @@ lose them.  Kept words are joined by one space.  An empty table gives an empty r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,11 +40,12 @@ def _windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return ngrams(words, width, _BASE)
 
 
-def _by_shard(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes, shard after shard, and where each shard begins."""
+def _by_shard(hashes: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that is met, and the places of its hashes in ascending order."""
     shard = mixed(hashes ^ _U64(0x2545F4914F6CDD1D)) % _U64(shards)
     order = np.lexsort((hashes, shard))
-    return order, np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+    met, at = np.unique(shard[order], return_index=True)
+    return zip(met.tolist(), np.split(order, at[1:]))
 
 
 def repeated_windows(df: DataFrame, text: str, width: int, shard_bytes: int = SHARD_BYTES) -> tuple[str, int]:
@@ -56,23 +59,20 @@ def repeated_windows(df: DataFrame, text: str, width: int, shard_bytes: int = SH
         held: list[np.ndarray] = []
 
         def out():
-            if not held:
-                return
-            hashes = np.sort(np.concatenate(held))
+            hashes = np.sort(np.concatenate(held)) if held else np.empty(0, _U64)
             held.clear()
+            if not len(hashes):
+                return
             new = np.ones(len(hashes), bool)
             new[1:] = hashes[1:] != hashes[:-1]
             first = np.flatnonzero(new)
             again = np.diff(first, append=len(hashes)) > 1
             hashes = hashes[first]
-            order, at = _by_shard(hashes, shards)
-            for s in range(shards):
-                mine = order[at[s] : at[s + 1]]
-                if len(mine):
-                    yield pa.RecordBatch.from_pydict({
-                        "shard": pa.array([s], pa.int64()), "hashes": pa.array([packed(hashes[mine])], pa.binary()),
-                        "again": pa.array([packed(hashes[mine[again[mine]]])], pa.binary()),
-                    })
+            for s, mine in _by_shard(hashes, shards):
+                yield pa.RecordBatch.from_pydict({
+                    "shard": pa.array([s], pa.int64()), "hashes": pa.array([packed(hashes[mine])], pa.binary()),
+                    "again": pa.array([packed(hashes[mine[again[mine]]])], pa.binary()),
+                })
 
         for batch in sliced(batches):
             held.append(_windows(hashed_words(batch.column(0)), width)[0])
@@ -88,17 +88,19 @@ def repeated_windows(df: DataFrame, text: str, width: int, shard_bytes: int = SH
         save_array(folder, str(shard), np.unique(found))
         return pa.table({"shard": pa.array([shard], pa.int64())})
 
-    df.select(text).mapInArrow(partials, "shard long, hashes binary, again binary").groupBy("shard").applyInArrow(build, "shard long").count()
+    rows = df.select(text).mapInArrow(partials, "shard long, hashes binary, again binary")
+    # as many partitions as shards, so a task's share does not grow with the input
+    rows.repartition(shards, "shard").groupBy("shard").applyInArrow(build, "shard long").count()
     return folder, shards
 
 
 def _repeated(hashes: np.ndarray, folder: str, shards: int) -> np.ndarray:
-    order, at = _by_shard(hashes, shards)
     hit = np.zeros(len(hashes), bool)
-    for s in range(shards):
-        mine = order[at[s] : at[s + 1]]
+    if not len(hashes):
+        return hit
+    for s, mine in _by_shard(hashes, shards):
         known = load_array(folder, str(s), np.uint64)
-        if len(mine) and len(known):
+        if len(known):
             place = np.minimum(np.searchsorted(known, hashes[mine]), len(known) - 1)
             hit[mine] = known[place] == hashes[mine]
     return hit

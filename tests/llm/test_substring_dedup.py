@@ -2,6 +2,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
+from deskflow.llm import substring_dedup
 from deskflow.llm.substring_dedup import remove_repeated_windows
 
 
@@ -46,3 +49,17 @@ def test_odd_rows(odd_wide, empty):
     assert long.n_removed == 5000 and long.kept_text == ""
     assert next(r for r in rows if r.doc_id == 3).kept_text == ""
     assert remove_repeated_windows(empty).count() == 0
+
+
+def test_only_shards_that_are_met_are_opened(tmp_path, monkeypatch):
+    opened = []
+
+    def load(folder, name, dtype):
+        opened.append(name)
+        return np.empty(0, dtype)
+
+    monkeypatch.setattr(substring_dedup, "load_array", load)
+    hashes = np.arange(20, dtype=np.uint64)
+    assert not substring_dedup._repeated(hashes, str(tmp_path), 100_000).any()
+    assert 0 < len(set(opened)) == len(opened) <= 20
+    assert not len(substring_dedup._repeated(hashes[:0], str(tmp_path), 7))
