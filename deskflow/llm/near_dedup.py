@@ -15,8 +15,9 @@
 
 With 48 coordinates and 24 matches a pair of similarity 0.8 is missed with probability
 under 1e-6, and a component only if all its paths are.  No list of values, partners or
-candidates is cut.  Sets of the classes that are compared lie in the shared folder and are
-memory-mapped by the tasks that confirm pairs.
+candidates is cut.  Signatures of the posted classes and sets of the classes that are in a
+candidate lie in the shared folder and are memory-mapped by the tasks that compare them, so
+what merely shares a value with others has no set written.
 
 Words are runs of bytes other than space and 0x09-0x0D with A-Z lowered.  A text of fewer
 words than a shingle is one shingle; null texts and texts without words have no shingle and
@@ -44,7 +45,7 @@ COORDINATES = 48
 MATCHES = 24
 PREFIX = COORDINATES - MATCHES + 1
 STORE = 1 << 20
-SIGNED = COORDINATES // 2  # 64-bit values of a signature
+SLICE = 1 << 20  # bytes of text whose words and shingles a task holds at a time
 CHUNK = 512
 CELL = 4096
 HEADS = 256
@@ -98,7 +99,7 @@ def signed(df: DataFrame, id: str, text: str, width: int) -> DataFrame:
     ])
 
     def sign(batches):
-        for batch in sliced(batches, 4 << 20):
+        for batch in sliced(batches, SLICE):
             hashes, first = shingles(batch.column(1), width)
             a, b = _set_hashes(hashes, first)
             signatures = _signatures(hashes, first)
@@ -144,50 +145,73 @@ def _pivot_pairs(posted: DataFrame) -> DataFrame:
     return met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
 
 
-def _stored_sets(df: DataFrame, wanted: DataFrame, id: str, text: str, width: int, folder: str) -> DataFrame:
-    """Write signature and set of the wanted classes (id, node, set_a, set_b); gives (node, file, start, size).
+def _stored_signatures(classes: DataFrame, folder: str) -> DataFrame:
+    """Write the signatures of classes (node, n_shingles, signature); gives (node, file, start, size).  Size is that of the set."""
 
-    Size is that of the set, which begins SIGNED values after start.
-    """
+    def store(batches):
+        held: list[pa.RecordBatch] = []
+
+        def out():
+            name = uuid.uuid4().int >> 66
+            save_array(folder, str(name), np.frombuffer(b"".join(x for batch in held for x in batch.column(2).to_pylist()), np.uint32))
+            n = sum(batch.num_rows for batch in held)
+            return pa.RecordBatch.from_arrays([
+                pa.concat_arrays([batch.column(0) for batch in held]), pa.array(np.full(n, name, np.int64)),
+                pa.array(np.arange(n, dtype=np.int64) * COORDINATES), pa.concat_arrays([batch.column(1) for batch in held]),
+            ], names=["node", "file", "start", "size"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) * COORDINATES >= STORE:
+                yield out()
+                held = []
+        if held:
+            yield out()
+
+    found = classes.select("node", "n_shingles", "signature").mapInArrow(store, "node long, file long, start long, size long")
+    return settled(found, "signatures")
+
+
+def _stored_sets(df: DataFrame, wanted: DataFrame, id: str, text: str, width: int, folder: str) -> DataFrame:
+    """Write the sets of the wanted classes (id, node, set_a, set_b); gives (node, set_file, set_start)."""
     rows = checked_broadcast(settled(wanted.select(F.col(id).alias("__wanted_id"), "node", "set_a", "set_b"), "wanted"))
     met = df.select(id, text).join(rows, F.col(id).eqNullSafe(F.col("__wanted_id"))).select(text, "node", "set_a", "set_b")
 
     def store(batches):
         held, size, name = [], 0, uuid.uuid4().int >> 66
-        where: list[tuple[int, int, int]] = []
+        where: list[tuple[int, int]] = []
 
         def out():
             save_array(folder, str(name), np.concatenate(held))
-            node, start, n = (np.array(c, np.int64) for c in zip(*where))
-            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.full(len(node), name, np.int64)), pa.array(start), pa.array(n)], names=["node", "file", "start", "size"])
+            node, start = (np.array(c, np.int64) for c in zip(*where))
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.full(len(node), name, np.int64)), pa.array(start)], names=["node", "set_file", "set_start"])
 
-        for batch in sliced(batches, 4 << 20):
+        for batch in sliced(batches, SLICE):
             hashes, first = shingles(batch.column(0), width)
             a, b = _set_hashes(hashes, first)
-            signatures = _signatures(hashes, first)
             right = (a == batch.column(2).to_numpy()) & (b == batch.column(3).to_numpy())
             node = batch.column(1).to_numpy()
             for i in np.flatnonzero(right):
-                one = hashes[first[i] : first[i + 1]]
-                held += [signatures[i].view(np.uint64), one]
-                where.append((int(node[i]), size, len(one)))
-                size += SIGNED + len(one)
+                held.append(hashes[first[i] : first[i + 1]].copy())
+                where.append((int(node[i]), size))
+                size += len(held[-1])
                 if size >= STORE:
                     yield out()
                     held, where, size, name = [], [], 0, uuid.uuid4().int >> 66
         if held:
             yield out()
 
-    found = met.mapInArrow(store, "node long, file long, start long, size long")
-    return settled(settled(found, "stored").groupBy("node").agg(F.min(F.struct("file", "start", "size")).alias("at")).select("node", "at.*"), "sets")
+    found = met.mapInArrow(store, "node long, set_file long, set_start long")
+    return settled(settled(found, "stored").groupBy("node").agg(F.min(F.struct("set_file", "set_start")).alias("at")).select("node", "at.*"), "sets")
 
 
 def _stored_signature(folder: str, file: int, start: int) -> np.ndarray:
-    return load_array(folder, str(file), np.uint64)[start : start + SIGNED].view(np.uint32)
+    return load_array(folder, str(file), np.uint32)[start : start + COORDINATES]
 
 
 def _stored_set(folder: str, file: int, start: int, size: int) -> np.ndarray:
-    return load_array(folder, str(file), np.uint64)[start + SIGNED : start + SIGNED + size]
+    return load_array(folder, str(file), np.uint64)[start : start + size]
 
 
 def _similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
@@ -197,23 +221,35 @@ def _similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(both) - common)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, folder: str, percent: int) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in MATCHES coordinates and whose full sets are similar enough."""
-    side = lambda n: sets.select(F.col("node").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("file", "start", "size")])
+def _kept_pairs(pairs: DataFrame, about: DataFrame, keep, name: str) -> DataFrame:
+    """The pairs (a, b) for which keep(columns of a, columns of b) holds, columns being those of `about` but node."""
+    columns = [c for c in about.columns if c != "node"]
+    side = lambda n: checked_broadcast(about.select(F.col("node").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in columns]))
 
-    def confirm(batches):
+    def check(batches):
         for batch in batches:
-            keep = []
-            for fa, sa, na, fb, sb, nb in zip(*(c.to_pylist() for c in batch.columns[2:])):
-                keep.append(
-                    100 * min(na, nb) >= percent * max(na, nb)
-                    and int((_stored_signature(folder, fa, sa) == _stored_signature(folder, fb, sb)).sum()) >= MATCHES
-                    and _similar(_stored_set(folder, fa, sa, na), _stored_set(folder, fb, sb, nb), percent)
-                )
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            values = [c.to_pylist() for c in batch.columns[2:]]
+            kept = [keep(x[: len(columns)], x[len(columns) :]) for x in zip(*values)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    met = pairs.join(checked_broadcast(side("a")), "a").join(checked_broadcast(side("b")), "b").select("a", "b", *[f"{n}_{c}" for n in "ab" for c in ("file", "start", "size")])
-    return settled(met.mapInArrow(confirm, "a long, b long"), "links")
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{n}_{c}" for n in "ab" for c in columns])
+    return settled(met.mapInArrow(check, "a long, b long"), name)
+
+
+def _candidates(pairs: DataFrame, signatures: DataFrame, folder: str, percent: int) -> DataFrame:
+    """Pairs (a, b) whose signatures agree in MATCHES coordinates or more, of sets that are not too unlike in size."""
+
+    def keep(a, b):
+        (fa, sa, na), (fb, sb, nb) = a, b
+        return 100 * min(na, nb) >= percent * max(na, nb) and int((_stored_signature(folder, fa, sa) == _stored_signature(folder, fb, sb)).sum()) >= MATCHES
+
+    return _kept_pairs(pairs, signatures.select("node", "file", "start", "size"), keep, "candidates")
+
+
+def _links(candidates: DataFrame, sets: DataFrame, folder: str, percent: int) -> DataFrame:
+    """The candidates (a, b) whose full sets (node, set_file, set_start, size) are similar enough."""
+    keep = lambda a, b: _similar(_stored_set(folder, *a), _stored_set(folder, *b), percent)
+    return _kept_pairs(candidates, sets.select("node", "set_file", "set_start", "size"), keep, "links")
 
 
 def _head_pairs(heads: DataFrame) -> DataFrame:
@@ -262,51 +298,71 @@ def _cells(rows: DataFrame) -> DataFrame:
     return shared.select("cell", "side", *columns).unionAll(crossed.select("cell", "side", *columns))
 
 
-def _cross_links(posted: DataFrame, found: DataFrame, sets: DataFrame, folder: str, percent: int) -> DataFrame:
-    """Links (a, b) between classes of different components that share a posted value.
-
-    Pairs are made, counted and confirmed within a cell and never leave it unless they are
-    links.  A pair is looked at under the first value only that both have posted.
+def _cell_candidates(group: pa.Table, folder: str, percent: int):
+    """Gives (i, others): rows of a cell that are candidates and of different components, under the first value both have posted."""
+    side, key, component, mask, file, start, size = (
+        group[c].combine_chunks().to_numpy() for c in ("side", "key", "component", "mask", "file", "start", "size")
+    )
+    place = key >> 32
+    values = np.stack([_stored_signature(folder, f, s) for f, s in zip(file.tolist(), start.tolist())])
+    bits = (mask[:, None] >> np.arange(COORDINATES)) & 1 == 1
+    order = np.argsort(key, kind="stable")
+    edge = np.append(np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])), len(order))
+    for lo, hi in zip(edge, edge[1:]):
+        mine = order[lo:hi]
+        left, right = (mine, mine) if side[mine[0]] == 0 else (mine[side[mine] == 1], mine[side[mine] == 2])
+        for n, i in enumerate(left):
+            other = right[n + 1 :] if side[i] == 0 else right
+            other = other[(component[other] != component[i]) & (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))]
+            if not len(other):
+                continue
+            same = values[other] == values[i]
+            good = same.sum(1) >= MATCHES
+            other, same = other[good], same[good]
+            other = other[(same & bits[other] & bits[i]).argmax(1) == place[i]] if len(other) else other
+            if len(other):
+                yield i, other
+
+
+def _cross_cells(posted: DataFrame, found: DataFrame, signatures: DataFrame, folder: str, percent: int) -> DataFrame:
+    """Rows of cells, only those that are in a candidate of two classes of different components that share a posted value.
+
+    A pair is looked at under the first value only that both have posted.
     """
     grouped = posted.join(checked_broadcast(found), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     grouped = settled(grouped, "grouped")
     open_keys = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     rows = settled(grouped.join(settled(open_keys.select("key"), "open"), "key", "left_semi"), "open_rows")
     masks = posted.groupBy("node").agg(F.expr("bit_or(shiftleft(1L, CAST(shiftright(key, 32) AS INT)))").alias("mask"))
-    about = settled(masks.join(sets, "node").join(rows.select("node").distinct(), "node", "left_semi"), "about")
+    about = settled(masks.join(signatures, "node").join(rows.select("node").distinct(), "node", "left_semi"), "about")
     cells = _cells(rows).join(checked_broadcast(about), "node").select("cell", "side", "key", "component", "node", "mask", "file", "start", "size")
 
+    def involved(group: pa.Table) -> pa.Table:
+        seen = np.zeros(group.num_rows, bool)
+        for i, others in _cell_candidates(group, folder, percent):
+            seen[i] = True
+            seen[others] = True
+        return group.filter(pa.array(seen))
+
+    return settled(cells.groupBy("cell").applyInArrow(involved, cells.schema), "cell_candidates")
+
+
+def _cross_links(cells: DataFrame, sets: DataFrame, folder: str, percent: int) -> DataFrame:
+    """Links (a, b) within cells.  Pairs are made, counted and confirmed within a cell and never leave it unless they are links."""
+
     def compare(group: pa.Table) -> pa.Table:
-        side, key, component, node, mask, file, start, size = (
-            group[c].combine_chunks().to_numpy() for c in ("side", "key", "component", "node", "mask", "file", "start", "size")
-        )
-        place = key >> 32
-        values = np.stack([_stored_signature(folder, f, s) for f, s in zip(file.tolist(), start.tolist())])
-        bits = (mask[:, None] >> np.arange(COORDINATES)) & 1 == 1
-        order = np.argsort(key, kind="stable")
-        edge = np.append(np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])), len(order))
+        node, size, file, start = (group[c].combine_chunks().to_numpy() for c in ("node", "size", "set_file", "set_start"))
         a, b = [], []
-        for lo, hi in zip(edge, edge[1:]):
-            mine = order[lo:hi]
-            left, right = (mine, mine) if side[mine[0]] == 0 else (mine[side[mine] == 1], mine[side[mine] == 2])
-            for n, i in enumerate(left):
-                other = right[n + 1 :] if side[i] == 0 else right
-                other = other[(component[other] != component[i]) & (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))]
-                if not len(other):
-                    continue
-                same = values[other] == values[i]
-                good = same.sum(1) >= MATCHES
-                other, same = other[good], same[good]
-                other = other[(same & bits[other] & bits[i]).argmax(1) == place[i]] if len(other) else other
-                if len(other):
-                    own = _stored_set(folder, file[i], start[i], size[i])
-                    for j in other.tolist():
-                        if _similar(own, _stored_set(folder, file[j], start[j], size[j]), percent):
-                            a.append(max(node[i], node[j]))
-                            b.append(min(node[i], node[j]))
+        for i, others in _cell_candidates(group, folder, percent):
+            own = _stored_set(folder, file[i], start[i], size[i])
+            for j in others.tolist():
+                if _similar(own, _stored_set(folder, file[j], start[j], size[j]), percent):
+                    a.append(max(node[i], node[j]))
+                    b.append(min(node[i], node[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return settled(cells.groupBy("cell").applyInArrow(compare, "a long, b long"), "cross_links")
+    met = cells.join(checked_broadcast(sets.select("node", "set_file", "set_start")), "node")
+    return settled(met.groupBy("cell").applyInArrow(compare, "a long, b long"), "cross_links")
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -318,14 +374,24 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
     key = ["set_a", "set_b", "n_shingles"]
     nodes = rows.where("n_shingles > 0").groupBy(*key).agg(F.min("__row").alias("node"))
     nodes = settled(nodes, "nodes")
-    classes = settled(rows.join(checked_broadcast(nodes.select("node")), F.col("__row") == F.col("node")).select(id, "node", "set_a", "set_b", "signature"), "classes")
+    classes = settled(rows.join(checked_broadcast(nodes.select("node")), F.col("__row") == F.col("node")).select(id, "node", "n_shingles", "set_a", "set_b", "signature"), "classes")
     posted = _prefixes(classes)
     folder = new_folder(df.sparkSession, "sets")
     wanted = checked_broadcast(settled(posted.select("node").distinct(), "posted"))
-    sets = _stored_sets(df, classes.join(wanted, "node", "left_semi"), id, text, width, folder)
-    links = _links(_pivot_pairs(posted), sets, folder, percent)
+    signatures = _stored_signatures(classes.join(wanted, "node", "left_semi"), folder)
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        chosen = classes.join(checked_broadcast(settled(nodes.distinct(), "compared")), "node", "left_semi")
+        return _stored_sets(df, chosen, id, text, width, folder).join(signatures.select("node", "size"), "node")
+
+    pairs = _candidates(_pivot_pairs(posted), signatures, folder, percent)
+    sets = settled(sets_of(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b"))), "pair_sets")
+    links = _links(pairs, sets, folder, percent)
     found = settled(components(links), "components")
-    more = _cross_links(posted, found, sets, folder, percent)
+    cells = _cross_cells(posted, found, signatures, folder, percent)
+    late = cells.select("node").join(sets, "node", "left_anti")
+    sets = settled(sets.unionAll(sets_of(late)), "all_sets")
+    more = _cross_links(cells, sets, folder, percent)
     if not more.isEmpty():  # the components so far are stars; only what joins them is new
         found = settled(components(found.toDF("a", "b").unionAll(more)), "components")
     return _labelled(rows, nodes, found, id, key)

@@ -130,3 +130,21 @@ def test_components(spark):
         1: 1, 2: 1, 3: 1, 8: 8, 9: 8, 7: 7, 20: 7, **{100 + i: 100 for i in range(41)}, **{300 + i: 300 for i in range(51)},
     }
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sets_are_written_for_candidates_only(spark, monkeypatch):
+    rng = random.Random(11)
+    shared = texts(rng, 1, 50)[0]
+    rows = [f"{shared} {x}" for x in texts(rng, 20, 60)]  # values in common, but no candidates
+    rows.append(edited(rng, rows[0], 1))
+    wanted, real = [], nd._stored_sets
+
+    def noted(df, of, *args):
+        wanted.extend(r.doc_id for r in of.collect())
+        return real(df, of, *args)
+
+    monkeypatch.setattr(nd, "_stored_sets", noted)
+    data = list(enumerate(rows))
+    found = nd.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), width=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {i: e for (i, _), e in zip(data, brute(data, 2))}
+    assert sorted(wanted) == [0, 20]
