@@ -18,12 +18,12 @@ from ..functions import fixed_values as fv
 from ..functions.text import query_tokens, tokens
 
 # Rows per block.  Each block is copied once per block of the other side, so larger blocks
-# mean less to shuffle: a corpus vector once per 32,768 queries.  A cell multiplies
-# VECTOR_TILE queries at a time, whose scores take 64 MB.  For texts it holds the words
-# of its rows.
+# mean less to shuffle: a corpus vector once per 32,768 queries.  A cell multiplies as many
+# queries at a time as have scores of VECTOR_TILE bytes; only they are held in double
+# precision.  For texts it holds the words of its rows.
 QUERY_BLOCK = 1024
 VECTOR_QUERY_BLOCK = 32768
-VECTOR_TILE = 1024
+VECTOR_TILE = 1 << 22
 VECTOR_BLOCK = 8192
 TEXT_BLOCK = 4096
 MIN_BLOCK = 256
@@ -92,35 +92,36 @@ def _vector_cell(k: int):
         import numpy as np
         import pyarrow as pa
 
-        def unit(table):
-            column = table["payload"].combine_chunks()
+        def unit(column):
             flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
             rows = flat.reshape(len(column), -1)
             norm = np.linalg.norm(rows, axis=1, keepdims=True)
-            return rows / np.where(norm > 0, norm, 1.0)
+            rows /= np.where(norm > 0, norm, 1.0)
+            return rows
 
-        ids, found, scores = [], [], []
+        ids, found, scores = np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0, "float64")
         if q.num_rows and c.num_rows:
-            query_ids = q["query_id"].to_numpy()
             corpus_ids = c["corpus_id"].to_numpy()
-            query_units, corpus_units = unit(q), unit(c).T
+            corpus_units = unit(c["payload"].combine_chunks()).T
             keep = min(k, len(corpus_ids))
-            for at in range(0, len(query_ids), VECTOR_TILE):
+            ids = np.repeat(q["query_id"].to_numpy(), keep)
+            found, scores = np.empty(len(ids), corpus_ids.dtype), np.empty(len(ids))
+            tile, at = max(1, VECTOR_TILE // (8 * len(corpus_ids))), 0
+            for part in q.select(["payload"]).to_batches(max_chunksize=tile):
                 # Rounded, so that equal vectors tie whatever order a product is summed in.
-                table = np.round(query_units[at : at + VECTOR_TILE] @ corpus_units, 9)
-                for query_id, row in zip(query_ids[at : at + VECTOR_TILE], table):
+                table = unit(part.column(0)) @ corpus_units
+                for row in np.round(table, 9, out=table):
                     kth = np.partition(row, -keep)[-keep]
                     near = np.flatnonzero(row >= kth)
                     best = near[np.lexsort((corpus_ids[near], -row[near]))[:keep]]
-                    ids.append(np.full(len(best), query_id))
-                    found.append(corpus_ids[best])
-                    scores.append(row[best])
-        join = lambda parts, t: np.concatenate(parts) if parts else np.empty(0, t)
+                    found[at : at + keep] = corpus_ids[best]
+                    scores[at : at + keep] = row[best]
+                    at += keep
         return pa.table(
             {
-                "query_id": pa.array(join(ids, "int64"), pa.int64()),
-                "corpus_id": pa.array(join(found, "int64"), pa.int64()),
-                "score": pa.array(join(scores, "float64"), pa.float64()),
+                "query_id": pa.array(ids, pa.int64()),
+                "corpus_id": pa.array(found, pa.int64()),
+                "score": pa.array(scores, pa.float64()),
             }
         )
 

@@ -111,3 +111,21 @@ def test_unusable_vectors_change_nothing(spark):
     clean = r.dense_topk(queries, spark.createDataFrame(good, kind), 3).collect()
     mixed = r.dense_topk(queries, spark.createDataFrame(good + bad, kind), 3).collect()
     assert len(clean) == 3 and sorted(map(tuple, clean)) == sorted(map(tuple, mixed))
+
+
+def test_memory_of_a_vector_cell_is_bounded():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    side = lambda name, n: pa.table({name: pa.array(range(n)), "payload": pa.array(list(rng.normal(size=(n, 4)).astype("float32")))})
+    q, c = side("query_id", 2048), side("corpus_id", r.VECTOR_BLOCK)
+    score = r._vector_cell(3)
+    tracemalloc.start()
+    try:
+        found = score(q, c)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found.num_rows == 3 * 2048 and peak < 32 << 20
