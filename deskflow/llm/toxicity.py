@@ -43,6 +43,7 @@ LEAST = 3
 RIDGE = 3e-4
 STEPS = 400
 SEED = 29
+SLICE = 1 << 20  # bytes of text whose features a task holds at a time
 _VALUES = np.random.Generator(np.random.PCG64(41)).integers(1, 2**63, (max(PREFIXES), 256), dtype=np.uint64)
 
 
@@ -78,12 +79,15 @@ def _again(features: np.ndarray) -> np.ndarray:
     return (features * 0x9E3779B1 + 0x7F4A7C15) & ((1 << BITS) - 1)
 
 
+def _with_again(chosen: np.ndarray) -> np.ndarray:
+    """The chosen features and those whose second occurrence is chosen."""
+    return chosen | chosen[_again(np.arange(1 << BITS))]
+
+
 def _pairs(texts: pa.Array, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs; only of the chosen features."""
+    """Distinct (text, feature) pairs; only of the chosen features, as _with_again gives them."""
     words = hashed_words(texts, table=NORMAL)
     text = words.text_of_word()
-    if chosen is not None:
-        chosen = chosen | chosen[_again(np.arange(1 << BITS))]
     found = []
     for numbers in _features(words):
         at = np.flatnonzero(numbers >= 0 if chosen is None else (numbers >= 0) & chosen[numbers])
@@ -116,7 +120,8 @@ def fit(positive: pa.Array, unlabelled: pa.Array, prior: float, steps: int = STE
     chosen = np.flatnonzero((np.abs(z) >= SIGNIFICANT) & (in_p + in_u >= LEAST) & ((in_p >= LEAST) | (z < 0)))
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    met = [(at + start, *_pairs(part, place >= 0)) for texts, at in ((positive, 0), (unlabelled, n_p)) for start, part in _parts(texts)]
+    wanted = _with_again(place >= 0)
+    met = [(at + start, *_pairs(part, wanted)) for texts, at in ((positive, 0), (unlabelled, n_p)) for start, part in _parts(texts)]
     row = np.concatenate([np.empty(0, np.int64), *[start + r for start, r, _ in met]])
     column = place[np.concatenate([np.empty(0, np.int64), *[f for _, _, f in met]])]
     row, column = row[column >= 0], column[column >= 0]
@@ -185,8 +190,9 @@ def scored(df: DataFrame, model: Classifier, text: str = "text", score: str = "s
 
     def run(batches):
         table = model.table()
-        for batch in sliced(batches, 4 << 20):
-            row, feature = _pairs(batch.column(text), table != 0)
+        wanted = _with_again(table != 0)
+        for batch in sliced(batches, SLICE):
+            row, feature = _pairs(batch.column(text), wanted)
             logit = model.bias + np.bincount(row, table[feature], batch.num_rows)
             share = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(share)], names=schema.fieldNames())

@@ -177,6 +177,7 @@ def sliced(batches: Iterator[pa.RecordBatch], size: int = 16 << 20) -> Iterator[
         rows = max(1, batch.num_rows * size // max(1, batch.nbytes))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # a worker stays for the next stage, what it freed does not
 
 
 def word_counts(texts: pa.Array) -> np.ndarray:
